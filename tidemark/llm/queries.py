@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op3_bpe
+from tidemark.llm.minhash import op9_minhash_forest
 from tidemark.llm.urls import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op9_minhash_forest": op9_minhash_forest,
 }
 
 SQL = {
