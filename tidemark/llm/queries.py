@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op3_bpe
+from tidemark.llm.line_templates import op4_line_templates
 from tidemark.llm.minhash import op9_minhash_forest
 from tidemark.llm.pii import op7_personal_data
 from tidemark.llm.toxicity import op6_toxicity
@@ -11,6 +12,7 @@ from tidemark.llm.urls import OP2_SQL, op2_url_filter
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_line_templates": op4_line_templates,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op9_minhash_forest": op9_minhash_forest,
