@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op3_bpe
+from tidemark.llm.decontamination import op5_decontamination
 from tidemark.llm.line_templates import op4_line_templates
 from tidemark.llm.minhash import op9_minhash_forest
 from tidemark.llm.pii import op7_personal_data
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
     "op4_line_templates": op4_line_templates,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op9_minhash_forest": op9_minhash_forest,
