@@ -180,6 +180,11 @@ class Items:
         return out
 
 
+@lru_cache(maxsize=2)
+def _items(rows: tuple[tuple[int, str], ...]) -> Items:
+    return Items(rows)
+
+
 def leaks_in(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, start, end): the nearest place of every item that leaks into a text."""
     x = codes("\0".join(texts))
