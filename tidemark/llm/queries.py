@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op3_bpe
 from tidemark.llm.decontamination import op5_decontamination
 from tidemark.llm.line_templates import op4_line_templates
 from tidemark.llm.minhash import op9_minhash_forest
+from tidemark.llm.paragraphs import op10_paragraphs
 from tidemark.llm.pii import op7_personal_data
 from tidemark.llm.toxicity import op6_toxicity
 from tidemark.llm.urls import OP2_SQL, op2_url_filter
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op9_minhash_forest": op9_minhash_forest,
+    "op10_paragraphs": op10_paragraphs,
 }
 
 SQL = {
