@@ -8,6 +8,7 @@ from tidemark.llm.line_templates import op4_line_templates
 from tidemark.llm.minhash import op9_minhash_forest
 from tidemark.llm.paragraphs import op10_paragraphs
 from tidemark.llm.pii import op7_personal_data
+from tidemark.llm.suffixes import op8_suffix_dedup
 from tidemark.llm.toxicity import op6_toxicity
 from tidemark.llm.urls import OP2_SQL, op2_url_filter
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_forest": op9_minhash_forest,
     "op10_paragraphs": op10_paragraphs,
 }
