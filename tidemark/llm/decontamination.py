@@ -15,7 +15,6 @@ reported with a null id; other columns pass through ``drop_leaks`` untouched.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,14 +26,14 @@ from pyspark.sql import functions as F
 from tidemark.session import ship_package, table
 
 #: Edits allowed per character of the item, and the length of the pieces that may stay untouched.
-DISTANCE, PIECE, SHORTEST = 0.1, 7, 21
+DISTANCE, PIECE, SHORTEST = 0.1, 8, 24
 #: Random walks, samples per walk, places per sample.  At 10 % edits about six in ten places agree, so a window shares
 #: no key with its item with probability (1 - 0.6 ** 4) ** 120, 4e-8 if samples were independent; measured 2 %.
 WALKS, SAMPLES, PLACES = 6, 20, 4
 #: Benchmark characters that go along with one pass over the documents; larger benchmarks take several passes.
 PASS_CHARS = 8_000_000
 BLOCK_CHARS, WINDOW_BLOCK = 2_000_000, 8_000
-_BLANK = re.compile(r"\s")
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _PIECE_BITS = 22
 
 
@@ -42,7 +41,9 @@ def folded(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    return _BLANK.sub(" ", low)
+    for c in _BLANKS[:9] if low.isascii() else _BLANKS:
+        low = low.replace(c, " ")
+    return low
 
 
 def codes(text: str) -> np.ndarray:
@@ -191,13 +192,13 @@ def leaks_in(texts: list[str], items: Items) -> list[tuple[int, int, int, int, i
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for k, s in sorted(items.candidates(x)):
-        n, slack = int(items.lengths[k]), 3 * int(items.edits[k]) + 3
+        n, slack = int(items.lengths[k]), int(items.edits[k]) + 3
         doc = int(np.searchsorted(bounds, min(s + n // 2, bounds[-1] - 1), "right")) - 1
         base = int(bounds[doc])
         low = max(0, s - base - slack)
         if (doc, k) in best and best[doc, k][1] <= s - base + 3 <= best[doc, k][2]:
             continue
-        place = locate(items.texts[k], texts[doc][low : s - base + n + slack], int(items.edits[k]))
+        place = locate(items.texts[k], texts[doc][low : s - base + n + 2 * slack], int(items.edits[k]))
         if place:
             found = (place[0], low + place[1], low + place[2])
             best[doc, k] = min(found, best.get((doc, k), found))
