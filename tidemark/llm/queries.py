@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op3_bpe
 from tidemark.llm.decontamination import op5_decontamination
+from tidemark.llm.embeddings import op1_embedding_graph
 from tidemark.llm.line_templates import op4_line_templates
 from tidemark.llm.minhash import op9_minhash_forest
 from tidemark.llm.paragraphs import op10_paragraphs
@@ -13,6 +14,7 @@ from tidemark.llm.toxicity import op6_toxicity
 from tidemark.llm.urls import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_embedding_graph": op1_embedding_graph,
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
     "op4_line_templates": op4_line_templates,
