@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import analysis, timeline
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**timeline.QUERIES, **analysis.QUERIES}
+SQL = {**timeline.SQL, **analysis.SQL}
