@@ -71,10 +71,13 @@ def split_at(spans: DataFrame, cuts: DataFrame) -> DataFrame:
     bounds = F.concat(F.array(s0), inner, F.array(s1))
     parts = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: F.struct(F.get(bounds, k).alias("a"), F.get(bounds, k + 1).alias("b")))
 
-    def place(x: Column) -> Column:
-        return F.when(x == s0, t0).when(x == s1, t1).otherwise(interpolate(x, s0, s1, t0, t1))
+    def inner_place(x: Column) -> Column:
+        return interpolate(x, s0, s1, t0, t1)
 
     cut = spans.join(per_map, "map_id", "left").withColumn("_part", F.explode(parts))
+    begin = F.when(F.col("_part.a") == s0, t0).otherwise(inner_place(F.col("_part.a")))
+    end = F.when(F.col("_part.b") == s1, t1).otherwise(inner_place(F.col("_part.b")))
+
     w = W.partitionBy("map_id").orderBy("span_index", "_part.a")
-    made = cut.select("map_id", (F.row_number().over(w) - 1).cast("int").alias("n"), "kind", F.col("_part.a").alias("a"), F.col("_part.b").alias("b"), place(F.col("_part.a")).alias("c"), place(F.col("_part.b")).alias("d"))
+    made = cut.select("map_id", (F.row_number().over(w) - 1).cast("int").alias("n"), "kind", F.col("_part.a").alias("a"), F.col("_part.b").alias("b"), begin.alias("c"), end.alias("d"))
     return made.toDF("map_id", "span_index", "kind", "source_start", "source_end", "target_start", "target_end")
