@@ -115,7 +115,8 @@ def _shard_edges(rows: pd.DataFrame) -> pd.DataFrame:
     pairs = {(a, int(b)) for a, picked in enumerate(robust_picks(x)) for b in picked}
     pairs |= {(k, k + 1) for k in range(len(ids) - 1)}
     pairs |= {(b, a) for a, b in pairs}
-    return pd.DataFrame([(ids[a], ids[b]) for a, b in sorted(pairs)], columns=["id", "other"])
+    a, b = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"id": ids[a], "other": ids[b], "near": (x[a] * x[b]).sum(axis=1) >= WIDEN})
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,12 +152,14 @@ def graph_links(nodes: DataFrame, dims: dict[int, int], margin: float) -> DataFr
     """Distinct links (a, b), a < b, that the search over the united graph finds."""
     shards = {dim: centroids(nodes, max(1, -(-n // SHARD)), dim) for dim, n in dims.items()}
     dealt = cut(deal(nodes, shards, margin))
-    edges = dealt.groupBy("shard").applyInPandas(_shard_edges, "id bigint, other bigint").distinct()
-    united = cut(edges.groupBy("id").agg(F.collect_set("other").alias("others")))
-    # A shard is searched with its own vectors and those that the united lists of its vectors lead to.
-    led = dealt.select("shard", "id").join(united, "id").select("shard", F.explode("others").alias("id")).distinct()
+    edges = dealt.groupBy("shard").applyInPandas(_shard_edges, "id bigint, other bigint, near boolean")
+    united = edges.groupBy("id").agg(F.collect_set("other").alias("others"), F.collect_set(F.when(F.col("near"), F.col("other"))).alias("near"))
+    united = cut(united)
+    # A shard is searched with its own vectors and those that the united lists of its vectors lead to by a near edge;
+    # far edges only serve the greedy steps inside the shard.
+    led = dealt.select("shard", "id").join(united.filter(F.size("near") > 0), "id").select("shard", F.explode("near").alias("id")).distinct()
     beyond = led.join(dealt.select("shard", "id"), ["shard", "id"], "left_anti").join(nodes.select("id", "v"), "id")
-    rows = dealt.unionByName(beyond.withColumn("home", F.lit(False))).join(united, "id", "left")
+    rows = dealt.unionByName(beyond.withColumn("home", F.lit(False))).join(united.drop("near"), "id", "left")
     rows = rows.withColumn("others", F.coalesce("others", F.array().cast("array<bigint>"))).select("shard", "id", "v", "home", "others")
     found = rows.groupBy("shard").applyInPandas(_search, "a bigint, b bigint")
     return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -212,5 +215,3 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-
-
