@@ -18,6 +18,7 @@ import mmap
 import os
 import re
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -85,16 +86,20 @@ class Merges:
         ids = [self.of_byte[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank_of, none = self.ranks.get, len(self.made)
+        rank_of, made = self.ranks.get, self.made
+        none = len(made)
         ranks = [rank_of(p, none) for p in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
             k = ranks.index(best)
-            ids[k] = self.made[best]
+            new = ids[k] = made[best]
             del ids[k + 1], ranks[k]
             if k < len(ranks):
-                ranks[k] = rank_of((ids[k], ids[k + 1]), none)
+                ranks[k] = rank_of((new, ids[k + 1]), none)
             if k:
-                ranks[k - 1] = rank_of((ids[k - 1], ids[k]), none)
+                ranks[k - 1] = rank_of((ids[k - 1], new), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -227,7 +232,7 @@ class Encoder:
     def _packed(self, word: str) -> bytes:
         raw = word.encode()
         ids = self.lexicon.get(raw) if self.lexicon else None
-        packed = np.asarray(self.merges.merge(raw) if ids is None else ids, dtype=np.int32).tobytes()
+        packed = array("i", self.merges.merge(raw) if ids is None else ids).tobytes()
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
         if len(word) < 64:
