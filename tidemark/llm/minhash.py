@@ -5,6 +5,11 @@ signatures are sorted; documents next to each other there, and the first documen
 longest common prefix, are candidates.  A region that many documents share is cut at a deeper prefix.  Candidates
 are confirmed on the full sets, and confirmed links make components.
 
+That leaves pairs of a region that were never neighbours.  So every region which still holds several components is
+compared whole, in blocks: first the signatures, then, of the documents in a plausible pair, the full sets inside the
+task.  Pairs within one component are skipped, as they change nothing.  A crowded region is dealt to tasks by pairs of
+blocks.
+
 Equal sets are one node from the start, so a group of exact copies of any size costs one row per document.
 
 Cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of fewer words
@@ -26,13 +31,18 @@ from tidemark.session import cut, ship_package, table
 
 SHINGLE = 5
 SIMILARITY = 75
-#: Trees, the depth at which a region starts, and the depth of whole signatures.  A pair at similarity s meets in
-#: a tree with probability s ** START, and misses all trees at s = 0.75 with probability 1.5e-4.
+#: Trees, the depth at which a region starts, and the depth of whole signatures.  A pair at similarity s shares a
+#: region of a tree with probability s ** START, and no region at s = 0.75 with probability 1.5e-4.
 TREES, START, DEPTH = 16, 3, 5
 #: A region with more documents than this is cut at full depth, and then into parts of this size.
 REGION = 2000
 #: Earlier neighbours in a sorted order that a document is compared with.
 NEIGHBOURS = 2
+#: Documents and shingles of a block, when a whole region is compared.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+#: Signature values, of TREES * DEPTH, in which a plausible pair agrees; a pair at s = 0.75 has fewer with probability
+#: 5e-6 at most.
+PLAUSIBLE = 42
 MEMO_WORDS = 300_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -171,6 +181,129 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     return both.mapInArrow(_confirmed, "a bigint, b bigint")
 
 
+_ROW = "part bigint, cross_blocks boolean, tree int, block bigint, id bigint, component bigint, n bigint, signature array<int>"
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The columns of _ROW, and of a last binary column if there is one, for one part after another."""
+    held: list[list] = []
+    for batch in batches:
+        columns: list = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        columns.append(batch.column(7).flatten().to_numpy().reshape(len(batch), TREES * DEPTH))
+        columns += [np.array([*c.to_pylist(), None], object)[:-1] for c in batch.columns[8:]]
+        bounds = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(batch)]
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            if begin == end:
+                continue
+            if held and held[0][0][0] != columns[0][begin]:
+                yield [np.concatenate(c) if len(held) > 1 else c[0] for c in zip(*held, strict=True)]
+                held = []
+            held.append([c[begin:end] for c in columns])
+    if held:
+        yield [np.concatenate(c) if len(held) > 1 else c[0] for c in zip(*held, strict=True)]
+
+
+def _plausible(part: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in a part: of two components, similar by size and signature, and in no region of an earlier tree."""
+    _, cross_blocks, tree, block, _, component, n, signature = part[:8]
+    m, earlier = len(n), int(tree[0])
+    prefixes = signature.reshape(m, TREES, DEPTH)[:, :earlier, :START]
+    values = np.ascontiguousarray((signature & 255).astype(np.uint8).T) if m > 64 else None
+    step = max(1, min(256, 1_000_000 // m))
+    for at in range(0, m, step):
+        of = slice(at, at + step)
+        if values is None:
+            agree = (signature[of, None] == signature[None]).sum(axis=2)
+        else:
+            agree = np.zeros((len(n[of]), m), np.uint8)
+            for v in values:
+                agree += v[of, None] == v
+        ok = (agree >= PLAUSIBLE) & (component[of, None] != component)
+        ok &= (100 * n[of, None] >= SIMILARITY * n) & (100 * n >= SIMILARITY * n[of, None])
+        ok &= block[of, None] < block if cross_blocks[0] else np.arange(m)[of, None] < np.arange(m)
+        rows, cols = np.nonzero(ok)
+        rows += at
+        first = np.ones(len(rows), bool)
+        for k in range(earlier):
+            first &= (prefixes[rows, k] != prefixes[cols, k]).any(axis=1)
+        yield rows[first], cols[first]
+
+
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that are in a plausible pair of their part."""
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in _ROW.split(", ")]
+    for part in _parts(batches):
+        used = np.unique(np.concatenate([x for pair in _plausible(part) for x in pair]))
+        if len(used):
+            columns = [pa.array(c[used], kind) for c, kind in zip(part[:7], kinds, strict=True)]
+            offsets = pa.array(np.arange(len(used) + 1, dtype=np.int32) * (TREES * DEPTH))
+            columns.append(pa.ListArray.from_arrays(offsets, pa.array(part[7][used].ravel(), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of a part that a pair of full sets confirms; at most one for each row."""
+    for part in _parts(batches):
+        sets = [np.frombuffer(s, np.uint64) for s in part[8]]
+        sizes = np.array([len(s) for s in sets])
+        known, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        dense = np.split(dense, np.cumsum(sizes)[:-1])
+        component, label, held = part[5], part[5].copy(), np.zeros(len(known), bool)
+        a, b = [], []
+        for rows, cols in _plausible(part):
+            for row, others in zip(*_runs(rows, cols), strict=True):
+                others = others[label[others] != label[row]]
+                if not len(others):
+                    continue
+                held[dense[row]] = True
+                starts = np.cumsum(sizes[others]) - sizes[others]
+                both = np.add.reduceat(held[np.concatenate([dense[k] for k in others])].astype(np.int64), starts)
+                held[dense[row]] = False
+                near = others[100 * both >= SIMILARITY * (sizes[row] + sizes[others] - both)]
+                for other in near:
+                    if label[other] != label[row]:
+                        a.append(component[row])
+                        b.append(component[other])
+                        label[label == label[other]] = label[row]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _runs(rows: np.ndarray, cols: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The different ``rows``, which are sorted, and the ``cols`` of each."""
+    if not len(rows):
+        return [], []
+    bounds = np.flatnonzero(np.diff(rows)) + 1
+    return rows[[0, *bounds]].tolist(), np.split(cols, bounds)
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _Words()
+    for batch in batches:
+        sets = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "shingles"])
+
+
+def missed_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links (a, b) between components of ``nodes`` (id, component, n, signature) that share a region in some tree."""
+    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * DEPTH + 1, START))))
+    keyed = nodes.select("id", "component", "n", tree.alias("tree", "region"))
+    mixed = keyed.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("words"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("words") / BLOCK_SHINGLES))
+    places = cut(keyed.join(mixed.filter("c < d").select("region", blocks.alias("blocks")), "region"))
+    # Every block meets every block, itself included, in one part.
+    dealt = places.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    part = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    rows = dealt.select(part.alias("part"), (F.col("block") != F.col("other")).alias("cross_blocks"), "tree", "block", "id", "component", "n")
+    rows = rows.join(nodes.select("id", "signature"), "id").select([x.split()[0] for x in _ROW.split(", ")])
+    unsettled = cut(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_unsettled, _ROW))
+    used = unsettled.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", text).join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = texts.mapInArrow(_full_sets, "id bigint, shingles binary")
+    whole = unsettled.join(sets, "id").select(*unsettled.columns, "shingles")
+    return whole.repartition("part").sortWithinPartitions("part").mapInArrow(_settled, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     sets = cut(signatures(docs, text))
@@ -180,7 +313,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = cut(nodes)
     links = confirm(cut(candidates(nodes.select("id", "n", "signature"))), docs, text)
     components = connected_components(links)
-    classes = nodes.select("set_a", "set_b", "id").join(components, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
+    placed = cut(nodes.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    joined_later = connected_components(cut(missed_links(placed.select("id", "component", "n", "signature"), docs, text)))
+    classes = placed.join(joined_later.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+    classes = classes.select("set_a", "set_b", F.coalesce("whole", "component").alias("component"))
     joined = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", F.coalesce(component, F.col("doc_id")).alias("component_id")).withColumn(
