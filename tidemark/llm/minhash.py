@@ -19,7 +19,9 @@ doc_id links with nothing and is kept; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -181,15 +183,26 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     return both.mapInArrow(_confirmed, "a bigint, b bigint")
 
 
+class Shape(NamedTuple):
+    """How signatures make regions: trees, values of each, values that a region shares, and those of a plausible pair."""
+
+    trees: int = TREES
+    depth: int = DEPTH
+    start: int = START
+    plausible: int = PLAUSIBLE
+    #: Whether n is the size of the set, so that sizes too far apart rule a pair out.
+    sized: bool = True
+
+
 _ROW = "part bigint, cross_blocks boolean, tree int, block bigint, id bigint, component bigint, n bigint, signature array<int>"
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+def _parts(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[list]:
     """The columns of _ROW, and of a last binary column if there is one, for one part after another."""
     held: list[list] = []
     for batch in batches:
         columns: list = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-        columns.append(batch.column(7).flatten().to_numpy().reshape(len(batch), TREES * DEPTH))
+        columns.append(batch.column(7).flatten().to_numpy().reshape(len(batch), shape.trees * shape.depth))
         columns += [np.array([*c.to_pylist(), None], object)[:-1] for c in batch.columns[8:]]
         bounds = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(batch)]
         for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
@@ -203,11 +216,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield [np.concatenate(c) if len(held) > 1 else c[0] for c in zip(*held, strict=True)]
 
 
-def _plausible(part: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _plausible(part: list, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places in a part: of two components, similar by size and signature, and in no region of an earlier tree."""
     _, cross_blocks, tree, block, _, component, n, signature = part[:8]
     m, earlier = len(n), int(tree[0])
-    prefixes = signature.reshape(m, TREES, DEPTH)[:, :earlier, :START]
+    prefixes = signature.reshape(m, shape.trees, shape.depth)[:, :earlier, : shape.start]
     values = np.ascontiguousarray((signature & 255).astype(np.uint8).T) if m > 64 else None
     step = max(1, min(256, 1_000_000 // m))
     for at in range(0, m, step):
@@ -218,8 +231,9 @@ def _plausible(part: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             agree = np.zeros((len(n[of]), m), np.uint8)
             for v in values:
                 agree += v[of, None] == v
-        ok = (agree >= PLAUSIBLE) & (component[of, None] != component)
-        ok &= (100 * n[of, None] >= SIMILARITY * n) & (100 * n >= SIMILARITY * n[of, None])
+        ok = (agree >= shape.plausible) & (component[of, None] != component)
+        if shape.sized:
+            ok &= (100 * n[of, None] >= SIMILARITY * n) & (100 * n >= SIMILARITY * n[of, None])
         ok &= block[of, None] < block if cross_blocks[0] else np.arange(m)[of, None] < np.arange(m)
         rows, cols = np.nonzero(ok)
         rows += at
@@ -229,29 +243,29 @@ def _plausible(part: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows[first], cols[first]
 
 
-def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unsettled(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     """The rows that are in a plausible pair of their part."""
     kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in _ROW.split(", ")]
-    for part in _parts(batches):
-        used = np.unique(np.concatenate([x for pair in _plausible(part) for x in pair]))
+    for part in _parts(batches, shape):
+        used = np.unique(np.concatenate([x for pair in _plausible(part, shape) for x in pair]))
         if len(used):
             columns = [pa.array(c[used], kind) for c, kind in zip(part[:7], kinds, strict=True)]
-            offsets = pa.array(np.arange(len(used) + 1, dtype=np.int32) * (TREES * DEPTH))
+            offsets = pa.array(np.arange(len(used) + 1, dtype=np.int32) * (shape.trees * shape.depth))
             columns.append(pa.ListArray.from_arrays(offsets, pa.array(part[7][used].ravel(), pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settled(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     """Links between components of a part that a pair of full sets confirms; at most one for each row."""
-    for part in _parts(batches):
+    for part in _parts(batches, shape):
         sets = [np.frombuffer(s, np.uint64) for s in part[8]]
         sizes = np.array([len(s) for s in sets])
         known, dense = np.unique(np.concatenate(sets), return_inverse=True)
         dense = np.split(dense, np.cumsum(sizes)[:-1])
         component, label, held = part[5], part[5].copy(), np.zeros(len(known), bool)
         a, b = [], []
-        for rows, cols in _plausible(part):
+        for rows, cols in _plausible(part, shape):
             for row, others in zip(*_runs(rows, cols), strict=True):
                 others = others[label[others] != label[row]]
                 if not len(others):
@@ -284,10 +298,12 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "shingles"])
 
 
-def missed_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Links (a, b) between components of ``nodes`` (id, component, n, signature) that share a region in some tree."""
-    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * DEPTH + 1, START))))
-    keyed = nodes.select("id", "component", "n", tree.alias("tree", "region"))
+def missed_links(keyed: DataFrame, signed: DataFrame, sets: Callable[[DataFrame], DataFrame], shape: Shape) -> DataFrame:
+    """Links (a, b) between components whose members share a region.
+
+    ``keyed`` is (id, component, n, tree, region), ``signed`` (id, signature), and ``sets`` gives (id, shingles), the
+    sorted hashes as bytes, of wanted ids.
+    """
     mixed = keyed.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("words"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("words") / BLOCK_SHINGLES))
     places = cut(keyed.join(mixed.filter("c < d").select("region", blocks.alias("blocks")), "region"))
@@ -295,13 +311,10 @@ def missed_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataF
     dealt = places.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     part = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
     rows = dealt.select(part.alias("part"), (F.col("block") != F.col("other")).alias("cross_blocks"), "tree", "block", "id", "component", "n")
-    rows = rows.join(nodes.select("id", "signature"), "id").select([x.split()[0] for x in _ROW.split(", ")])
-    unsettled = cut(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_unsettled, _ROW))
-    used = unsettled.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", text).join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(_full_sets, "id bigint, shingles binary")
-    whole = unsettled.join(sets, "id").select(*unsettled.columns, "shingles")
-    return whole.repartition("part").sortWithinPartitions("part").mapInArrow(_settled, "a bigint, b bigint").distinct()
+    rows = rows.join(signed, "id").select([x.split()[0] for x in _ROW.split(", ")])
+    unsettled = cut(rows.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_unsettled, shape=shape), _ROW))
+    whole = unsettled.join(sets(unsettled.select("id").distinct()), "id").select(*unsettled.columns, "shingles")
+    return whole.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_settled, shape=shape), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -314,7 +327,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     links = confirm(cut(candidates(nodes.select("id", "n", "signature"))), docs, text)
     components = connected_components(links)
     placed = cut(nodes.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    joined_later = connected_components(cut(missed_links(placed.select("id", "component", "n", "signature"), docs, text)))
+    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * DEPTH + 1, START))))
+
+    def full_sets(used: DataFrame) -> DataFrame:
+        texts = docs.select("doc_id", text).join(used.toDF("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return texts.mapInArrow(_full_sets, "id bigint, shingles binary")
+
+    missed = missed_links(placed.select("id", "component", "n", tree.alias("tree", "region")), placed.select("id", "signature"), full_sets, Shape())
+    joined_later = connected_components(cut(missed))
     classes = placed.join(joined_later.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
     classes = classes.select("set_a", "set_b", F.coalesce("whole", "component").alias("component"))
     joined = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")

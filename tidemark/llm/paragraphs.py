@@ -2,8 +2,9 @@
 
 Two kinds of paragraphs are compared: whole lines, and pieces between cuts that the words themselves choose (the
 smallest shingle hash of every CUT_WINDOW), so that a passage inside other text is cut alike wherever it stands.
-Lines meet by MinHash bands and are confirmed by the exact Jaccard similarity of their shingles; pieces are short and
-meet by equal wording.  Links make components, whose first paragraph, by doc_id and place, stays.  Overlapping
+Lines meet by MinHash bands and are confirmed by the exact Jaccard similarity of their shingles: each with the first
+line of its band, and then, in bands that still hold several components, each with every line of another component,
+in blocks inside tasks.  Pieces are short and meet by equal wording.  Links make components, whose first paragraph, by doc_id and place, stays.  Overlapping
 paragraphs are merged to runs; a passage of more than 50 words holds a run of at least MINIMUM_RUN words.
 
 Places are word positions, end exclusive.  A paragraph counts as repeated if another document has it.
@@ -24,12 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.minhash import _LOWER, SHINGLE, SIMILARITY, _mixed, _signature, _Words, signature_factors
+from tidemark.llm.minhash import _LOWER, SHINGLE, SIMILARITY, Shape, _mixed, _signature, _Words, missed_links, signature_factors
 from tidemark.session import cut, ship_package, table, written
 
 CUT_WINDOW, MINIMUM_RUN, MINIMUM_LINE = 16, 19, 20
 #: Two lines at similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.75.
 BANDS, ROWS = 11, 2
+#: Signature values, of BANDS * ROWS, in which a plausible pair agrees; a pair at 0.75 has fewer with probability 2.5e-5.
+PLAUSIBLE = 8
 BLOCK_WORDS = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,11 +126,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def similar_lines(lines: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Confirmed links (a, b) between different wordings of ``lines`` (id, doc_id, start, stop, bands)."""
-    keyed = lines.select("id", F.explode(F.transform("bands", lambda v, k: F.xxhash64(k, v))).alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("band", "a")
-    pairs = cut(keyed.join(heads, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct())
+def met_lines(lines: DataFrame) -> DataFrame:
+    """(band, tree, id, a, members): the bands of ``lines`` that several lines share, and each one's smallest id."""
+    keyed = lines.select("id", F.posexplode(F.transform("bands", lambda v, k: F.xxhash64(k, v))).alias("tree", "band"))
+    heads = keyed.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return cut(keyed.join(heads, "band"))
+
+
+def similar_lines(met: DataFrame, lines: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Confirmed links (a, b) between the first line of a band and the others; ``lines`` is (id, doc_id, start, stop, bands)."""
+    pairs = cut(met.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     places = lines.select("id", "doc_id", "start", "stop").join(used, "id")
     # Word positions count over the whole text, so the words of a place are sliced from it.
@@ -140,12 +148,48 @@ def similar_lines(lines: DataFrame, docs: DataFrame, text: str = "text") -> Data
     return both.select("a", "b", "s", "t").mapInArrow(_confirmed, "a bigint, b bigint")
 
 
+def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _Words()
+    for batch in batches:
+        ids, sets = [], []
+        for t, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            g, _ = shingles_in_order(t.as_py() or "", words)
+            for p in places:
+                found = np.unique(g[p["start"] : p["stop"] - SHINGLE + 1])
+                if len(found):
+                    ids.append(p["id"])
+                    sets.append(found.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+
+def line_components(lines: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, component) of the ``lines`` (id, doc_id, start, stop, bands) that are linked to another wording."""
+    met = met_lines(lines)
+    first = cut(connected_components(similar_lines(met, lines, docs, text)))
+    # A band of two lines has been compared whole.
+    crowded = met.filter("members > 2").select("id", "tree", F.col("band").alias("region"))
+    keyed = crowded.join(lines.select("id", (F.col("stop") - F.col("start")).cast("long").alias("n")), "id").join(first, "id", "left")
+    keyed = keyed.select("id", F.coalesce("component", "id").alias("component"), "n", "tree", "region")
+    values = F.flatten(F.transform("bands", lambda v: F.array(F.shiftright(v, 32).cast("int"), F.shiftright(F.shiftleft(v, 32), 32).cast("int"))))
+
+    def sets(used: DataFrame) -> DataFrame:
+        places = lines.select("id", "doc_id", "start", "stop").join(used, "id")
+        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "stop")).alias("places"))
+        held = docs.select("doc_id", F.col(text).alias("whole")).join(wanted, "doc_id").select("whole", "places")
+        return held.mapInArrow(_line_sets, "id bigint, shingles binary").dropDuplicates(["id"])
+
+    missed = missed_links(keyed, lines.select("id", values.alias("signature")), sets, Shape(BANDS, ROWS, ROWS, PLAUSIBLE, False))
+    later = cut(connected_components(cut(missed)).select("id", F.col("component").alias("whole")))
+    moved = first.join(later.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    return moved.union(later.join(first.select("id"), "id", "left_anti").select("id", "whole"))
+
+
 def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, start, stop, component_id, kept) of every paragraph that another document has as well."""
     made = written(units(docs, text))
     lines = made.filter("bands IS NOT NULL")
     nodes = cut(lines.groupBy(F.col("x").alias("id")).agg(F.min_by(F.struct("doc_id", "start", "stop", "bands"), "doc_id").alias("head")).select("id", "head.*"))
-    components = connected_components(similar_lines(nodes, docs, text))
+    components = line_components(nodes, docs, text)
     grouped = made.select("doc_id", "start", "stop", "x", F.col("bands").isNotNull().alias("line"))
     of_line = grouped.filter("line").join(components.withColumnRenamed("id", "x"), "x", "left").withColumn("component_id", F.coalesce("component", "x")).drop("component")
     every = grouped.filter("NOT line").withColumn("component_id", F.col("x")).unionByName(of_line).drop("x")
