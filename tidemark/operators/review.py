@@ -31,6 +31,8 @@ def families(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = after
         if not changed:
             break
+    else:
+        raise RuntimeError(f"families did not settle in {rounds} rounds")
     return labels.select(F.col("u").alias("id"), F.col("f").alias("family"))
 
 

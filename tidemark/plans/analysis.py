@@ -98,6 +98,14 @@ def media_families(spark, d):
     return review.families(o.union(li).distinct())
 
 
+@query()
+def media_families_whole(spark, d):
+    """Families over all orders and lineitem; ids of the three kinds never meet, whatever the tables' size."""
+    o = table(spark, d, "orders").select((3 * F.col("o_custkey")).alias("a"), (3 * F.col("o_orderkey") + 1).alias("b"))
+    li = table(spark, d, "lineitem").select((3 * F.col("l_suppkey") + 2).alias("a"), (3 * F.col("l_orderkey") + 1).alias("b"))
+    return review.families(o.union(li).filter("a IS NOT NULL AND b IS NOT NULL"))
+
+
 @query("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1996-06-01', 500000)) WHERE rn <= 50")
 def keyset_page(spark, d):
     o = table(spark, d, "orders")
