@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_HELD: dict[tuple, Any] = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker until it is asked for another key.
+
+    Spark reuses its Python workers, so what the stages of a long job keep would add up; only the last is kept.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -30,29 +49,55 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def send(spark: SparkSession, content: bytes, kind: str) -> str:
+    """Hand ``content`` to every executor through Spark's file server; its name there, for SparkFiles."""
+    name = f"{kind}-{hashlib.sha256(content).hexdigest()[:20]}"
+    if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        target = Path(tempfile.mkdtemp(prefix="tidemark-")) / name
+        target.write_bytes(content)
+        spark.sparkContext.addFile(str(target))
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one is set only where the session names none (tests)."""
+    """The session's shared checkpoint folder; a temporary one is set only in local mode, where the session names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     chosen = named or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     sc.setCheckpointDir(chosen)
     return chosen
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return it without its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared checkpoint folder, without its lineage.
 
-
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as Parquet: compressed, and later reads take only the columns they need."""
+    It is Parquet, so it is compressed, its size is known to the planner and later reads take only the columns they
+    need.  Like checkpoint files, the tables are left for whoever cleans the checkpoint folder.
+    """
     out = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(out)
-    return df.sparkSession.read.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
