@@ -5,10 +5,14 @@ taken as variable.  In a leaf, a token stays constant at its place if enough doc
 are variable.  Lines with the same constants and enough constant places share a template, and a template that
 recurs in enough documents is boilerplate: its first line, by doc_id and place, stays, all others are dropped.
 
+Lines move as digests of their masked tokens.  Only wordings in leaves that enough documents share are read again,
+each at its first place, so neither a common line nor a common leaf gathers in one task.
+
 Cases: a null text stays null and an empty one empty; blank lines are never templates; lines of rows that repeat a
 doc_id count for one document; a document whose every line is dropped is removed by ``drop_recurring_lines`` and has
 no lines in the report; ties go to the smallest doc_id and place; rows without a doc_id keep all lines; the working
-columns are made on the side, so other columns of any name pass through.
+columns are made on the side under names that the documents do not have, so columns of any name pass through; lines
+of any length are taken apart in full.
 """
 
 from __future__ import annotations
@@ -16,18 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, table
+from tidemark.session import cut, fresh, once, table
 
 #: Leading tokens in the tree, documents that make a template recurring, the share of places that must be constant.
 LEADING, MINIMUM_DOCS, CONSTANT_SHARE = 3, 10, 0.7
-#: Lines of more tokens are told apart by their whole wording, without variable places.
-LONGEST = 400
 VARIABLE = "<*>"
 
 
-def _digest(*parts: Column) -> Column:
+def _digest(*parts: Column) -> tuple[Column, Column]:
     """128 bits of what the parts hold."""
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit(2), *parts).alias("y"))
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
 def masked(tokens: Column) -> Column:
@@ -42,52 +44,56 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def recurring(docs: DataFrame, text: str = "text", minimum: int = MINIMUM_DOCS, share: float = CONSTANT_SHARE) -> tuple[DataFrame, DataFrame]:
     """((doc_id, pos) of lines to drop, templates (template, n_docs, n_lines)) of ``docs``."""
-    read = lines(docs, text).withColumn("tokens", masked(F.split(F.trim("line"), r"\s+")))
-    read = read.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)))
-    # Leaves with too few lines hold no template; only the others' wording moves.
-    crowded = read.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= minimum).select("leaf")
-    placed = cut(read.join(crowded, "leaf", "left_semi").select("doc_id", "pos", "leaf", _digest(F.col("tokens")).alias("type"), "tokens"))
-    per_type = placed.select("doc_id", "type").distinct().groupBy("type").agg(F.count(F.lit(1)).alias("docs"))
-    wordings = placed.groupBy("type").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    types = cut(wordings.join(per_type, "type"))
-    short = types.filter((F.size("tokens") > LEADING) & (F.size("tokens") <= LONGEST))
-    places = short.select("type", "leaf", "docs", F.posexplode("tokens").alias("at", "token"))
+    x, y = _digest(F.col("tokens"))
+    read = lines(docs, text).select("doc_id", "pos", masked(F.split(F.trim("line"), r"\s+")).alias("tokens"))
+    placed = cut(read.select("doc_id", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), x.alias("x"), y.alias("y")))
+    of_doc = placed.groupBy("leaf", "x", "y", "doc_id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    wordings = cut(of_doc.groupBy("leaf", "x", "y").agg(F.count(F.lit(1)).alias("docs"), F.min_by("pos", "doc_id").alias("pos"), F.min("doc_id").alias("doc_id")))
+    # Leaves that too few documents share hold no template; only the others' wordings are read.
+    crowded = cut(wordings.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= minimum).select("leaf"))
+    types = cut(wordings.join(crowded, "leaf", "left_semi"))
+    at = lines(docs, text).join(types, ["doc_id", "pos"]).select("leaf", "docs", "x", "y", masked(F.split(F.trim("line"), r"\s+")).alias("tokens"))
+    # Where texts repeat a doc_id, several lines stand at the place, and one of them is meant.
+    worded = cut(at.filter((F.col("x") == x) & (F.col("y") == y)).dropDuplicates(["x", "y"]))
+    places = worded.filter(F.size("tokens") > LEADING).select("x", "y", "leaf", "docs", F.posexplode("tokens").alias("at", "token"))
     constant = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= minimum)
     kept = places.join(constant.select("leaf", "at", "token", F.lit(True).alias("constant")), ["leaf", "at", "token"], "left")
     shown = F.struct("at", F.when(F.col("constant"), F.col("token")).otherwise(VARIABLE).alias("token"))
-    general = kept.groupBy("type").agg(
-        F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["token"]).alias("general"), F.avg(F.coalesce(F.col("constant"), F.lit(False)).cast("int")).alias("share")
+    general = kept.groupBy("x", "y").agg(
+        F.transform(F.array_sort(F.collect_list(shown)), lambda p: p["token"]).alias("general"), F.avg(F.coalesce(F.col("constant"), F.lit(False)).cast("int")).alias("share")
     )
     # A line that is too variable for a template still recurs if its own wording does.
     template = F.when((F.col("share") >= share) & (F.col("docs") < minimum), F.col("general")).otherwise(F.col("tokens"))
-    named = types.join(general, "type", "left").select("type", template.alias("words"))
+    named = worded.join(general, ["x", "y"], "left").select("x", "y", template.alias("words"))
     # The wordings that recur by themselves and the general ones must meet under one template.
-    named = cut(named.select("type", F.array_join("words", " ").alias("template"), _digest(F.col("words")).alias("key")))
-    found = placed.select("doc_id", "pos", "type").join(named.select("type", "key"), "type").select("doc_id", "pos", "key")
-    first = found.groupBy("key", "doc_id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    summed = first.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_lines"), F.min(F.struct("doc_id", "pos")).alias("keep")).filter(F.col("n_docs") >= minimum)
-    summed = cut(summed)
-    drop = found.join(summed, "key").filter(F.struct("doc_id", "pos") != F.col("keep")).select("doc_id", "pos")
-    texts = named.groupBy("key").agg(F.min("template").alias("template"))
-    return drop, summed.join(texts, "key").select("template", "n_docs", "n_lines")
-
-
-def _without(docs: DataFrame, drop: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_dropped``, the number of dropped lines, and ``_left``, the text of the others."""
-    per_doc = drop.groupBy("doc_id").agg(F.collect_set("pos").alias("_places")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(per_doc, docs["doc_id"] == F.col("_id"), "left").drop("_id")
-    pieces = F.filter(F.split(text, "\n", -1), lambda line, k: ~F.array_contains(F.col("_places"), k))
-    left = F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(pieces, "\n"))
-    return joined.withColumns({"_left": left, "_dropped": F.coalesce(F.size("_places"), F.lit(0))}).drop("_places")
+    p, q = _digest(F.col("words"))
+    named = cut(named.select("x", "y", F.array_join("words", " ").alias("template"), p.alias("p"), q.alias("q")))
+    first = of_doc.join(named.select("x", "y", "p", "q"), ["x", "y"]).groupBy("p", "q", "doc_id").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"))
+    summed = first.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_lines"), F.min_by("pos", "doc_id").alias("keep_pos"), F.min("doc_id").alias("keep_doc"))
+    found = cut(named.join(summed.filter(F.col("n_docs") >= minimum), ["p", "q"]))
+    drop = placed.join(found.select("x", "y", "keep_doc", "keep_pos"), ["x", "y"]).filter((F.col("doc_id") != F.col("keep_doc")) | (F.col("pos") != F.col("keep_pos")))
+    templates = found.groupBy("p", "q", "n_docs", "n_lines").agg(F.min("template").alias("template"))
+    return drop.select("doc_id", "pos"), templates.select("template", "n_docs", "n_lines")
+
+
+def _without(docs: DataFrame, drop: DataFrame, text: str, left: str, dropped: str) -> DataFrame:
+    """``docs`` with ``dropped``, the number of dropped lines, and ``left``, the text of the others."""
+    key, places = fresh(docs, "id", "places")
+    per_doc = drop.groupBy("doc_id").agg(F.collect_set("pos").alias(places)).withColumnRenamed("doc_id", key)
+    joined = docs.join(per_doc, docs["doc_id"] == F.col(key), "left").drop(key)
+    pieces = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(places))
+    rest = once(F.struct(pieces.alias("p"), stay.alias("k")), lambda s: F.array_join(F.transform(s["k"], lambda k: F.get(s["p"], k)), "\n"))
+    return joined.withColumns({left: F.when(F.col(places).isNull(), F.col(text)).otherwise(rest), dropped: F.coalesce(F.size(places), F.lit(0))}).drop(places)
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """``docs`` without recurring lines and without the documents of which nothing is left; ``n_chars`` is kept true."""
     drop, _ = recurring(docs, text, **settings)
-    left = _without(docs, drop, text).filter((F.col("_dropped") == 0) | F.col("_left").rlike(r"\S"))
-    out = left.withColumn(text, F.col("_left"))
+    left, dropped = fresh(docs, "left", "dropped")
+    out = _without(docs, drop, text, left, dropped).filter((F.col(dropped) == 0) | F.col(left).rlike(r"\S")).withColumn(text, F.col(left))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -96,6 +102,6 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drop, _ = recurring(docs)
     written = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"\S")))
-    return _without(docs, drop, "text").select(
-        "doc_id", written.cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("_left", F.lit("")), 256).alias("kept_sha256")
+    return _without(docs, drop, "text", "left", "dropped").select(
+        "doc_id", written.cast("long").alias("n_lines"), F.col("dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("left", F.lit("")), 256).alias("kept_sha256")
     )
