@@ -7,8 +7,12 @@ meet, their suffixes are sorted in two stages (those smaller than their successo
 scanning the buckets), and neighbours with a common prefix of LENGTH bytes are repeated.
 
 Fragments that are equal as wholes are repeated at every start, and equal texts are handled once.  A k-gram under
-which more than GROUP different fragments meet is not sorted in one task: its strings of LENGTH bytes are counted by
-a 128-bit hash and their place around the k-gram instead.
+which more than GROUP different fragments meet is too much for one task.  Its fragments are cut into pieces of TILE
+starts each, which meet at everything that the strings of such a piece have in common, LENGTH - TILE + 1 bytes; the
+pieces of a group are suffix-sorted like fragments.  Only where more than GROUP different pieces share all of that,
+single strings, which are TILE to a piece, are counted by their hash.
+
+Hashes of whole fragments, pieces and strings have 128 bits and are not compared byte by byte.
 
 Cases: a null text counts as empty; texts of fewer than LENGTH bytes lose nothing; rows that repeat a doc_id are
 separate texts with one result each; a null doc_id is removed from as any other; other columns are not read.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.minhash import _mixed
 from tidemark.session import cut, ship_package, table
 
-LENGTH, GRAM, GROUP = 400, 32, 1000
+LENGTH, GRAM, GROUP, TILE = 400, 32, 1000, 16
 SEGMENT = 4_000_000
 
 
@@ -121,8 +125,18 @@ def _ranges(starts: list[int]) -> list[int]:
     return out
 
 
+_FRAGMENTS = "row bigint, n_bytes bigint, tx bigint, ty bigint, gram bigint, fx bigint, fy bigint, offset int, width int, firsts array<int>"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def _fragment_rows(docs: DataFrame) -> DataFrame:
-    """(row, n_bytes, tx, ty, gram, place, first, last, fx, fy) for every fragment; texts without any have one row of nulls."""
+    """_FRAGMENTS: a text's different fragments, each with its k-gram's offset, its last start and all its places.
+
+    Texts without any have one row of nulls.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -136,17 +150,22 @@ def _fragment_rows(docs: DataFrame) -> DataFrame:
                     for k, v in enumerate((row, len(b), *whole, None, None, None, None, None, None)):
                         out[k].append(v)
                     continue
-                found = [v.tolist() for v in fragments_of(np.frombuffer(b, np.uint8))]
-                n = len(found[0])
-                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b[s : e + LENGTH]) for s, e in zip(found[2], found[3], strict=True)]), np.int64)
-                for k, v in enumerate(([row] * n, [len(b)] * n, [whole[0]] * n, [whole[1]] * n, *found, digests[::2].tolist(), digests[1::2].tolist())):
+                at: dict[tuple[int, bytes], list] = {}
+                for gram, place, first, last in zip(*(v.tolist() for v in fragments_of(np.frombuffer(b, np.uint8))), strict=True):
+                    at.setdefault((gram, xxhash.xxh3_128_digest(b[first : last + LENGTH])), [place - first, last - first, []])[2].append(first)
+                digests = np.frombuffer(b"".join(d for _, d in at), np.int64)
+                n = len(at)
+                columns = ([row] * n, [len(b)] * n, [whole[0]] * n, [whole[1]] * n, [g for g, _ in at], digests[::2].tolist(), digests[1::2].tolist(), *zip(*at.values(), strict=True))
+                for k, v in enumerate(columns):
                     out[k] += v
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], names)
+            kinds = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], _names(_FRAGMENTS))
 
-    names = ["row", "n_bytes", "tx", "ty", "gram", "place", "first", "last", "fx", "fy"]
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(made, "row bigint, n_bytes bigint, tx bigint, ty bigint, gram bigint, place int, first int, last int, fx bigint, fy bigint")
+    return docs.mapInArrow(made, _FRAGMENTS)
+
+
+_PIECES = "gram bigint, fx bigint, fy bigint, offset int, bytes binary"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +175,33 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             b = t.as_py().encode()
             for w in wanted:
-                for k, v in enumerate((w["gram"], w["fx"], w["fy"], w["place"] - w["first"], b[w["first"] : w["last"] + LENGTH])):
+                for k, v in enumerate((w["gram"], w["fx"], w["fy"], w["offset"], b[w["first"] : w["first"] + w["width"] + LENGTH])):
                     out[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], ["gram", "fx", "fy", "offset", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], _names(_PIECES))
+
+
+_TILES = "gram bigint, fx bigint, fy bigint, start int, key bigint, ux bigint, uy bigint, bytes binary"
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_TILES: a fragment's pieces of at most TILE starts, by the bytes that all strings of the piece have in common."""
+    import xxhash
+
+    for batch in batches:
+        out: list[list] = [[] for _ in range(8)]
+        for gram, fx, fy, offset, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            # A string that starts d bytes before the k-gram belongs to tile d // TILE.
+            for tile in range((offset - len(b) + LENGTH) // TILE, offset // TILE + 1):
+                low, high = max(0, offset - TILE * tile - TILE + 1), min(len(b) - LENGTH, offset - TILE * tile)
+                common = b[offset - TILE * tile : offset - TILE * tile + LENGTH - TILE + 1]
+                piece = b[low : high + LENGTH]
+                # Groups of one tile only: the digest holds which.
+                key = int(np.frombuffer(xxhash.xxh3_64_digest(common, seed=tile), np.int64)[0])
+                for k, v in enumerate((gram, fx, fy, low, key, *np.frombuffer(xxhash.xxh3_128_digest(piece), np.int64).tolist(), piece)):
+                    out[k].append(v)
+        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], _names(_TILES))
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +227,37 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of LENGTH bytes of a fragment by hash: (gram, fx, fy, start, around, sx, sy)."""
+    """Every string of LENGTH bytes of a piece by hash: (key, ux, uy, start, sx, sy)."""
     import xxhash
 
     for batch in batches:
-        for gram, fx, fy, offset, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for key, ux, uy, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             n = len(b) - LENGTH + 1
             d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b[s : s + LENGTH]) for s in range(n)]), np.int64)
-            start = np.arange(n, dtype=np.int32)
-            columns = [pa.array(np.full(n, v)) for v in (gram, fx, fy)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(start), pa.array(offset - start), pa.array(d[::2]), pa.array(d[1::2])], ["gram", "fx", "fy", "start", "around", "sx", "sy"])
+            columns = [pa.array(np.full(n, v)) for v in (key, ux, uy)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n, dtype=np.int32)), pa.array(d[::2]), pa.array(d[1::2])], ["key", "ux", "uy", "start", "sx", "sy"])
+
+
+_RANGES = "gram bigint, fx bigint, fy bigint, ranges array<int>"
+
+
+def _crowded_ranges(pieces: DataFrame, group: int) -> DataFrame:
+    """_RANGES of the fragments of crowded k-grams; a fragment may have several rows."""
+    tiles = cut(pieces.mapInArrow(_tiled, _TILES))
+    kinds = cut(tiles.groupBy("key", "ux", "uy").agg(F.count(F.lit(1)).alias("times"), F.min("bytes").alias("bytes")))
+    meeting = cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    unequal = kinds.join(meeting, "key")
+    few = unequal.filter(F.col("members") <= group).select("key", "ux", "uy", "bytes").repartition("key").sortWithinPartitions("key")
+    by_sorting = few.mapInArrow(_sorted_groups, _RANGES).toDF("key", "ux", "uy", "ranges")
+    strings = unequal.filter(F.col("members") > group).select("key", "ux", "uy", "bytes").mapInArrow(_all_strings, "key bigint, ux bigint, uy bigint, start int, sx bigint, sy bigint")
+    strings = cut(strings)
+    twice = strings.groupBy("key", "sx", "sy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "sx", "sy")
+    by_count = strings.join(twice, ["key", "sx", "sy"]).groupBy("key", "ux", "uy").agg(F.flatten(F.array_sort(F.collect_list(F.array("start", "start")))).alias("ranges"))
+    partial = cut(by_sorting.union(by_count))
+    whole = kinds.filter("times > 1").select("key", "ux", "uy", F.array(F.lit(0), F.length("bytes") - LENGTH).alias("ranges"))
+    repeated = whole.union(partial.join(whole, ["key", "ux", "uy"], "left_anti"))
+    found = tiles.select("gram", "fx", "fy", "start", "key", "ux", "uy").join(repeated, ["key", "ux", "uy"])
+    return found.select("gram", "fx", "fy", F.expr("transform(ranges, r -> r + start)").alias("ranges"))
 
 
 def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -204,28 +267,27 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", group:
     texts = rows.select("row", "n_bytes", "tx", "ty").distinct()
     equal = texts.groupBy("tx", "ty").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
     known = cut(texts.join(equal, ["tx", "ty"]).select("row", "rep", "n_bytes", "copies"))
-    alone = known.filter("row = rep").select("row", "copies")
-    fragments = rows.filter("gram IS NOT NULL").drop("n_bytes", "tx", "ty").join(alone.select("row"), "row")
-    shared = fragments.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    fragments = cut(fragments.join(shared, "gram"))
-    kinds = fragments.groupBy("gram", "fx", "fy").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "last", "place")).alias("at"))
-    kinds = cut(kinds.select("gram", "fx", "fy", "times", "at.*"))
-    meeting = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    alone = known.filter("row = rep").select("row")
+    fragments = rows.filter("gram IS NOT NULL").drop("n_bytes", "tx", "ty")
+    # Written first, so that the join shuffles both sides and a k-gram that very many texts hold can be split.
+    shared = cut(fragments.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n")).filter("n > 1").select("gram"))
+    fragments = cut(cut(fragments.join(shared, "gram")).join(alone, "row"))
+    kinds = cut(
+        fragments.groupBy("gram", "fx", "fy").agg(
+            F.sum(F.size("firsts")).alias("times"), F.min("offset").alias("offset"), F.min("width").alias("width"), F.min_by(F.col("firsts")[0], "row").alias("first"), F.min("row").alias("row")
+        )
+    )
+    meeting = cut(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     unequal = kinds.join(meeting, "gram")
-    wanted = unequal.groupBy("row").agg(F.collect_list(F.struct("gram", "fx", "fy", "first", "last", "place")).alias("wanted"))
-    pieces = docs.join(wanted, "row").select("text", "wanted").mapInArrow(_cut_out, "gram bigint, fx bigint, fy bigint, offset int, bytes binary")
-    pieces = pieces.join(meeting, "gram")
+    wanted = unequal.groupBy("row").agg(F.collect_list(F.struct("gram", "fx", "fy", "first", "offset", "width")).alias("wanted"))
+    pieces = cut(docs.join(wanted, "row").select("text", "wanted").mapInArrow(_cut_out, _PIECES).join(meeting, "gram"))
     few = pieces.filter(F.col("members") <= group).select("gram", "fx", "fy", "bytes").repartition("gram").sortWithinPartitions("gram")
-    sorted_ranges = few.mapInArrow(_sorted_groups, "gram bigint, fx bigint, fy bigint, ranges array<int>")
     many = pieces.filter(F.col("members") > group).select("gram", "fx", "fy", "offset", "bytes")
-    strings = many.mapInArrow(_all_strings, "gram bigint, fx bigint, fy bigint, start int, around int, sx bigint, sy bigint")
-    key = ["gram", "around", "sx", "sy"]
-    twice = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
-    counted = strings.join(twice, key).groupBy("gram", "fx", "fy").agg(F.array_sort(F.collect_list(F.array("start", "start"))).alias("r")).select("gram", "fx", "fy", F.flatten("r").alias("ranges"))
-    partial = cut(sorted_ranges.union(counted))
-    whole = kinds.filter("times > 1").select("gram", "fx", "fy", F.array(F.lit(0), F.col("last") - F.col("first")).alias("ranges"))
-    repeated = whole.union(partial.join(whole, ["gram", "fx", "fy"], "left_anti"))
-    of_text = fragments.join(repeated, ["gram", "fx", "fy"]).select("row", "first", F.expr("transform(sequence(0, cast(size(ranges) / 2 as int) - 1), k -> struct(first + ranges[2 * k] as start, first + ranges[2 * k + 1] + 400 as stop))").alias("spans"))
+    partial = cut(few.mapInArrow(_sorted_groups, _RANGES).union(_crowded_ranges(many, group)))
+    whole = kinds.filter("times > 1").select("gram", "fx", "fy", F.array(F.lit(0), "width").alias("ranges"))
+    repeated = cut(whole.union(partial.join(whole, ["gram", "fx", "fy"], "left_anti")))
+    places = fragments.join(repeated, ["gram", "fx", "fy"]).select("row", F.explode("firsts").alias("first"), "ranges")
+    of_text = places.select("row", F.expr(f"transform(sequence(0, cast(size(ranges) / 2 as int) - 1), k -> struct(first + ranges[2 * k] as start, first + ranges[2 * k + 1] + {LENGTH} as stop))").alias("spans"))
     spans = of_text.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     return known.select("row", "n_bytes", "copies"), spans
 
