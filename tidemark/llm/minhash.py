@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.session import cut, ship_package, table
+from tidemark.session import cut, held, ship_package, table
 
 SHINGLE = 5
 SIMILARITY = 75
@@ -45,7 +45,7 @@ BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 #: Signature values, of TREES * DEPTH, in which a plausible pair agrees; a pair at s = 0.75 has fewer with probability
 #: 5e-6 at most.
 PLAUSIBLE = 42
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -59,6 +59,11 @@ class _Words(dict):
         return h
 
 
+def kept_words() -> dict:
+    """The hashes of recent words, kept between the tasks of this worker."""
+    return held(("words",), _Words)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -95,7 +100,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words, factors = _Words(), signature_factors(TREES * DEPTH)
+        words, factors = kept_words(), signature_factors(TREES * DEPTH)
         for batch in batches:
             n, digests, sigs = [], [], []
             for t in batch.column(1):
@@ -159,7 +164,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+    words = kept_words()
     last, held = None, None
     for batch in batches:
         keep_a, keep_b = [], []
@@ -292,17 +297,17 @@ def _runs(rows: np.ndarray, cols: np.ndarray) -> tuple[list[int], list[np.ndarra
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+    words = kept_words()
     for batch in batches:
         sets = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "shingles"])
 
 
-def missed_links(keyed: DataFrame, signed: DataFrame, sets: Callable[[DataFrame], DataFrame], shape: Shape) -> DataFrame:
+def missed_links(keyed: DataFrame, signed: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], shape: Shape) -> DataFrame:
     """Links (a, b) between components whose members share a region.
 
-    ``keyed`` is (id, component, n, tree, region), ``signed`` (id, signature), and ``sets`` gives (id, shingles), the
-    sorted hashes as bytes, of wanted ids.
+    ``keyed`` is (id, component, n, tree, region), and of wanted ids ``signed`` gives (id, signature) and ``sets``
+    (id, shingles), the sorted hashes as bytes.
     """
     mixed = keyed.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("words"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("words") / BLOCK_SHINGLES))
@@ -311,7 +316,7 @@ def missed_links(keyed: DataFrame, signed: DataFrame, sets: Callable[[DataFrame]
     dealt = places.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     part = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
     rows = dealt.select(part.alias("part"), (F.col("block") != F.col("other")).alias("cross_blocks"), "tree", "block", "id", "component", "n")
-    rows = rows.join(signed, "id").select([x.split()[0] for x in _ROW.split(", ")])
+    rows = rows.join(cut(signed(places.select("id").distinct())), "id").select([x.split()[0] for x in _ROW.split(", ")])
     unsettled = cut(rows.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_unsettled, shape=shape), _ROW))
     whole = unsettled.join(sets(unsettled.select("id").distinct()), "id").select(*unsettled.columns, "shingles")
     return whole.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_settled, shape=shape), "a bigint, b bigint").distinct()
@@ -333,7 +338,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         texts = docs.select("doc_id", text).join(used.toDF("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         return texts.mapInArrow(_full_sets, "id bigint, shingles binary")
 
-    missed = missed_links(placed.select("id", "component", "n", tree.alias("tree", "region")), placed.select("id", "signature"), full_sets, Shape())
+    missed = missed_links(placed.select("id", "component", "n", tree.alias("tree", "region")), lambda wanted: placed.select("id", "signature").join(wanted, "id"), full_sets, Shape())
     joined_later = connected_components(cut(missed))
     classes = placed.join(joined_later.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
     classes = classes.select("set_a", "set_b", F.coalesce("whole", "component").alias("component"))

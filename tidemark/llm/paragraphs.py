@@ -1,11 +1,17 @@
 """Substring dedup by paragraphs.
 
-Two kinds of paragraphs are compared: whole lines, and pieces between cuts that the words themselves choose (the
-smallest shingle hash of every CUT_WINDOW), so that a passage inside other text is cut alike wherever it stands.
-Lines meet by MinHash bands and are confirmed by the exact Jaccard similarity of their shingles: each with the first
-line of its band, and then, in bands that still hold several components, each with every line of another component,
-in blocks inside tasks.  Pieces are short and meet by equal wording.  Links make components, whose first paragraph, by doc_id and place, stays.  Overlapping
-paragraphs are merged to runs; a passage of more than 50 words holds a run of at least MINIMUM_RUN words.
+Paragraphs are the lines of a text and, in lines of more than LONG_LINE words, also parts between cuts that the words
+themselves choose (the smallest shingle hash of every LONG_WINDOW).  They meet by MinHash bands and are confirmed by
+the exact Jaccard similarity of their shingles: each with the first paragraph of its band, and then, in bands that
+still hold several components, each with every paragraph of another component, in blocks inside tasks.  Links make
+components, whose first paragraph, by doc_id and place, stays.
+
+A passage inside a longer line is too small a part of its paragraph to make it similar.  So lines of PIECED words and
+more are also cut into pieces (the smallest shingle hash of every CUT_WINDOW), which are too short for MinHash and
+meet by equal wording, by a 64-bit hash.
+
+Overlapping paragraphs and pieces are merged to runs; a passage of more than 50 words holds a run of at least
+MINIMUM_RUN words.
 
 Places are word positions, end exclusive.  A paragraph counts as repeated if another document has it.
 
@@ -25,14 +31,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.minhash import _LOWER, SHINGLE, SIMILARITY, Shape, _mixed, _signature, _Words, missed_links, signature_factors
-from tidemark.session import cut, ship_package, table, written
-
-CUT_WINDOW, MINIMUM_RUN, MINIMUM_LINE = 16, 19, 20
-#: Two lines at similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.75.
-BANDS, ROWS = 11, 2
-#: Signature values, of BANDS * ROWS, in which a plausible pair agrees; a pair at 0.75 has fewer with probability 2.5e-5.
-PLAUSIBLE = 8
+from tidemark.llm.minhash import _LOWER, SHINGLE, SIMILARITY, Shape, _mixed, _signature, kept_words, missed_links, signature_factors
+from tidemark.session import cut, ship_package, table
+
+CUT_WINDOW, PIECED, MINIMUM_RUN = 16, 60, 19
+LONG_LINE, LONG_WINDOW = 100, 64
+#: Bands, and signature values of which the first is the band's key.  Two paragraphs at similarity s share a band with
+#: probability 1 - (1 - s) ** BANDS: 0.9998 at 0.75.
+BANDS, DEPTH = 6, 3
+#: Signature values, of BANDS * DEPTH, in which a plausible pair agrees; a pair at 0.75 has fewer with probability 4e-5.
+PLAUSIBLE = 6
 BLOCK_WORDS = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,41 +89,56 @@ def _run_hashes(g: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
 
 
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, start, stop, x, bands): pieces, and lines, which alone have bands."""
+    """(doc_id, start, stop, x, signature): pieces, and paragraphs, which alone have signatures."""
+
+    def places(g: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last + 1 shingle of pieces and of paragraphs."""
+        begin, end = lines[:-1], np.minimum(lines[1:] - SHINGLE + 1, len(g))
+        words = lines[1:] - begin
+        line = words >= SHINGLE
+        if words.max(initial=0) < PIECED:
+            none = np.zeros(0, np.int64)
+            return none, none, begin[line], end[line]
+
+        def between(at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+            """Neighbouring cuts of which one at least is in a line of ``least`` words or more."""
+            long = words[np.searchsorted(lines, at, side="right") - 1] >= least
+            used = long[:-1] | long[1:]
+            return at[:-1][used], at[1:][used] + 1
+
+        first, last = between(cuts(g), PIECED)
+        more, most = between(cuts(g, LONG_WINDOW), LONG_LINE + 1)
+        inner = most <= end[np.searchsorted(lines, more, side="right") - 1]
+        return first, last, np.concatenate([begin[line], more[inner]]), np.concatenate([end[line], most[inner]])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, factors = _Words(), signature_factors(BANDS * ROWS)
-        names = ["doc_id", "start", "stop", "x", "bands"]
+        words, factors = kept_words(), signature_factors(BANDS * DEPTH)
+        names = ["doc_id", "start", "stop", "x", "signature"]
         for batch in batches:
             parts: list[list] = [[] for _ in names]
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 g, lines = shingles_in_order(t.as_py() or "", words)
                 if not len(g):
                     continue
-                at = cuts(g)
-                first, last = at[:-1], at[1:] + 1
-                begin, end = lines[:-1], lines[1:]
-                long = end - begin >= MINIMUM_LINE
-                begin, end = begin[long], end[long] - SHINGLE + 1
+                first, last, begin, end = places(g, lines)
                 x = _run_hashes(g, np.concatenate([first, begin]), np.concatenate([last, end]))
                 parts[0].append(np.full(len(x), doc_id, np.int64))
                 parts[1].append(np.concatenate([first, begin]).astype(np.int32))
                 parts[2].append((np.concatenate([last, end]) + SHINGLE - 1).astype(np.int32))
                 parts[3].append(x)
-                bands = [_signature(g[b:e], factors).astype(np.int64).reshape(BANDS, ROWS) for b, e in zip(begin, end, strict=True)]
-                parts[4] += [None] * len(first) + [(b[:, 0] * np.int64(1 << 32) + (b[:, 1] & np.int64(0xFFFFFFFF))).tolist() for b in bands]
+                parts[4] += [None] * len(first) + [_signature(g[b:e], factors) for b, e in zip(begin, end, strict=True)]
             joined = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts[:4]]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             columns = [pa.array(j, kind) for j, kind in zip(joined, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts[4], pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts[4], pa.list_(pa.int32()))], names)
 
     ship_package(docs.sparkSession)
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text)
-    return rows.mapInArrow(made, "doc_id bigint, start int, stop int, x bigint, bands array<bigint>")
+    return rows.mapInArrow(made, "doc_id bigint, start int, stop int, x bigint, signature array<int>")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+    words = kept_words()
     for batch in batches:
         a, b = [], []
         for x, y, s, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -127,14 +150,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def met_lines(lines: DataFrame) -> DataFrame:
-    """(band, tree, id, a, members): the bands of ``lines`` that several lines share, and each one's smallest id."""
-    keyed = lines.select("id", F.posexplode(F.transform("bands", lambda v, k: F.xxhash64(k, v))).alias("tree", "band"))
-    heads = keyed.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return cut(keyed.join(heads, "band"))
+    """(band, tree, id, a): the bands of ``lines`` (x, signature) that several wordings share, and each one's smallest."""
+    firsts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.get("signature", k * DEPTH)))
+    keyed = lines.select(F.col("x").alias("id"), F.posexplode(firsts).alias("tree", "band"))
+    # Most bands have one wording.  They go before any paragraph moves.
+    shared = cut(keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z"))
+    return cut(keyed.join(shared, "band").distinct())
 
 
 def similar_lines(met: DataFrame, lines: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Confirmed links (a, b) between the first line of a band and the others; ``lines`` is (id, doc_id, start, stop, bands)."""
+    """Confirmed links (a, b) between the first line of a band and the others; ``lines`` is (id, doc_id, start, stop)."""
     pairs = cut(met.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     places = lines.select("id", "doc_id", "start", "stop").join(used, "id")
@@ -149,7 +174,7 @@ def similar_lines(met: DataFrame, lines: DataFrame, docs: DataFrame, text: str =
 
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+    words = kept_words()
     for batch in batches:
         ids, sets = [], []
         for t, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -163,39 +188,41 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_components(lines: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, component) of the ``lines`` (id, doc_id, start, stop, bands) that are linked to another wording."""
+    """(id, component) of the ``lines`` (doc_id, start, stop, x, signature) that are linked to another wording x."""
     met = met_lines(lines)
-    first = cut(connected_components(similar_lines(met, lines, docs, text)))
-    # A band of two lines has been compared whole.
-    crowded = met.filter("members > 2").select("id", "tree", F.col("band").alias("region"))
-    keyed = crowded.join(lines.select("id", (F.col("stop") - F.col("start")).cast("long").alias("n")), "id").join(first, "id", "left")
+    used = met.select("id").distinct()
+    wordings = lines.groupBy(F.col("x").alias("id")).agg(F.min_by("start", "doc_id").alias("start"), F.min_by("stop", "doc_id").alias("stop"), F.min("doc_id").alias("doc_id"))
+    places = cut(wordings.join(used, "id"))
+    first = cut(connected_components(similar_lines(met, places, docs, text)))
+    keyed = met.select("id", "tree", F.col("band").alias("region")).join(places.select("id", (F.col("stop") - F.col("start")).cast("long").alias("n")), "id").join(first, "id", "left")
     keyed = keyed.select("id", F.coalesce("component", "id").alias("component"), "n", "tree", "region")
-    values = F.flatten(F.transform("bands", lambda v: F.array(F.shiftright(v, 32).cast("int"), F.shiftright(F.shiftleft(v, 32), 32).cast("int"))))
 
-    def sets(used: DataFrame) -> DataFrame:
-        places = lines.select("id", "doc_id", "start", "stop").join(used, "id")
-        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "stop")).alias("places"))
-        held = docs.select("doc_id", F.col(text).alias("whole")).join(wanted, "doc_id").select("whole", "places")
+    def sets(wanted: DataFrame) -> DataFrame:
+        per_doc = places.join(wanted, "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "stop")).alias("places"))
+        held = docs.select("doc_id", F.col(text).alias("whole")).join(per_doc, "doc_id").select("whole", "places")
         return held.mapInArrow(_line_sets, "id bigint, shingles binary").dropDuplicates(["id"])
 
-    missed = missed_links(keyed, lines.select("id", values.alias("signature")), sets, Shape(BANDS, ROWS, ROWS, PLAUSIBLE, False))
+    def signed(wanted: DataFrame) -> DataFrame:
+        return lines.select(F.col("x").alias("id"), "signature").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+    missed = missed_links(keyed, signed, sets, Shape(BANDS, DEPTH, 1, PLAUSIBLE, False))
     later = cut(connected_components(cut(missed)).select("id", F.col("component").alias("whole")))
     moved = first.join(later.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     return moved.union(later.join(first.select("id"), "id", "left_anti").select("id", "whole"))
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, start, stop, component_id, kept) of every paragraph that another document has as well."""
-    made = written(units(docs, text))
-    lines = made.filter("bands IS NOT NULL")
-    nodes = cut(lines.groupBy(F.col("x").alias("id")).agg(F.min_by(F.struct("doc_id", "start", "stop", "bands"), "doc_id").alias("head")).select("id", "head.*"))
-    components = line_components(nodes, docs, text)
-    grouped = made.select("doc_id", "start", "stop", "x", F.col("bands").isNotNull().alias("line"))
-    of_line = grouped.filter("line").join(components.withColumnRenamed("id", "x"), "x", "left").withColumn("component_id", F.coalesce("component", "x")).drop("component")
-    every = grouped.filter("NOT line").withColumn("component_id", F.col("x")).unionByName(of_line).drop("x")
-    shared = every.groupBy("component_id", "line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    found = every.join(shared, ["component_id", "line"])
-    return found.select("doc_id", "start", "stop", "component_id", (F.col("doc_id") == F.col("first")).alias("kept"))
+    """(doc_id, start, stop, component_id, kept) of every paragraph and piece that another document has as well."""
+    made = cut(units(docs, text))
+    lines, pieces = made.filter("signature IS NOT NULL"), made.filter("signature IS NULL").drop("signature")
+    components = cut(line_components(lines, docs, text))
+    placed = lines.select("doc_id", "start", "stop", "x").join(components.withColumnRenamed("id", "x"), "x", "left").select("doc_id", "start", "stop", F.coalesce("component", "x").alias("component_id"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        ends = cut(rows.groupBy("component_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
+        return rows.join(ends, "component_id").select("doc_id", "start", "stop", "component_id", (F.col("doc_id") == F.col("first")).alias("kept"))
+
+    return shared(cut(placed)).unionByName(shared(pieces.withColumnRenamed("x", "component_id")))
 
 
 def merged_runs(found: DataFrame, minimum: int = MINIMUM_RUN) -> DataFrame:
