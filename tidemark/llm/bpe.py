@@ -11,17 +11,14 @@ added tokens in a text become those tokens; repeated rows are encoded each on it
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import mmap
 import os
 import re
-import tempfile
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -31,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ship_package, table
+from tidemark.session import held, send, ship_package, table
 
 #: Words of a byte-level tokenizer (fixed value); White_Space is spelled out because Python's \s holds more.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -44,7 +41,7 @@ LATIN_WORDS = re.compile(f" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGITS}]+|
 #: Most words in the lexicon, and how often a task must have met a word to put it forward.
 LEXICON_WORDS = 65536
 TASK_MINIMUM = 4
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 LONG_TEXT = 4_000_000
 ROWS_OUT = 256
 
@@ -263,19 +260,11 @@ class Encoder:
         return b"".join([of[i] for i in ids]).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=4)
 def _encoder(tokenizer: str, lexicon: str | None) -> Encoder:
-    return Encoder(Merges(Path(SparkFiles.get(tokenizer)).read_text()), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+    def made() -> Encoder:
+        return Encoder(Merges(Path(SparkFiles.get(tokenizer)).read_text()), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
-
-def _send(spark: SparkSession, content: bytes, kind: str) -> str:
-    """Hand ``content`` to every executor through Spark's file server; its name there."""
-    name = f"{kind}-{hashlib.sha256(content).hexdigest()[:20]}"
-    if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
-        target = Path(tempfile.mkdtemp(prefix="tidemark-")) / name
-        target.write_bytes(content)
-        spark.sparkContext.addFile(str(target))
-    return name
+    return held(("bpe", tokenizer, lexicon), made)
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
@@ -296,7 +285,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", limit: i
                     seen.update(encoder.find(value))
                 elif value:
                     seen.update(m.group() for m in encoder.words.finditer(value))
-                if len(seen) > 2 * MEMO_WORDS:
+                if len(seen) > 4 * MEMO_WORDS:
                     yield flush()
         yield flush()
 
@@ -309,11 +298,11 @@ def prepare(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon_wo
     spark = docs.sparkSession
     ship_package(spark)
     content = Path(tokenizer_path).read_bytes()
-    tokenizer = _send(spark, content, "tokenizer")
+    tokenizer = send(spark, content, "tokenizer")
     words = frequent_words(docs, tokenizer, text, lexicon_words)
     merges = Merges(content.decode())
     lexicon = compile_lexicon({w.encode(): merges.merge(w.encode()) for w in words})
-    return tokenizer, _send(spark, lexicon, "lexicon") if words else None
+    return tokenizer, send(spark, lexicon, "lexicon") if words else None
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -346,7 +335,7 @@ def decode_documents(tokens: DataFrame, tokenizer_path: str, ids: str = "token_i
     """``tokens`` with the text of the column ``ids``; a null list decodes to the empty text."""
     spark = tokens.sparkSession
     ship_package(spark)
-    tokenizer = _send(spark, Path(tokenizer_path).read_bytes(), "tokenizer")
+    tokenizer = send(spark, Path(tokenizer_path).read_bytes(), "tokenizer")
     tokens = tokens.drop(text)
     at = tokens.columns.index(ids)
     schema = T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())])

@@ -1,35 +1,41 @@
 """Benchmark decontamination by edit distance.
 
-Windows as long as an item are cut from every text wherever enough of the item's pieces stand on nearly one diagonal.
-A window within the distance must have that many untouched pieces, so this loses none.  CGK random walks embed
+Windows as long as an item stand in every text wherever at least half as many of the item's pieces as a leak must
+leave untouched lie on nearly one diagonal; this only orders the work and loses no leak.  CGK random walks embed
 windows and items so that few edits become few differing places; repeated samples of these places are LSH keys, and
 windows that share a key with an item are verified by exact edit distance.
 
+Items of fewer than WALKED characters allow two edits at most.  Their walks are too short to be sampled, so of their
+pieces, one more than edits, one that is untouched leads to verification.
+
 Letters are compared in lower case and every white space as a blank.
 
-Cases: null and empty texts hold no leaks; items that are null or shorter than SHORTEST characters are not looked
-for; texts of any length are read whole; items that repeat under several ids are all reported; an empty benchmark
-reports nothing; of several places in a document the nearest, then the first, is reported; rows without a doc_id are
-reported with a null id; other columns pass through ``drop_leaks`` untouched.
+Cases: null and empty texts hold no leaks; items that are null or shorter than SHORTEST characters, which any text
+may hold by chance, are not looked for; texts of any length are read whole; items that repeat under several ids are
+all reported; an empty benchmark reports nothing; of several places in a document the nearest, then the first, is
+reported; rows without a doc_id are reported with a null id; other columns pass through ``drop_leaks`` untouched.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ship_package, table
+from tidemark.session import held, send, ship_package, table
 
 #: Edits allowed per character of the item, and the length of the pieces that may stay untouched.
-DISTANCE, PIECE, SHORTEST = 0.1, 8, 24
+DISTANCE, PIECE, WALKED, SHORTEST = 0.1, 8, 24, 8
 #: Random walks, samples per walk, places per sample.  At 10 % edits about six in ten places agree, so a window shares
-#: no key with its item with probability (1 - 0.6 ** 4) ** 120, 4e-8 if samples were independent; measured 2 %.
-WALKS, SAMPLES, PLACES = 6, 20, 4
+#: no key with its item with probability (1 - 0.6 ** 4) ** 200 if samples were independent; those of one walk are not,
+#: so the number of walks decides: tests/llm/test_brute.py asks for 0.99 of the leaks.
+WALKS, SAMPLES, PLACES = 10, 20, 4
 #: Benchmark characters that go along with one pass over the documents; larger benchmarks take several passes.
 PASS_CHARS = 8_000_000
 BLOCK_CHARS, WINDOW_BLOCK = 2_000_000, 8_000
@@ -122,6 +128,34 @@ class Walks:
         return out
 
 
+class Pieces:
+    """Pieces of one size of some items, by hash; every item has a piece at each multiple of the size."""
+
+    def __init__(self, size: int, of: list[int], texts: list[str]):
+        self.size, hashes, owners, offsets = size, [], [], []
+        for k in of:
+            h = piece_hashes(codes(texts[k]), size)[::size]
+            hashes.append(h)
+            owners.append(np.full(len(h), k))
+            offsets.append(np.arange(len(h)) * size)
+        order = np.argsort(np.concatenate(hashes), kind="stable")
+        self.hashes, self.owners, self.offsets = (np.concatenate(v)[order] for v in (hashes, owners, offsets))
+        self.present = np.zeros(1 << _PIECE_BITS, bool)
+        self.present[self.hashes >> np.uint64(64 - _PIECE_BITS)] = True
+
+    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start): where an item would start for one of its pieces to stand where it does; ordered."""
+        h = piece_hashes(x, self.size)
+        at = np.flatnonzero(self.present[h >> np.uint64(64 - _PIECE_BITS)])
+        low, high = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
+        times = high - low
+        at, low, times = at[times > 0], low[times > 0], times[times > 0]
+        entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, start = self.owners[entry], np.repeat(at, times) - self.offsets[entry]
+        order = np.lexsort((start, item))
+        return item[order], start[order]
+
+
 class Items:
     """The benchmark of one pass, with its pieces and LSH keys."""
 
@@ -130,17 +164,11 @@ class Items:
         self.texts = [t for _, t in rows]
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.lengths, self.edits = lengths, np.floor(lengths * DISTANCE).astype(np.int64)
-        self.needed = np.maximum(1, lengths // PIECE - self.edits)
-        hashes, owners, offsets = [], [], []
-        for k, t in enumerate(self.texts):
-            h = piece_hashes(codes(t))[:: PIECE][: len(t) // PIECE]
-            hashes.append(h)
-            owners.append(np.full(len(h), k))
-            offsets.append(np.arange(len(h)) * PIECE)
-        order = np.argsort(np.concatenate(hashes), kind="stable")
-        self.hashes, self.owners, self.offsets = (np.concatenate(v)[order] for v in (hashes, owners, offsets))
-        self.present = np.zeros(1 << _PIECE_BITS, bool)
-        self.present[self.hashes >> np.uint64(64 - _PIECE_BITS)] = True
+        walked = lengths >= WALKED
+        # Every edit touches at most one piece (a deletion between two touches none); half of the others are asked for.
+        self.needed = np.where(walked, np.maximum(1, (lengths // PIECE - self.edits + 1) // 2), 1)
+        sizes = np.where(walked, PIECE, np.minimum(PIECE, lengths // (self.edits + 1)))
+        self.pieces = [Pieces(int(size), np.flatnonzero(sizes == size).tolist(), self.texts) for size in np.unique(sizes)]
         self.walks = Walks(int(lengths.max()))
         whole = np.concatenate([codes(t) for t in self.texts])
         first = np.cumsum(lengths) - lengths
@@ -150,28 +178,26 @@ class Items:
 
     def windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, start) where enough pieces of an item stand within twice its edits of one diagonal."""
-        h = piece_hashes(x)
-        at = np.flatnonzero(self.present[h >> np.uint64(64 - _PIECE_BITS)])
-        low, high = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
-        times = high - low
-        at, low, times = at[times > 0], low[times > 0], times[times > 0]
-        entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, start = self.owners[entry], np.repeat(at, times) - self.offsets[entry]
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        last = np.arange(len(item)) + self.needed[item] - 1
-        inside = np.minimum(last, max(0, len(item) - 1))
-        fits = (last < len(item)) & (item[inside] == item) & (start[inside] - start <= 2 * self.edits[item])
-        item, start = item[fits], start[fits]
-        apart = 3
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (start[1:] // apart != start[:-1] // apart)
-        return item[new], np.maximum(start[new], 0)
+        items, starts = [], []
+        for pieces in self.pieces:
+            item, start = pieces.hits(x)
+            last = np.arange(len(item)) + self.needed[item] - 1
+            inside = np.minimum(last, max(0, len(item) - 1))
+            fits = (last < len(item)) & (item[inside] == item) & (start[inside] - start <= 2 * self.edits[item])
+            item, start = item[fits], start[fits]
+            apart = 3
+            new = np.ones(len(item), bool)
+            new[1:] = (item[1:] != item[:-1]) | (start[1:] // apart != start[:-1] // apart)
+            items.append(item[new])
+            starts.append(np.maximum(start[new], 0))
+        return np.concatenate(items), np.concatenate(starts)
 
     def candidates(self, x: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start) of windows that share an LSH key with their item."""
+        """(item, start) of windows that share an LSH key with their item, and all those of short items."""
         item, start = self.windows(x)
-        out = []
+        short = self.lengths[item] < WALKED
+        out = list(zip(item[short].tolist(), start[short].tolist(), strict=True))
+        item, start = item[~short], start[~short]
         for at in range(0, len(item), WINDOW_BLOCK):
             i, s = item[at : at + WINDOW_BLOCK], start[at : at + WINDOW_BLOCK].astype(np.int64)
             order = np.argsort(-self.lengths[i], kind="stable")
@@ -181,11 +207,6 @@ class Items:
         return out
 
 
-@lru_cache(maxsize=2)
-def _items(rows: tuple[tuple[int, str], ...]) -> Items:
-    return Items(rows)
-
-
 def leaks_in(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, start, end): the nearest place of every item that leaks into a text."""
     x = codes("\0".join(texts))
@@ -237,14 +258,27 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, texts
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame) -> list[str]:
+    """The benchmark's passes as files that Spark hands to every executor; their names there."""
+    names = []
+    for rows in benchmark_passes(benchmark):
+        content = json.dumps(rows).encode()
+        names.append(send(spark, content, "benchmark"))
+    return names
+
+
+def _items(name: str) -> Items:
+    return held(("benchmark", name), lambda: Items(tuple((i, t) for i, t in json.loads(Path(SparkFiles.get(name)).read_text()))))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end) for every item within the distance of a part of a document."""
     ship_package(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, distance bigint, start bigint, end bigint")
-    for rows in benchmark_passes(benchmark):
+    for name in _passes(docs.sparkSession, benchmark):
 
-        def found(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            items = _items(rows)
+        def found(batches: Iterator[pa.RecordBatch], name=name) -> Iterator[pa.RecordBatch]:
+            items = _items(name)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 hits = [(ids[first + doc], items.ids[k], *rest) for first, texts in _blocks(batch.column(1)) for doc, k, *rest in leaks_in(texts, items)]
@@ -258,10 +292,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     """``docs`` without the documents into which an item leaks."""
     ship_package(docs.sparkSession)
     at = docs.columns.index(text)
-    for rows in benchmark_passes(benchmark):
+    for name in _passes(docs.sparkSession, benchmark):
 
-        def clean(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            items = _items(rows)
+        def clean(batches: Iterator[pa.RecordBatch], name=name) -> Iterator[pa.RecordBatch]:
+            items = _items(name)
             for batch in batches:
                 leaky = {first + hit[0] for first, texts in _blocks(batch.column(at)) for hit in leaks_in(texts, items)}
                 yield batch.filter(pa.array([k not in leaky for k in range(batch.num_rows)], pa.bool_()))
