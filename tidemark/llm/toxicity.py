@@ -6,10 +6,10 @@ corpus needs it.  A window of words and quotation marks around each hit separate
 A logistic model over the weighted hits gives the score.
 
 Only the documents' text enters a score.  At most TRAINING_ROWS labelled documents, chosen by a hash of their id, are
-used to fit; everything is scored.
+used to fit, so what reaches the driver of their words is bounded; everything is scored.
 
 Cases: null or empty texts get the score of a text without hits; labels that are null are not used, repeated ones
-count once (toxic if any says so); without usable labels of both kinds the score is the smoothed share of toxic
+count once (toxic if any says so); of rows that repeat a doc_id the smallest text is used to fit; without usable labels of both kinds the score is the smoothed share of toxic
 labels; texts of any length are read whole; a null doc_id is held out; other columns are not read.
 """
 
@@ -20,25 +20,25 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, ship_package, table
+from tidemark.session import cut, held, ship_package, table
 
 TRAINING_ROWS = 8_000
 LEXICON_TERMS = 2_000
 MINIMUM_DOCS, MINIMUM_WEIGHT = 3, 2.0
 STEM_LENGTHS = range(4, 9)
-MEMO_WORDS, DFA_STATES = 400_000, 200_000
+MEMO_WORDS, DFA_STATES = 150_000, 40_000
 WINDOW = 6
 WORD = re.compile(r"\w+")
-#: Words that report speech or name a word, and marks that open or close a quotation (fixed values).
+#: Words that report speech or name a word, and quotation marks, of which the first ones open where nothing around
+#: them tells (fixed values).
 REPORTING = frozenset("said says saying called calling quote quoted quotes quoting word words term terms wrote writes dit disait mot sagte sagt wort nannte dijo dice palabra llamó".split())
-OPENING, CLOSING = "\"“«„‘", "\"”»“’"
+OPENING, MARK = "“«„‘", re.compile("[\"“«„‘”»’]")
 
 
 def tolerance(term: str) -> int:
@@ -137,15 +137,28 @@ class _Known(dict):
         return found
 
 
+def opens(text: str, at: int) -> bool | None:
+    """Whether the mark at ``at`` opens a quotation; None for an apostrophe."""
+    before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+    if before.isalnum() and after.isalnum():
+        return None
+    free, bound = not before or before.isspace() or before in "([", not after or after.isspace()
+    if free != bound:
+        return free
+    return text[at] in OPENING if free else not before.isalnum() and after.isalnum()
+
+
 def quoted_share(text: str, words: list[re.Match], at: int) -> float:
-    """How far the surroundings of the word at ``at`` speak for a quotation, 0 to 1."""
+    """How far the surroundings of the word at ``at`` speak for a quotation, 0 to 1.
+
+    The last mark before the word must open and the first one behind it close, both within WINDOW words.
+    """
     first, last = max(0, at - WINDOW), min(len(words) - 1, at + WINDOW)
-    before = text[words[first].start() : words[at].start()]
-    after = text[words[at].end() : words[last].end()]
-    opened = any(q in before for q in OPENING) and before[-1:] != " " or bool(before) and before[-1] in OPENING
-    closed = any(q in after for q in CLOSING)
+    before = [x for m in MARK.finditer(text, max(0, words[first].start() - 2), words[at].start()) if (x := opens(text, m.start())) is not None]
+    after = [x for m in MARK.finditer(text, words[at].end(), words[last].end() + 2) if (x := opens(text, m.start())) is not None]
+    quoted = bool(before) and before[-1] and bool(after) and not after[0]
     reported = any(w.group() in REPORTING for w in words[first:at])
-    return min(1.0, 0.6 * (opened and closed) + 0.4 * reported)
+    return min(1.0, 0.6 * quoted + 0.4 * reported)
 
 
 @dataclass(frozen=True)
@@ -156,15 +169,14 @@ class Model:
     coefficients: tuple[float, ...]
 
 
-@lru_cache(maxsize=2)
-def _known(terms: tuple[str, ...], clean: frozenset[str]) -> _Known:
-    return _Known(TermAutomaton(list(terms)), clean)
+def known_words(model: Model) -> _Known:
+    """What is known of words under the model's terms, kept between the tasks of this worker."""
+    return held(("toxicity", model.terms, model.clean), lambda: _Known(TermAutomaton(list(model.terms)), model.clean))
 
 
-def features(text: str | None, model: Model) -> list[float]:
+def features(text: str | None, model: Model, known: dict) -> list[float]:
     """Weighted hits outside quotation: exact, misspelt; weighted hits inside quotation."""
     lowered = (text or "").lower()
-    known = _known(model.terms, model.clean)
     hits = [(k, found) for k, found in enumerate(map(known.__getitem__, WORD.findall(lowered))) if found]
     if not hits:
         return [0.0, 0.0, 0.0]
@@ -204,7 +216,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", limit:
     """(text, toxic) of at most ``limit`` labelled documents outside the held-out fold."""
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.filter(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return cut(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic"))
+    used = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut(used.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
 
 
 def _choose_terms(counts: list[tuple[str, int, float]]) -> list[tuple[str, float]]:
@@ -274,11 +287,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
     # Words near a term that toxic documents do not favour are words of their own.
     clean = counts.filter((F.col("n") > 0) & (weight < MINIMUM_WEIGHT) & ~F.col("term").endswith("*")).select("term").mapInArrow(near_misses, "term string")
-    bare = Model(names, weights, frozenset(r["term"] for r in clean.orderBy("term").limit(10 * LEXICON_TERMS).collect()), ())
+    bare = Model(names, weights, frozenset(r["term"] for r in clean.collect()), ())
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_words(bare)
         for batch in batches:
-            x = [features(t.as_py(), bare) for t in batch.column(0)]
+            x = [features(t.as_py(), bare, known) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     # Bounded: TRAINING_ROWS rows of three numbers; equal rows come as one.
@@ -295,9 +309,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at, names = docs.columns.index(text), [*docs.columns, "score"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.coefficients
+        w, known = model.coefficients, known_words(model)
         for batch in batches:
-            z = [sum(a * b for a, b in zip(w, (*features(t.as_py(), model), 1.0), strict=True)) for t in batch.column(at)]
+            z = [sum(a * b for a, b in zip(w, (*features(t.as_py(), model, known), 1.0), strict=True)) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([1 / (1 + math.exp(-max(-500.0, min(500.0, v)))) for v in z], pa.float64())], names)
 
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
