@@ -2,9 +2,13 @@
 
 Centroids of a bounded sample deal the vectors to shards that overlap; a shard links each of its vectors to near
 ones that no closer pick already covers (robust pruning).  The shards' adjacency lists are united, every vector is
-searched for from its shard's medoid, and from the place found the search widens over the graph as long as it meets
-vectors near the range.  Found links are confirmed in double precision, and an audit against brute force over all
-rows, for a fixed sample of queries, widens the overlap until the recall is reached.
+searched for from its home shard's medoid, and from the place found the search widens over the graph as long as it
+meets vectors near the range.  What is near is decided in double precision.
+
+A task gives each of its vectors' number of links and folds the links themselves to a forest, so a group in which
+every vector is linked with every other costs one row per vector.  An audit compares the numbers with brute force
+over all rows, for the vectors whose id is divisible by 50 (at most AUDIT_QUERIES of them, chosen by a hash), and
+widens the overlap until the recall is reached.  If no overlap reaches it, all pairs of blocks are compared.
 
 Equal vectors are one node with a count.
 
@@ -28,12 +32,14 @@ from tidemark.session import cut, ship_package, table
 
 COSINE = 0.9
 #: Vectors a shard should hold, sampled vectors for the centroids, picks per vector, and the pruning factor.
-SHARD, SAMPLE, DEGREE, ALPHA = 1000, 8192, 16, 1.2
+SHARD, SAMPLE, DEGREE, ALPHA = 4000, 8192, 16, 1.2
 #: How much worse than its best a centroid may be to get the vector as well; tried in turn until the audit is passed.
-MARGINS = (0.1, 0.25, 2.0)
+MARGINS = (0.1, 0.25)
 #: The search widens over vectors at least this near.
 WIDEN = COSINE - 0.15
-AUDIT_QUERIES, RECALL = 200, 0.999
+AUDIT_QUERIES, RECALL = 2000, 0.999
+#: Vectors of a block, when all pairs of blocks are compared.
+BLOCK = 2000
 
 
 def clean_vectors(vectors: DataFrame) -> DataFrame:
@@ -66,22 +72,22 @@ def centroids(nodes: DataFrame, count: int, dim: int) -> np.ndarray:
 
 
 def deal(nodes: DataFrame, shards: dict[int, np.ndarray], margin: float) -> DataFrame:
-    """(shard, id, v, home): every vector in its nearest shard, which is its home, and in those almost as near."""
+    """(shard, id, copies, v, home): every vector in its nearest shard, which is its home, and in those almost as near."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, copies, vs = (batch.column(k).to_pylist() for k in range(3))
             out: list[tuple] = []
             for dim in {len(v) for v in vs}:
                 of = [k for k, v in enumerate(vs) if len(v) == dim]
                 near = _unit([vs[k] for k in of]) @ shards[dim].T
                 best = near.argmax(axis=1)
                 rows, cols = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
-                out += [(dim * 1_000_000 + int(c), ids[of[r]], vs[of[r]], bool(best[r] == c)) for r, c in zip(rows, cols, strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["shard", "id", "v", "home"])
+                out += [(dim * 1_000_000 + int(c), ids[of[r]], copies[of[r]], vs[of[r]], bool(best[r] == c)) for r, c in zip(rows, cols, strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["shard", "id", "copies", "v", "home"])
 
-    return nodes.select("id", "v").mapInArrow(dealt, "shard bigint, id bigint, v array<double>, home boolean")
+    return nodes.select("id", "copies", "v").mapInArrow(dealt, "shard bigint, id bigint, copies bigint, v array<double>, home boolean")
 
 
 def robust_picks(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -119,37 +125,65 @@ def _shard_edges(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[a], "other": ids[b], "near": (x[a] * x[b]).sum(axis=1) >= WIDEN})
 
 
+_FOUND = "id bigint, n bigint, root bigint"
+
+
+class _Forest:
+    """Components of a task's rows, and what the task gives of them."""
+
+    def __init__(self, size: int):
+        self.label = np.arange(size)
+
+    def link(self, row: int, others: np.ndarray) -> None:
+        for other in np.unique(self.label[others]):
+            if other != self.label[row]:
+                low, high = sorted((other, self.label[row]))
+                self.label[self.label == high] = low
+
+    def rows(self, ids: np.ndarray, n: np.ndarray, counted: np.ndarray) -> pd.DataFrame:
+        """_FOUND: n, or null where the row was not counted here, and the smallest id that the row is linked with."""
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.label, ids)
+        out = pd.DataFrame({"id": ids, "n": pd.array(np.where(counted, n, 0), "Int64"), "root": least[self.label]})
+        out.loc[~counted, "n"] = pd.NA
+        return out[counted | (out["root"] != out["id"])]
+
+
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of the vectors whose home this shard is: greedy steps from the medoid, then widening over the range."""
-    ids, x = rows["id"].to_numpy(), _unit(rows["v"])
+    """_FOUND of the vectors whose home this shard is: greedy steps from the medoid, then widening over the range."""
+    ids, copies, x = rows["id"].to_numpy(), rows["copies"].to_numpy(), _unit(rows["v"])
     place = {int(i): k for k, i in enumerate(ids)}
     around = [np.array([place[int(o)] for o in others if int(o) in place], np.int64) for others in rows["others"]]
     medoid = int((x @ x.mean(axis=0)).argmax())
-    out: list[tuple[int, int]] = []
-    for q in np.flatnonzero(rows["home"].to_numpy()):
-        near = x @ x[q] if len(x) <= 64 else None
+    n, forest = np.zeros(len(ids), np.int64), _Forest(len(ids))
+    home = rows["home"].to_numpy()
+    for q in np.flatnonzero(home):
         at, score = medoid, float(x[medoid] @ x[q])
         while len(around[at]):
             s = x[around[at]] @ x[q]
             if s.max() <= score:
                 break
             at, score = int(around[at][s.argmax()]), float(s.max())
-        seen, todo = {at, int(q)}, [at, int(q)]
-        while todo:
-            new = np.array([n for n in {n for t in todo for n in around[t].tolist()} if n not in seen], np.int64)
-            if not len(new):
-                break
-            s = x[new] @ x[q] if near is None else near[new]
-            seen.update(new.tolist())
-            todo = new[s >= WIDEN].tolist()
-            out += [(int(ids[q]), int(ids[n])) for n in new[s >= COSINE]]
-        if at != q and float(x[at] @ x[q]) >= COSINE:
-            out.append((int(ids[q]), int(ids[at])))
-    return pd.DataFrame(out, columns=["a", "b"])
+        todo = np.unique([at, q])
+        seen = np.zeros(len(ids), bool)
+        seen[todo] = True
+        linked = [todo[x[todo] @ x[q] >= COSINE]]
+        while len(todo):
+            new = np.unique(np.concatenate([around[t] for t in todo]))
+            new = new[~seen[new]]
+            seen[new] = True
+            s = x[new] @ x[q]
+            linked.append(new[s >= COSINE])
+            todo = new[s >= WIDEN]
+        found = np.concatenate(linked)
+        found = found[found != q]
+        n[q] = copies[found].sum()
+        forest.link(q, found)
+    return forest.rows(ids, n, home)
 
 
 def graph_links(nodes: DataFrame, dims: dict[int, int], margin: float) -> DataFrame:
-    """Distinct links (a, b), a < b, that the search over the united graph finds."""
+    """_FOUND by the search over the united graph; every id has one row with n."""
     shards = {dim: centroids(nodes, max(1, -(-n // SHARD)), dim) for dim, n in dims.items()}
     dealt = cut(deal(nodes, shards, margin))
     edges = dealt.groupBy("shard").applyInPandas(_shard_edges, "id bigint, other bigint, near boolean")
@@ -158,18 +192,44 @@ def graph_links(nodes: DataFrame, dims: dict[int, int], margin: float) -> DataFr
     # A shard is searched with its own vectors and those that the united lists of its vectors lead to by a near edge;
     # far edges only serve the greedy steps inside the shard.
     led = dealt.select("shard", "id").join(united.filter(F.size("near") > 0), "id").select("shard", F.explode("near").alias("id")).distinct()
-    beyond = led.join(dealt.select("shard", "id"), ["shard", "id"], "left_anti").join(nodes.select("id", "v"), "id")
+    beyond = led.join(dealt.select("shard", "id"), ["shard", "id"], "left_anti").join(nodes.select("id", "copies", "v"), "id")
     rows = dealt.unionByName(beyond.withColumn("home", F.lit(False))).join(united.drop("near"), "id", "left")
-    rows = rows.withColumn("others", F.coalesce("others", F.array().cast("array<bigint>"))).select("shard", "id", "v", "home", "others")
-    found = rows.groupBy("shard").applyInPandas(_search, "a bigint, b bigint")
-    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def audit(nodes: DataFrame, links: DataFrame) -> float:
-    """Share of the true links of at most AUDIT_QUERIES queries, counted against all rows in blocks, that were found."""
+    rows = rows.withColumn("others", F.coalesce("others", F.array().cast("array<bigint>"))).select("shard", "id", "copies", "v", "home", "others")
+    return rows.groupBy("shard").applyInPandas(_search, _FOUND)
+
+
+def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+    """_FOUND of one pair of blocks, or of one block with itself."""
+    ids, copies, block, x = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy(), _unit(rows["v"])
+    apart, n, forest = bool(rows["apart"].iloc[0]), np.zeros(len(ids), np.int64), _Forest(len(ids))
+    for q in range(len(ids)):
+        near = x @ x[q] >= COSINE
+        near[q] = False
+        if apart:
+            near &= block != block[q]
+        found = np.flatnonzero(near)
+        n[q] = copies[found].sum()
+        forest.link(q, found)
+    return forest.rows(ids, n, n > 0)
+
+
+def exact_links(nodes: DataFrame, dims: dict[int, int]) -> DataFrame:
+    """_FOUND by comparing all pairs of blocks; an id has one row with n for every block that holds links of it."""
+    blocks = F.lit(1)
+    for dim, n in dims.items():
+        blocks = F.when(F.size("v") == dim, F.lit(-(-n // BLOCK))).otherwise(blocks)
+    dealt = nodes.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.xxhash64(F.size("v"), F.least("block", "other"), F.greatest("block", "other"))
+    rows = dealt.select(key.alias("part"), (F.col("block") != F.col("other")).alias("apart"), "block", "id", "copies", "v")
+    return rows.groupBy("part").applyInPandas(_compare, _FOUND)
+
+
+def audit(nodes: DataFrame, found: DataFrame) -> float:
+    """Mean share of a query's true links, counted against all rows in blocks, that ``found`` has.
+
+    The queries are the vectors whose id is divisible by 50, at most AUDIT_QUERIES; each that has links counts alike.
+    """
     queries = nodes.filter("id % 50 = 0").orderBy(F.xxhash64("id")).limit(AUDIT_QUERIES).select("id", "v").collect()
-    if not queries:
-        return 1.0
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {len(r["v"]) for r in queries}:
         of = [r for r in queries if len(r["v"]) == dim]
@@ -177,17 +237,20 @@ def audit(nodes: DataFrame, links: DataFrame) -> float:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, vs = 0, np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
+            ids, copies, vs = (batch.column(k).to_pylist() for k in range(3))
+            ids, copies = np.array(ids), np.array(copies)
             for dim, (qid, q) in by_dim.items():
                 of = [k for k, v in enumerate(vs) if len(v) == dim]
                 if of:
-                    n += int(((_unit([vs[k] for k in of]) @ q.T >= COSINE) & (ids[of][:, None] != qid)).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+                    near = (_unit([vs[k] for k in of]) @ q.T >= COSINE) & (ids[of][:, None] != qid)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array((near * copies[of][:, None]).sum(axis=0))], ["id", "expected"])
 
-    truth = nodes.select("id", "v").mapInArrow(counted, "n bigint").agg(F.sum("n")).first()[0] or 0
-    wanted = [r["id"] for r in queries]
-    got = links.select(F.explode(F.array("a", "b")).alias("id")).filter(F.col("id").isin(wanted)).count()
-    return got / truth if truth else 1.0
+    if not queries:
+        return 1.0
+    truth = nodes.select("id", "copies", "v").mapInArrow(counted, "id bigint, expected bigint").groupBy("id").agg(F.sum("expected").alias("expected")).filter("expected > 0")
+    got = found.groupBy("id").agg(F.sum("n").alias("n"))
+    share = truth.join(got, "id", "left").agg(F.avg(F.least(F.coalesce("n", F.lit(0)) / F.col("expected"), F.lit(1.0)))).first()[0]
+    return 1.0 if share is None else share
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -196,12 +259,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = cut(clean_vectors(vectors))
     dims = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     for margin in MARGINS:
-        links = cut(graph_links(nodes, dims, margin))
-        if audit(nodes, links) >= RECALL:
+        found = cut(graph_links(nodes, dims, margin))
+        if audit(nodes, found) >= RECALL:
             break
-    both = links.union(links.select("b", "a")).toDF("id", "other")
-    counts = both.join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("others"))
-    components = connected_components(links)
+    else:
+        found = cut(exact_links(nodes, dims))
+    counts = found.groupBy("id").agg(F.sum("n").alias("others"))
+    components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = nodes.join(counts, "id", "left").join(components, "id", "left")
     known = known.select("v", F.coalesce("component", "id").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"))
     keyed = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
