@@ -5,8 +5,11 @@ the other keys of the universe that level 1 wrongly accepts, level 3 the listed
 and so on until a level has no false positive.  The universe is every key that the corpus can ask for, so the
 filter needs no join at query time: a lookup is a few hash probes into literal arrays.
 
+A list too long for one cascade is split by a hash of its keys, one cascade for each part.
+
 Cases: a null URL or one without ``://`` has an empty host and path and meets no rule; an empty rule list allows
-everything; repeated pages are judged each on its own; extra columns of the pages pass through untouched.
+everything; repeated pages are judged each on its own; columns ``host``, ``path``, ``rule`` and ``verdict`` of the pages
+are replaced, all others pass through untouched.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, table
+from tidemark.session import cut, fresh, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Bound on one level's bits; literals of this size still travel with the plan.
+#: Bound on one level's bits, for which a list is split; literals of this size still travel with the plan.
 MAX_LEVEL_BITS = 1 << 22
 
 
@@ -53,6 +56,8 @@ class BloomCascade:
 
     seed: int
     levels: list[tuple[int, int, list[int]]] = field(default_factory=list)
+    #: The cascades of the keys' parts, where the list was split; ``levels`` is empty then.
+    parts: list["BloomCascade"] = field(default_factory=list)
 
     def _in_level(self, key: Column, level: int) -> Column:
         bits, probes, words = self.levels[level]
@@ -65,6 +70,11 @@ class BloomCascade:
 
     def contains(self, key: Column) -> Column:
         """Whether ``key``, one of the universe, is listed."""
+        if self.parts:
+            answer = F.lit(False)
+            for k, part in enumerate(self.parts):
+                answer = F.when(_part(key, len(self.parts)) == k, part.contains(key)).otherwise(answer)
+            return answer
         answer = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             answer = F.when(self._in_level(key, level), answer).otherwise(F.lit(level % 2 == 1))
@@ -75,6 +85,10 @@ def _positions(key: Column, seed: int, bits: int, probes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + i)), F.lit(bits).cast("bigint")) for i in range(probes)]
 
 
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
 def build_cascade(keys: DataFrame, seed: int = 1, first_rate: float | None = None) -> BloomCascade:
     """Cascade over ``keys`` (key, listed): one row per key of the universe.
 
@@ -91,7 +105,8 @@ def build_cascade(keys: DataFrame, seed: int = 1, first_rate: float | None = Non
     while n:
         bits = max(64, 64 * math.ceil(1.44 * n * math.log2(1 / rate) / 64))
         if bits > MAX_LEVEL_BITS:
-            raise ValueError(f"{n} listed keys need {bits} bits; one cascade holds {MAX_LEVEL_BITS}: split the list")
+            parts = 2 * -(-bits // MAX_LEVEL_BITS)
+            return BloomCascade(seed, parts=[build_cascade(keys.filter(_part(F.col("key"), parts) == k), seed + 1000 * (k + 1), rate) for k in range(parts)])
         probes = max(1, round(math.log2(1 / rate)))
         level = len(cascade.levels)
         position = F.explode(F.array(*_positions(F.col("key"), seed + level, bits, probes))).alias("p")
@@ -144,16 +159,17 @@ def candidate_keys(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict: the longest fitting rule's verdict, else ``default``."""
     host, path = split_url(F.col(url))
+    keys, found = fresh(pages, "keys", "found")
     split = pages.withColumns({"host": host, "path": path})
-    split = split.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), rules))
+    split = split.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), rules))
     spark: SparkSession = pages.sparkSession
-    universe = split.select(F.explode("_keys").alias("key")).distinct()
+    universe = split.select(F.explode(keys).alias("key")).distinct()
     listed = spark.createDataFrame([(r.key, r.verdict) for r in rules] or [("", "")], "key string, verdict string")
     known = cut(universe.join(listed, "key", "left"))
     verdicts = sorted({r.verdict for r in rules})
     cascades = {v: build_cascade(known.select("key", F.coalesce(F.col("verdict") == v, F.lit(False)).alias("listed")), seed=1 + 97 * i) for i, v in enumerate(verdicts)}
     if not rules:
-        return split.drop("_keys").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return split.drop(keys).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
     def judged(key: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -161,13 +177,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url
             out = F.when(cascade.contains(key), F.lit(v)).otherwise(out)
         return out
 
-    found = F.transform(F.col("_keys"), lambda k: F.struct(k.alias("rule"), judged(k).alias("verdict")))
-    first = F.get(F.filter(found, lambda x: x["verdict"].isNotNull()), F.lit(0))
-    return (
-        split.withColumn("_found", first)
-        .withColumns({"rule": F.col("_found.rule"), "verdict": F.coalesce(F.col("_found.verdict"), F.lit(default))})
-        .drop("_keys", "_found")
-    )
+    each = F.transform(F.col(keys), lambda k: F.struct(k.alias("rule"), judged(k).alias("verdict")))
+    first = F.get(F.filter(each, lambda x: x["verdict"].isNotNull()), F.lit(0))
+    held = split.withColumn(found, first)
+    return held.withColumns({"rule": F.col(found)["rule"], "verdict": F.coalesce(F.col(found)["verdict"], F.lit(default))}).drop(keys, found)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
