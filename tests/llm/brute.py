@@ -48,7 +48,7 @@ def judged_url(url):
     return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
 
-def recurring_lines(docs, minimum=10, share=0.7, leading=3, longest=400):
+def recurring_lines(docs, minimum=10, share=0.7, leading=3):
     """{doc_id: (lines, dropped lines, text left)} of distinct ids."""
     lines = []
     for i, t in docs:
@@ -63,12 +63,12 @@ def recurring_lines(docs, minimum=10, share=0.7, leading=3, longest=400):
         with_docs[tokens].add(i)
     count = Counter()
     for tokens, ids in with_docs.items():
-        if leading < len(tokens) <= longest:
+        if leading < len(tokens):
             for at, w in enumerate(tokens):
                 count[len(tokens), tokens[:leading], at, w] += len(ids)
 
     def template(tokens):
-        if not leading < len(tokens) <= longest or len(with_docs[tokens]) >= minimum:
+        if len(tokens) <= leading or len(with_docs[tokens]) >= minimum:
             return tokens
         constant = [count[len(tokens), tokens[:leading], at, w] >= minimum for at, w in enumerate(tokens)]
         return tuple(w if c else "<*>" for w, c in zip(tokens, constant)) if sum(constant) / len(tokens) >= share else tokens
@@ -102,6 +102,16 @@ def nearest_part(pattern, text):
     return best
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        new = [row[0] + 1]
+        for k, y in enumerate(b):
+            new.append(min(row[k] + (x != y), row[k + 1] + 1, new[k] + 1))
+        row = new
+    return row[-1]
+
+
 def luhn(digits):
     doubled = [int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits))]
     return sum(doubled) % 10 == 0

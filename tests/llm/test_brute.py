@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from conftest import same_rows
 
-from tidemark.llm import bpe, decontamination, queries, toxicity
+from tidemark.llm import bpe, decontamination, embeddings, queries, toxicity
 from tidemark.session import table
 
 WORDS = [f"{a}{b}{c}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("la", "me", "ni", "ro") for c in ("sh", "th", "nd", "ck", "mp")]
@@ -43,6 +43,19 @@ def test_embeddings(spark, sf_dir, tmp_path):
         assert got == brute.embedding_links(data)
 
 
+def test_embeddings_without_a_good_overlap(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        seed = random.Random(i % 40)
+        rows.append((i, [seed.gauss(0, 1) + rng.gauss(0, 0.3) for _ in range(8)]))
+    monkeypatch.setattr(embeddings, "MARGINS", ())
+    monkeypatch.setattr(embeddings, "BLOCK", 90)
+    made = write(tmp_path, embeddings=pd.DataFrame(rows, columns=["vec_id", "embedding"]).assign(label=0))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.QUERIES["op1_embedding_graph"](spark, made).collect()}
+    assert got == brute.embedding_links(rows)
+
+
 def test_urls(spark, sf_dir, duck, tmp_path):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/a?b#c", "http://a.example.com/en/", "http://example.com/en", "http://xexample.com/en/", "https://b.NET/es/x", "x://net/fr/?q", "a://b.com?x/y", "a://b.com/://net/es/", "x://www.example.com/en/", "x://com/"]
     made = write(tmp_path, pages=pd.DataFrame({"page_id": range(len(urls)), "url": urls, "html": ""}))
@@ -76,7 +89,7 @@ def test_line_templates(spark, docs, sf_dir):
 
 def test_decontamination(spark, tmp_path):
     rng = random.Random(3)
-    items = [(k, prose(rng, 12 + k)) for k in range(6)] + [(90, None), (91, "short")]
+    items = [(k, prose(rng, 12 + k)) for k in range(6)] + [(90, None), (91, "short"), (6, "the secret answer 42"), (7, "nine four")]
     rows = []
     for k in range(60):
         text, item = prose(rng, 40), items[k % 6][1]
@@ -87,17 +100,17 @@ def test_decontamination(spark, tmp_path):
                 passage[rng.randrange(len(passage))] = rng.choice("xyzq")
             text = f"{text[:100]} {''.join(passage)} {text[100:]}" if k % 5 else "".join(passage) + item[at:at]
         rows.append((k, text))
-    rows += [(100, None), (101, "")]
+    rows += [(100, None), (101, ""), (102, "what is THE sekret answer 42 then"), (103, "the secret answer"), (104, "and nine\tfour"), (105, "nine for")]
     made = write(tmp_path, documents=pd.DataFrame(rows, columns=["doc_id", "text"]), benchmark=pd.DataFrame(items, columns=["item_id", "text"]))
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in queries.QUERIES["op5_decontamination"](spark, made).collect()}
     want = {}
     for i, t in rows:
-        for item, p in items[:6]:
+        for item, p in [x for x in items if x[0] < 90]:
             distance = brute.nearest_part(p, decontamination.folded(t or ""))
             if distance <= int(len(p) * decontamination.DISTANCE):
                 want[i, item] = distance
     assert set(got) <= set(want)
-    assert len(got) >= 0.95 * len(want) > 20
+    assert len(got) >= 0.99 * len(want) > 20
     assert all(got[k] == want[k] for k in got)
 
 
@@ -115,6 +128,35 @@ def test_misspelt_terms():
     assert automaton.find("oat") is None and automaton.find("trashy") == (3, 0) and automaton.find("house") is None
 
 
+def test_automaton_against_plain_edit_distance():
+    rng = random.Random(4)
+    terms = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 14))) for _ in range(40)]
+    automaton = toxicity.TermAutomaton(terms)
+    for _ in range(3000):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(word))
+            word[at : at + rng.randrange(2)] = rng.choice(["", "a", "bc", "d"])
+            word = word or ["a"]
+        word = "".join(word)
+        near = [(d, k) for k, t in enumerate(terms) if (d := brute.edit_distance(word, t)) <= toxicity.tolerance(t)]
+        found = automaton.find(word)
+        assert (found is None) == (not near) and (found is None or found == (min(near)[1], min(near)[0])), word
+
+
+@pytest.mark.parametrize(
+    ("text", "share"),
+    [
+        ('he said "scum" to her', 1.0), ('he said "you scum" to her', 1.0), ('the "scum of the earth" line', 0.6), ("the «scum» line", 0.6), ("the « scum » line", 0.6), ("das „scum“ da", 0.6),
+        ("you scum", 0.0), ('"hello," you scum', 0.0), ("don't be scum, don't", 0.0), ('he said you scum', 0.4), ('"one" scum "two"', 0.0), ("(\"scum\")", 0.6), ('scum', 0.0), ('"scum', 0.0),
+        ('"a b c d e f g scum" here', 0.0),
+    ],
+)
+def test_quotation(text, share):
+    words = list(toxicity.WORD.finditer(text))
+    assert toxicity.quoted_share(text, words, [w.group() for w in words].index("scum")) == share
+
+
 def test_personal_data(spark, docs, tmp_path):
     rows = [*docs, (-1, None), (-2, ""), (-3, "a@b a@b.c..d x@y.z@w.v 1.2.3.4.5 1.2.3.456 256.1.1.1.1 4111 1111-1111 1111 and +49 (0) 123-4567 +1 2"), (-4, "1" * 50_000), (-5, "é🙂 me@x.org\u0660 10.0.0.255 +" + "1" * 15), (-6, "x" * 50_000 + "@a.b"), (-7, "0004111111111111111 +1+123456789 00001.1.1.01")]
     made = write(tmp_path, documents=pd.DataFrame(rows, columns=["doc_id", "text"]))

@@ -40,6 +40,17 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.filter_urls(pages, rules=()).collect()} == {"allow"}
 
 
+def test_urls_with_clashing_columns_and_a_split_list(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h", "p", "r", "v", "k", "f")], "page_id bigint, url string, host string, path string, rule string, verdict string, keys string, _found string")
+    row = urls.filter_urls(pages).first().asDict()
+    assert row == {"page_id": 1, "url": "http://a.com/x", "host": "a.com", "path": "/x", "rule": "com/", "verdict": "allow", "keys": "k", "_found": "f"}
+    monkeypatch.setattr(urls, "MAX_LEVEL_BITS", 64)
+    rules = [urls.Rule(f"h{k}.org", "/", "block" if k % 3 else "allow") for k in range(120)]
+    asked = spark.createDataFrame([(k, f"http://x.h{k}.org/") for k in range(150)], "page_id bigint, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(asked, rules).collect()}
+    assert got == {k: (f"h{k}.org/", "block" if k % 3 else "allow") if k < 120 else (None, "allow") for k in range(150)}
+
+
 def test_bpe(docs):
     out = bpe.encode_documents(docs, bpe.tokenizer_file(), decoded="decoded").collect()
     assert sorted(r["decoded"] for r in out) == sorted(t or "" for _, t in TEXTS)
@@ -53,6 +64,14 @@ def test_line_templates(spark, docs):
     assert out[0] == rows[0][1] and all(out[k] == f"own words {chr(97 + k)}" for k in range(1, 12))
 
 
+def test_line_templates_with_clashing_columns(spark):
+    shared = " ".join(f"w{chr(97 + k % 26)}" for k in range(450))
+    rows = [(k, f"{shared} {k} end\nown {chr(97 + k)}", 9, "a", "b", "c", "d", "e") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, id string, places string, `left` string, dropped string, tokens string")
+    out = {r["doc_id"]: tuple(r)[1:] for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert out[0] == rows[0][1:] and all(out[k] == (f"own {chr(97 + k)}", 5, "a", "b", "c", "d", "e") for k in range(1, 12))
+
+
 def test_decontamination(spark, docs):
     benchmark = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta", 1), (2, None, 1), (None, LONG, 1), (3, "", 1), (4, "alpha beta gamma delta epsilon zeta", 1)], "item_id bigint, text string, doc_id int")
     assert sorted(tuple(r)[:2] for r in decontamination.find_leaks(docs, benchmark).collect()) == [(1, 1), (1, 1), (1, 4), (1, 4), (6, 1), (6, 4)]
@@ -70,7 +89,9 @@ def test_toxicity(spark, docs):
 
 
 def test_personal_data(docs):
-    assert pii.find_personal_data(docs.drop("email", "added")).filter("size(email) + size(ip) + size(card) + size(phone) + size(added) > 0").count() == 0
+    out = pii.find_personal_data(docs)
+    assert out.columns == [*docs.columns, "personal"] and out.filter("size(personal) > 0").count() == 0
+    assert out.filter("email = 'x'").count() == docs.filter("email = 'x'").count() > 0
 
 
 def test_repeated_bytes(docs):
@@ -83,7 +104,7 @@ def test_crowded_gram(spark):
     texts = [f"{k:05d} " * 60 + "shared passage of words " * 20 + f"{k * 7:05d} " * 60 for k in range(12)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want = brute.without_repeats(texts)
-    for group in (1, 1000):
+    for group in (1, 5, 1000):
         known, spans = suffixes.repeated_spans(rows, row="doc_id", group=group)
         found = {r["row"]: r["spans"] for r in spans.collect()}
         got = [suffixes.remove_spans(t.encode(), found.get(k, [])) for k, t in enumerate(texts)]
