@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import matching, review
 from tidemark.plans import bindings as B
+from tidemark.plans.collect import collector
 from tidemark.session import ship_package, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+QUERIES, SQL, query = collector()
 
 _BITS = "(SELECT vec_id, bit_or(CASE WHEN x::DOUBLE > m THEN 1::UBIGINT << (k - 1) ELSE 0::UBIGINT END) AS bits FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, 65)) AS k, (list_sort(embedding)[32]::DOUBLE + list_sort(embedding)[33]::DOUBLE) / 2 AS m FROM embeddings) GROUP BY vec_id)"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analysis, timeline
+from tidemark.plans import analysis, editing, timeline
 
-QUERIES = {**timeline.QUERIES, **analysis.QUERIES}
-SQL = {**timeline.SQL, **analysis.SQL}
+QUERIES = {**timeline.QUERIES, **analysis.QUERIES, **editing.QUERIES}
+SQL = {**timeline.SQL, **analysis.SQL, **editing.SQL}

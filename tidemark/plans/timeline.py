@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, timeline, timemap
 from tidemark.plans import bindings as B
+from tidemark.plans.collect import collector
 from tidemark.session import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+QUERIES, SQL, query = collector()
 
 _PROJECTED = f"""(SELECT e.event_id, e.event_type, e.t_ms, s.kind, s.s0, s.s1, s.t0, s.t1,
   CASE WHEN s.kind = 'matched' THEN 'mapped' WHEN s.kind IS NULL THEN 'unmapped' ELSE s.kind END AS status,
