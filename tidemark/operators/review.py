@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.measures import classification
 from tidemark.session import cut
 
 
-def adjudicate(votes: DataFrame, subject: str, reviewer: str, at: str, vote: str) -> DataFrame:
-    """Each reviewer's latest vote counts; unanimous subjects are decided, others are in conflict."""
-    latest = votes.groupBy(subject, reviewer).agg(F.max_by(vote, at).alias("v"))
-    per = latest.groupBy(subject).agg(F.count(F.lit(1)).alias("votes"), F.sum("v").alias("yes"))
-    return per.withColumn("outcome", F.when(F.col("yes") == F.col("votes"), "accepted").when(F.col("yes") == 0, "rejected").otherwise("conflict"))
+def adjudicate(votes: DataFrame, subject: str, reviewer: str, at: str, vote: str, role: str) -> DataFrame:
+    """(subject, votes, state, decision, resolution) of active votes.
+
+    Each independent reviewer's latest vote counts.  Two or more who agree, none of them undecided (a null vote), make
+    a subject ``gold``.  Where two or more decisions stand against each other, the latest decided vote of an
+    adjudicator who is not one of the reviewers settles it; without one it is a ``conflict``.  All others wait.
+    """
+    latest = votes.filter(F.col(role) == "independent").groupBy(subject, reviewer).agg(F.max_by(F.struct(F.col(vote).alias("v")), at)["v"].alias("v"))
+    per = latest.groupBy(subject).agg(F.count(F.lit(1)).alias("votes"), F.count("v").alias("decided"), F.min("v").alias("low"), F.max("v").alias("high"))
+    outside = votes.filter((F.col(role) == "adjudicator") & F.col(vote).isNotNull()).join(latest.select(subject, reviewer), [subject, reviewer], "left_anti")
+    settled = outside.groupBy(subject).agg(F.max_by(vote, at).alias("ruling"))
+    all_ = votes.select(subject).distinct().join(per, subject, "left").join(settled, subject, "left").withColumn("votes", F.coalesce("votes", F.lit(0).cast("long")))
+    agreed = (F.col("votes") >= 2) & (F.col("decided") == F.col("votes")) & (F.col("low") == F.col("high"))
+    against = (F.col("votes") >= 2) & (F.col("low") != F.col("high"))
+    resolution = F.when(agreed, "independentAgreement").when(against & F.col("ruling").isNotNull(), "adjudicator")
+    decision = F.when(agreed, F.col("low")).when(resolution == "adjudicator", F.col("ruling"))
+    return all_.select(subject, "votes", F.when(resolution.isNotNull(), "gold").when(against, "conflict").otherwise("awaiting-independent").alias("state"), decision.alias("decision"), resolution.alias("resolution"))
 
 
 def families(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -51,14 +64,9 @@ def lift(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def prf(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
-    """Precision, recall and F1 of a predicate; null where nothing was predicted or nothing is there."""
+    """Counts, precision, recall and F1 of a predicate; measures.classification says what 0 / 0 is."""
     counts = rows.agg(*[F.count_if(p & a).alias(n) for n, p, a in (("tp", predicted, actual), ("fp", predicted, ~actual), ("fn", ~predicted, actual), ("tn", ~predicted, ~actual))])
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-
-    def share(x: Column, y: Column) -> Column:
-        return F.round(x / F.nullif(y, F.lit(0)), 6)
-
-    return counts.select("tp", "fp", "fn", "tn", share(tp, tp + fp).alias("precision_"), share(tp, tp + fn).alias("recall_"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return classification(counts)
 
 
 def diff(held: DataFrame, wanted: DataFrame, key: str, a: str, b: str) -> DataFrame:

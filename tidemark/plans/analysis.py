@@ -66,26 +66,38 @@ def risk_rank(spark, d):
     return table(spark, d, "customer").select("c_mktsegment", "c_custkey", F.ntile(5).over(w).alias("band"), F.row_number().over(w).alias("place"))
 
 
-@query("SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision_, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall_, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1 FROM (SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS fn, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS tn FROM labels)")
+@query("""SELECT tp, fp, fn, tn, round(p::DOUBLE, 6) AS precision_, round(r::DOUBLE, 6) AS recall_, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END::DOUBLE, 6) AS f1 FROM (SELECT *,
+CASE WHEN tp + fp = 0 THEN CASE WHEN fn = 0 THEN 1 ELSE 0 END ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN CASE WHEN fp = 0 THEN 1 ELSE 0 END ELSE tp / (tp + fn)::DOUBLE END AS r FROM
+(SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS fn, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS tn FROM labels))""")
 def prf_metrics(spark, d):
     return review.prf(table(spark, d, "labels"), F.col("quality") == 0, F.col("toxic") == 1)
 
 
-_VOTES = "(SELECT doc_id, doc_id % 7 AS reviewer, doc_id // 7 AS subject, quality AS vote FROM labels)"
+_VOTES = "(SELECT o_orderkey AS seen, o_custkey % 5 AS reviewer, o_orderkey // 6 AS subject, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 0 END AS vote, CASE WHEN o_custkey % 4 = 0 THEN 'adjudicator' ELSE 'independent' END AS role FROM orders)"
 
 
-@query(f"SELECT subject, votes, yes, CASE WHEN yes = votes THEN 'accepted' WHEN yes = 0 THEN 'rejected' ELSE 'conflict' END AS outcome FROM (SELECT subject, count(*) AS votes, CAST(sum(vote) AS BIGINT) AS yes FROM (SELECT *, row_number() OVER (PARTITION BY subject, reviewer ORDER BY doc_id DESC) AS rn FROM {_VOTES}) WHERE rn = 1 GROUP BY subject)")
+@query(f"""WITH l AS (SELECT subject, reviewer, vote FROM (SELECT *, row_number() OVER (PARTITION BY subject, reviewer ORDER BY seen DESC) AS rn FROM {_VOTES} WHERE role = 'independent') WHERE rn = 1),
+p AS (SELECT subject, count(*) AS votes, count(vote) AS decided, min(vote) AS low, max(vote) AS high FROM l GROUP BY 1),
+a AS (SELECT subject, arg_max(vote, seen) AS ruling FROM {_VOTES} v WHERE role = 'adjudicator' AND vote IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.subject = v.subject AND l.reviewer = v.reviewer) GROUP BY 1),
+s AS (SELECT DISTINCT subject FROM {_VOTES}), x AS (SELECT subject, coalesce(votes, 0) AS votes, decided, low, high, ruling FROM s LEFT JOIN p USING (subject) LEFT JOIN a USING (subject))
+SELECT subject, votes, CASE WHEN votes >= 2 AND decided = votes AND low = high THEN 'gold' WHEN votes >= 2 AND low <> high THEN CASE WHEN ruling IS NULL THEN 'conflict' ELSE 'gold' END ELSE 'awaiting-independent' END AS state,
+CASE WHEN votes >= 2 AND decided = votes AND low = high THEN low WHEN votes >= 2 AND low <> high THEN ruling END AS decision,
+CASE WHEN votes >= 2 AND decided = votes AND low = high THEN 'independentAgreement' WHEN votes >= 2 AND low <> high AND ruling IS NOT NULL THEN 'adjudicator' END AS resolution FROM x""")
 def vote_adjudication(spark, d):
-    votes = table(spark, d, "labels").select(F.col("doc_id").alias("at"), (F.col("doc_id") % 7).alias("reviewer"), F.floor(F.col("doc_id") / 7).alias("subject"), F.col("quality").alias("vote"))
-    return review.adjudicate(votes, "subject", "reviewer", "at", "vote")
+    vote = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
+    role = F.when(F.col("o_custkey") % 4 == 0, "adjudicator").otherwise("independent")
+    votes = table(spark, d, "orders").select(F.col("o_orderkey").alias("seen"), (F.col("o_custkey") % 5).alias("reviewer"), F.floor(F.col("o_orderkey") / 6).alias("subject"), vote.alias("vote"), role.alias("role"))
+    return review.adjudicate(votes, "subject", "reviewer", "seen", "vote", "role")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000 + o_orderkey AS b FROM orders WHERE o_orderkey % 20 = 0 UNION SELECT 2000000 + l_suppkey, 1000000 + l_orderkey FROM lineitem WHERE l_orderkey % 400 = 0),
-x AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS id, u AS c FROM x UNION SELECT x.v, r.c FROM r JOIN x ON x.u = r.id) SELECT id, min(c) AS family FROM r GROUP BY id""")
+@query("""WITH RECURSIVE e AS (SELECT 100 + c_custkey AS a, c_nationkey AS b FROM customer UNION SELECT 1000000000 + s_suppkey, s_nationkey FROM supplier UNION SELECT n_nationkey, -1 - n_regionkey FROM nation WHERE n_nationkey % 2 = 0),
+x AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS id, u AS c FROM x WHERE u < 25 UNION SELECT x.v, r.c FROM r JOIN x ON x.u = r.id) SELECT id::BIGINT AS id, min(c)::BIGINT AS family FROM r GROUP BY id""")
 def media_families(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1_000_000).alias("b"))
-    li = table(spark, d, "lineitem").filter("l_orderkey % 400 = 0").select((F.col("l_suppkey") + 2_000_000).alias("a"), (F.col("l_orderkey") + 1_000_000).alias("b"))
-    return review.families(o.union(li).distinct())
+    """Families of customers and suppliers over their nations, of which the even ones of a region belong together."""
+    c = table(spark, d, "customer").select((F.col("c_custkey") + 100).alias("a"), F.col("c_nationkey").cast("long").alias("b"))
+    s = table(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("a"), F.col("s_nationkey").cast("long").alias("b"))
+    n = table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("a"), (-1 - F.col("n_regionkey")).cast("long").alias("b"))
+    return review.families(c.union(s).union(n))
 
 
 @query()
@@ -126,9 +138,11 @@ def library_diff(spark, d):
     return review.diff(held, wanted, "key", "a", "b")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 0)")
 def orphan_cleanup(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """References whose item still exists."""
+    items = table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING' AND c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(items, "o_custkey", "left_semi")
 
 
 @query("SELECT s_suppkey, n_nationkey FROM supplier CROSS JOIN nation WHERE (s_nationkey % 4 = 0 OR n_regionkey = s_nationkey % 5) AND (s_acctbal < 0 OR abs(s_nationkey - n_nationkey) <= 3)")

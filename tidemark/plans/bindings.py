@@ -19,6 +19,7 @@ SPANS = [
 BAD_SPANS = [
     ("m", 0, "matched", 0, 1000, 0, 1000), ("m", 1, "matched", 1100, 2000, 1000, 900), ("m", 2, "sourceOnly", 1900, 2400, 900, 950), ("m", 3, "targetOnly", 2400, 2400, 1000, 1500),
     ("n", 0, "matched", 0, 0, 0, 500), ("n", 1, "wrong", 0, 700, 500, 900), ("n", 2, "ambiguous", 700, 700, 900, 900), ("n", 3, "matched", 700, 900, 900, 1200),
+    ("p", 0, "matched", -5, 100, 0, 100), ("p", 1, "matched", 100, 300, 100, 300), ("p", 2, "matched", 50, 400, 300, 500), ("p", 3, "sourceOnly", 400, 500, 400, 400), ("p", 4, "matched", 600, 700, 450, 600),
 ]
 MARKERS = [("c1", 5 * DAY, 1000), ("c2", 20 * DAY, 2500), ("c3", 20 * DAY, 400), ("c4", 60 * DAY, 90000)]
 CLIPS = [("k1", "click", 1000, 0, 40 * DAY, 0, True), ("k2", "click", 500000, 20 * DAY, 50 * DAY, -700, True), ("k3", "view", 0, 5 * DAY, 15 * DAY, 250, True), ("k4", "purchase", 0, 0, 90 * DAY, 0, False)]

@@ -102,7 +102,7 @@ def split_clips(spark, d):
     return edits.split_clips(_clips(spark, d).withColumn("at", F.col("line_start") + 17_000), "at").select("clip_id", "line_start", "in_ms", "out_ms", "side")
 
 
-@query(f"SELECT clip_id AS grp, asset_id, min(line_start) AS line_start, min(in_ms) AS in_ms, max(out_ms) AS out_ms, bool_and(enabled) AS enabled FROM {_SPLIT} GROUP BY clip_id, asset_id HAVING count(*) = 2")
+@query(f"SELECT clip_id AS grp, min(asset_id) AS asset_id, min(line_start) AS line_start, min(in_ms) AS in_ms, max(out_ms) AS out_ms, bool_and(enabled) AS enabled FROM {_SPLIT} GROUP BY clip_id HAVING count(*) = 2 AND count(side) = 2")
 def merge_clips(spark, d):
     parts = edits.split_clips(_clips(spark, d).withColumn("at", F.col("line_start") + 17_000), "at").withColumn("grp", F.col("clip_id"))
     return edits.merge_clips(parts, "grp").select("grp", "asset_id", "line_start", "in_ms", "out_ms", "enabled")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analysis, editing, timeline
+from tidemark.plans import analysis, editing, measures, timeline
 
-QUERIES = {**timeline.QUERIES, **analysis.QUERIES, **editing.QUERIES}
-SQL = {**timeline.SQL, **analysis.SQL, **editing.SQL}
+QUERIES = {**timeline.QUERIES, **analysis.QUERIES, **editing.QUERIES, **measures.QUERIES}
+SQL = {**timeline.SQL, **analysis.SQL, **editing.SQL, **measures.SQL}

@@ -38,11 +38,13 @@ def timemap_status_counts(spark, d):
     return _projected(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH l AS (SELECT *, lag(s1) OVER w AS ps, lag(t1) OVER w AS pt, s1 - s0 AS ds, t1 - t0 AS dt FROM {B.BAD_SPANS_SQL} WINDOW w AS (PARTITION BY map_id ORDER BY span_index)),
-i AS (SELECT map_id, span_index, 'negative_length' AS issue FROM l WHERE ds < 0 OR dt < 0
-UNION ALL SELECT map_id, span_index, 'kind_shape' FROM l WHERE ds >= 0 AND dt >= 0 AND NOT CASE kind WHEN 'matched' THEN ds > 0 AND dt > 0 WHEN 'sourceOnly' THEN ds > 0 AND dt = 0 WHEN 'targetOnly' THEN ds = 0 AND dt > 0 WHEN 'ambiguous' THEN TRUE ELSE FALSE END
-UNION ALL SELECT map_id, span_index, CASE WHEN ps < s0 THEN 'source_gap' ELSE 'source_overlap' END FROM l WHERE ps <> s0
-UNION ALL SELECT map_id, span_index, CASE WHEN pt < t0 THEN 'target_gap' ELSE 'target_overlap' END FROM l WHERE pt <> t0)
+@query(f"""WITH b AS (SELECT *, s0 >= 0 AND s1 >= 0 AND t0 >= 0 AND t1 >= 0 AS good, s1 - s0 AS ds, t1 - t0 AS dt FROM {B.BAD_SPANS_SQL}), c AS (SELECT *, good AND ds >= 0 AND dt >= 0 AS fit FROM b),
+l AS (SELECT *, lag(s0) OVER w AS ps0, lag(s1) OVER w AS ps, lag(t0) OVER w AS pt0, lag(t1) OVER w AS pt, fit AND coalesce(lag(fit) OVER w, FALSE) AS two,
+CASE kind WHEN 'matched' THEN ds > 0 AND dt > 0 WHEN 'sourceOnly' THEN ds > 0 AND dt = 0 WHEN 'targetOnly' THEN ds = 0 AND dt > 0 WHEN 'ambiguous' THEN ds > 0 OR dt > 0 ELSE FALSE END AS shape FROM c WINDOW w AS (PARTITION BY map_id ORDER BY span_index)),
+i AS (SELECT map_id, span_index, CASE WHEN NOT good THEN 'invalidMilliseconds' WHEN NOT fit THEN 'invalidRange' WHEN kind = 'ambiguous' THEN 'emptyAmbiguousSpan' ELSE 'invalidKindShape' END AS issue FROM l WHERE NOT good OR NOT fit OR NOT shape
+UNION ALL SELECT map_id, span_index, 'outOfOrder' FROM l WHERE two AND (s0 < ps0 OR t0 < pt0)
+UNION ALL SELECT map_id, span_index, CASE WHEN ps < s0 THEN 'sourceDiscontinuity' ELSE 'sourceOverlap' END FROM l WHERE two AND ps <> s0
+UNION ALL SELECT map_id, span_index, CASE WHEN pt < t0 THEN 'targetDiscontinuity' ELSE 'targetOverlap' END FROM l WHERE two AND pt <> t0)
 SELECT map_id, CAST(span_index AS INTEGER) AS span_index, issue FROM i""")
 def timemap_validate(spark, d):
     return timemap.validate(B.spans(spark, B.BAD_SPANS))
@@ -146,11 +148,11 @@ def rle_segments(spark, d):
     return e.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))
 
 
-@query(f"""SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY t_ms, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))[(count(*) OVER (PARTITION BY user_id ORDER BY t_ms, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + 1) // 2] AS median5 FROM {B.E_SQL}""")
+@query(f"""SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY t_ms, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))[(count(*) OVER (PARTITION BY user_id ORDER BY t_ms, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) // 2 + 1] AS median5 FROM {B.E_SQL}""")
 def rolling_median5(spark, d):
     w = W.partitionBy("user_id").orderBy("t_ms", "event_id").rowsBetween(-2, 2)
     values = F.array_sort(F.collect_list("value").over(w))
-    return B.events(spark, d).withColumn("v", values).select("event_id", F.get("v", F.floor((F.size("v") - 1) / 2).cast("int")).alias("median5"))
+    return B.events(spark, d).withColumn("v", values).select("event_id", F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median5"))
 
 
 @query(f"""SELECT user_id, at_ms, gap_ms FROM (SELECT user_id, t_ms AS at_ms, nx - t_ms AS gap_ms, row_number() OVER (PARTITION BY user_id ORDER BY nx - t_ms DESC, t_ms) AS rn FROM
