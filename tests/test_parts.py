@@ -3,28 +3,31 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import alignment, intervals, matching, timemap
+from tidemark.functions import names as names_of
+from tidemark.operators import alignment, intervals, lookup, matching, timemap
 from tidemark.sources import comments
 from tidemark.streaming import playback
 
 XML = """<?xml version="1.0" encoding="UTF-8"?>
 <i><chatid>1</chatid>
-<d p="1.500,1,25,16777215,1700000000,0,abc,1">first</d>
-<d p="x,5,25">second &amp; more</d>
-<d>third</d>
-<d p="5.0004,4,25,255,1700000000,0,abc,4"> </d>
+<d p="7.25,1,18,65280,1650000001,0,u1,11">one</d>
+<d p="x,5,18">two &amp; more</d>
+<d>three</d>
+<d p="9.0004,4,30,255,1650000002,0,u2,12"> </d>
+<d p="12,5,30,255,1650000003,0,u2,13"></d>
 </i>"""
 
 
 def test_xml_keeps_every_row_and_warns(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XML)
     rows = comments.read_comment_xml(spark, str(tmp_path / "a.xml")).orderBy("original_index").collect()
-    assert [r["source_time_ms"] for r in rows] == [1500, 0, 0, 5000]
-    assert [list(r["warnings"]) for r in rows] == [[], ["short_p", "bad_time"], ["missing_p", "bad_time"], ["empty_text"]]
-    assert rows[1]["text"] == "second & more" and rows[0]["mode"] == 1
+    assert [r["source_time_ms"] for r in rows] == [7250, 0, 0, 9000, 12000]
+    assert [list(r["warnings"]) for r in rows] == [[], ["short_p", "bad_time"], ["missing_p", "short_p", "bad_time"], ["empty_text"], ["empty_text"]]
+    assert rows[1]["text"] == "two & more" and rows[0]["mode"] == 1
 
 
 def test_xml_round_trip(spark, tmp_path):
@@ -33,15 +36,27 @@ def test_xml_round_trip(spark, tmp_path):
     out = str(tmp_path / "out")
     comments.write_comment_xml(items, out)
     back = comments.read_comment_xml(spark, f"{out}/target=t1").orderBy("original_index").collect()
-    assert [r["source_time_ms"] for r in back] == [0, 0, 1499, 4999]
+    assert [r["source_time_ms"] for r in back] == [0, 0, 7249, 8999, 11999]
     assert all(len(r["raw_p_fields"]) == 8 for r in back)
+    read = comments.read_comment_xml(spark, f"{out}/target=t1")
+    assert comments.round_trip_faults(items, read).count() == 0
+    assert comments.round_trip_faults(items, read.filter("source_time_ms > 0")).count() == 2
+
+
+def test_equal_files_are_read_once(spark, tmp_path):
+    for name in ("a.xml", "b.xml"):
+        (tmp_path / name).write_text(XML)
+    (tmp_path / "c.xml").write_text(XML.replace("one", "other"))
+    assert comments.read_comment_files(spark, str(tmp_path)).count() == 10
+    with pytest.raises(ValueError, match="beyond"):
+        comments.read_comment_files(spark, str(tmp_path), most_items=4)
 
 
 def test_rule_texts(spark):
-    df = spark.createDataFrame([("1:30，90\n2:00;x", "1:00 -> 2:00\nbad\n10 => 20")], "c string, a string")
+    df = spark.createDataFrame([("1:30，90\n2:00;x", "1:00 -> 2:00\nbad\n10 => 20\n# 1 -> 2\n1 -> 2 -> 3\n7，8")], "c string, a string")
     r = df.select(comments.parse_cut_points(F.col("c")).alias("c"), comments.parse_anchors(F.col("a")).alias("a")).first()
     assert list(r["c"]) == [90000, 120000]
-    assert [tuple(x) for x in r["a"]] == [(10000, 20000), (60000, 120000)]
+    assert [tuple(x) for x in r["a"]] == [(7000, 8000), (10000, 20000), (60000, 120000)]
 
 
 def test_time_codes_and_names(spark):
@@ -52,14 +67,14 @@ def test_time_codes_and_names(spark):
 
 def test_time_map_projection(spark):
     spans = spark.createDataFrame(
-        [("m", 0, "matched", 0, 1000, 0, 1000), ("m", 1, "targetOnly", 1000, 1000, 1000, 1500), ("m", 2, "matched", 1000, 2000, 1500, 2750), ("m", 3, "sourceOnly", 2000, 2400, 2750, 2750), ("m", 4, "ambiguous", 2400, 2400, 2750, 2750), ("m", 5, "matched", 2400, 4000, 2750, 4300)],
+        [("m", 0, "matched", 0, 1000, 0, 1000), ("m", 1, "targetOnly", 1000, 1000, 1000, 1500), ("m", 2, "matched", 1000, 2000, 1500, 2750), ("m", 3, "sourceOnly", 2000, 2400, 2750, 2750), ("m", 4, "ambiguous", 2400, 2400, 2750, 2900), ("m", 5, "matched", 2400, 4000, 2900, 4300)],
         timemap.SPAN_SCHEMA,
     )
     points = spark.createDataFrame([("m", t) for t in (-1, 0, 999, 1000, 1001, 1999, 2100, 2400, 2401, 4000)], "map_id string, t_ms bigint")
     got = {r["t_ms"]: (r["status"], r["target_ms"]) for r in timemap.project(points, spans, width=700).collect()}
     assert got == {
         -1: ("unmapped", None), 0: ("mapped", 0), 999: ("mapped", 999), 1000: ("mapped", 1500), 1001: ("mapped", 1501), 1999: ("mapped", 2749),
-        2100: ("sourceOnly", None), 2400: ("ambiguous", None), 2401: ("mapped", 2751), 4000: ("unmapped", None),
+        2100: ("sourceOnly", None), 2400: ("ambiguous", None), 2401: ("mapped", 2901), 4000: ("unmapped", None),
     }
     assert timemap.validate(spans).count() == 0
     cut = timemap.split_at(spans, spark.createDataFrame([("m", 500), ("m", 1500)], "map_id string, at bigint"))
@@ -122,3 +137,24 @@ def test_coverage_stream(spark, tmp_path):
     q.awaitTermination(90)
     got = {r["user_id"]: (r["credited_ms"], r["sessions"]) for r in spark.table("covered").collect()}
     assert got[1] == (1500, 2) and got[2] == (0, 1)
+
+
+def test_ordered_names(spark):
+    names = ["03 - 第十二集.xml", "1.2 title.mp4", "12.mkv", "S01E02-E04.xml", "5-7.xml", "nothing here.xml", "7. 第二季第一百零三集 P2.xml"]
+    rows = spark.createDataFrame(list(enumerate(names)), "k bigint, n string")
+    got = [tuple(r["i"]) for r in rows.select("k", names_of.ordered_identity(F.col("n"), F.col("k")).alias("i")).orderBy("k").collect()]
+    assert got == [
+        (None, 12, 12, None, "episode", "moderate", 3, False),
+        (None, 1, 1, 2, "episodePart", "strong", 2, False),
+        (None, 12, 12, None, "episode", "moderate", 3, False),
+        (1, 2, 4, None, "seasonEpisodeRange", "strong", 4, False),
+        (None, 7, 7, None, "episode", "moderate", 5, False),
+        (None, 6, 6, None, "importOrderFallback", "fallback", 6, True),
+        (2, 103, 103, 2, "episodePart", "strong", 7, False),
+    ]
+
+
+def test_axis_and_blocks(spark):
+    df = spark.createDataFrame([(0, 100), (0, 10_000_000), (50, 40)], "a bigint, b bigint")
+    steps = [r[0] for r in df.select(lookup.axis_step(F.greatest(F.lit(1), F.col("b") - F.col("a")), F.lit(950))).collect()]
+    assert steps == [10, 1_800_000, 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine_cost(a: Column, b: Column) -> Column:
+    """1000 * (1 - cosine), rounded; 1000 where a vector has no length."""
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    cost = F.floor(F.least(F.greatest(1 - dot(a, b) / norms, F.lit(0.0)), F.lit(2.0)) * 1000 + 0.5)
+    return F.when(norms <= 2.220446049250313e-16, F.lit(1000).cast("long")).otherwise(cost)
+
+
 def rms_distance(a: Column, b: Column) -> Column:
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
     return F.sqrt(total / F.size(a))
@@ -55,11 +64,12 @@ def increasing_path(rows: DataFrame, by: str, source: str, target: str) -> DataF
         frame = frame.sort_values([source, target], ascending=[True, False], kind="stable")
         x = frame[target].to_numpy()
         tails: list[int] = []
+        ends: list = []
         back = np.full(len(x), -1)
-        for k, v in enumerate(x):
-            at = int(np.searchsorted([x[t] for t in tails], v))
+        for k, v in enumerate(x.tolist()):
+            at = bisect_left(ends, v)
             back[k] = tails[at - 1] if at else -1
-            tails[at : at + 1] = [k]
+            tails[at : at + 1], ends[at : at + 1] = [k], [v]
         chain, k = [], tails[-1] if tails else -1
         while k >= 0:
             chain.append(k)

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import display_ms, rgb_to_bgr_hex, timecode_to_ms
 
 _FILE = "d ARRAY<STRUCT<_p: STRING, _VALUE: STRING>>"
+#: The fields of ``p`` behind the time, in the format's order (fixed values).
 FIELDS = ["mode", "font_size", "color", "timestamp", "pool"]
 
 
 def read_comment_xml(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """One row per ``<d p="...">`` in file order; rows are never dropped, faults become ``warnings``.
 
-    A time that cannot be read becomes 0, missing numbers become null.  ``mode="FAILFAST"`` refuses broken files.
+    A time that cannot be read becomes 0, missing numbers become null; Spark's reader gives no text where a comment
+    holds blanks only.  ``mode="FAILFAST"`` refuses broken files.
     """
-    files = spark.read.format("xml").option("rowTag", "i").option("mode", mode).schema(_FILE).load(path).withColumn("asset_id", F.input_file_name())
+    files = spark.read.format("xml").option("rowTag", "i").option("mode", mode).option("ignoreSurroundingSpaces", "false").schema(_FILE).load(path).withColumn("asset_id", F.input_file_name())
     return parse_items(files.select("asset_id", F.posexplode("d").alias("original_index", "row")).select("asset_id", "original_index", F.col("row._p").alias("p"), F.col("row._VALUE").alias("text")))
 
 
@@ -26,9 +28,9 @@ def parse_items(rows: DataFrame) -> DataFrame:
     seconds = F.when(F.get("raw", F.lit(0)).rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.get("raw", F.lit(0)).try_cast("decimal(20,6)"))
     faults = [
         F.when(F.col("p").isNull(), F.lit("missing_p")),
-        F.when(F.col("p").isNotNull() & (F.size("raw") < 8), F.lit("short_p")),
+        F.when(F.size("raw") < 8, F.lit("short_p")),
         F.when(seconds.isNull(), F.lit("bad_time")),
-        F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("empty_text")),
+        F.when(F.length(F.coalesce("text", F.lit(""))) == 0, F.lit("empty_text")),
     ]
     numbers = [F.get("raw", F.lit(k + 1)).try_cast("long").alias(name) for k, name in enumerate(FIELDS)]
     return rows.withColumn("raw", raw).select(
@@ -80,11 +82,44 @@ def parse_cut_points(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(text, "[\n,，;；]"), lambda x: timecode_to_ms(x)))))
 
 
+#: What stands between the two times of an anchor (fixed values).
+ANCHOR_SIGNS = r"\s*(?:->|=>|→|,|，|\t)\s*"
+
+
 def parse_anchors(text: Column) -> Column:
-    """Anchors ``a -> b`` per line, sorted by source; lines that are none are skipped."""
+    """Anchors ``a -> b`` per line, sorted; lines that are none, have more parts or begin with # are skipped."""
+
     def pair(line: Column) -> Column:
-        sides = F.split(line, r"->|=>|→|,|\t")
-        return F.struct(timecode_to_ms(F.get(sides, F.lit(0))).alias("source_ms"), timecode_to_ms(F.get(sides, F.lit(1))).alias("target_ms"))
+        sides = F.filter(F.split(F.trim(line), ANCHOR_SIGNS), lambda x: x != "")
+        two = (F.size(sides) == 2) & ~F.startswith(F.trim(line), F.lit("#"))
+        return F.struct(F.when(two, timecode_to_ms(F.get(sides, F.lit(0)))).alias("source_ms"), F.when(two, timecode_to_ms(F.get(sides, F.lit(1)))).alias("target_ms"))
 
-    found = F.transform(F.split(text, "\n"), pair)
+    found = F.transform(F.split(text, "\r?\n"), pair)
     return F.array_sort(F.filter(found, lambda a: a["source_ms"].isNotNull() & a["target_ms"].isNotNull()))
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without the slashes of an empty authority, which Spark's readers write differently."""
+    return F.regexp_replace(path, "^([a-z]+:)/+", "$1/")
+
+
+def read_comment_files(spark: SparkSession, path: str, most_items: int = 250_000, most_p: int = 16_384, most_fields: int = 64) -> DataFrame:
+    """Items of every different file of ``path``, with its digest; equal files are read once.
+
+    A broken file, or one beyond the bounds, stops the read with an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select(_plain_path(F.col("path")).alias("_path"), F.sha2("content", 256).alias("digest"))
+    first = files.groupBy("digest").agg(F.min("_path").alias("_path"))
+    kept = read_comment_xml(spark, path, "FAILFAST").withColumn("_path", _plain_path(F.col("asset_id"))).join(first, "_path").drop("_path")
+    counts = kept.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.array_join("raw_p_fields", ","))).alias("p"), F.max(F.size("raw_p_fields")).alias("f"))
+    broken = counts.filter((F.col("n") > most_items) | (F.col("p") > most_p) | (F.col("f") > most_fields)).limit(1).collect()
+    if broken:
+        raise ValueError(f"file {broken[0]['digest']} is beyond the bounds")
+    return kept
+
+
+def round_trip_faults(items: DataFrame, back: DataFrame, at: str = "final_ms") -> DataFrame:
+    """Rows of ``items`` whose time or text another read of what was written does not show, and rows it has in excess."""
+    wanted = items.select(F.greatest(F.col(at), F.lit(0)).cast("long").alias("ms"), "text")
+    got = back.select(F.col("source_time_ms").alias("ms"), "text")
+    return wanted.exceptAll(got).withColumn("fault", F.lit("missing")).union(got.exceptAll(wanted).withColumn("fault", F.lit("added")))
