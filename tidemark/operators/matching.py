@@ -3,32 +3,55 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import once
+
 
 def median_bits(vector: Column) -> Column:
     """64-bit perceptual hash: bit k is set where component k exceeds the median (the mean of the two middle ones)."""
     v = F.transform(vector, lambda x: x.cast("double"))
     ordered = F.array_sort(v)
-    middle = (F.get(ordered, 31) + F.get(ordered, 32)) / 2
-    bits = F.transform(v, lambda x, k: F.when(x > middle, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+    def bits(s: Column) -> Column:
+        middle = (F.get(s["o"], 31) + F.get(s["o"], 32)) / 2
+        return once(middle, lambda m: F.transform(s["v"], lambda x, k: F.when(x > m, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint"))))
+
+    return F.aggregate(once(F.struct(v.alias("v"), ordered.alias("o")), bits), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+
+#: Equal parts of a 64-bit hash, and bits that may differ in the part in which two hashes meet.
+PARTS, FLIPS = 4, 2
 
 
 def hamming_pairs(rows: DataFrame, key: str, bits: str, most: int) -> DataFrame:
-    """Pairs whose hashes differ in at most ``most`` bits, met in one of ``most + 1`` bands that must be equal."""
-    n = most + 1
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    band = F.array(*[F.shiftrightunsigned(bits, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])])
-    spread = rows.select(key, bits, F.posexplode(band).alias("band", "part"))
-    a, b = spread.alias("a"), spread.alias("b")
-    met = a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.part") == F.col("b.part"), F.col(f"a.{key}") < F.col(f"b.{key}")])
-    apart = F.bit_count(F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}"))).cast("int")
-    return met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), apart.alias("distance")).filter(F.col("distance") <= most).distinct()
+    """Pairs whose hashes differ in at most ``most`` bits, which is less than PARTS * (FLIPS + 1).
+
+    Two such hashes have a part in which at most FLIPS bits differ.  One side is listed under its parts, the other
+    under its parts with up to FLIPS bits turned, so they meet by equality; a pair counts in the first part it meets in.
+    """
+    if most >= PARTS * (FLIPS + 1):
+        raise ValueError(f"{most} bits may be spread so that no part has {FLIPS} or fewer")
+    width = 64 // PARTS
+    mask = (1 << width) - 1
+    turned = [0] + [sum(1 << b for b in c) for n in range(1, FLIPS + 1) for c in combinations(range(width), n)]
+
+    def parts(b: Column) -> Column:
+        return F.array(*[F.shiftrightunsigned(b, k * width).bitwiseAND(mask) for k in range(PARTS)])
+
+    held = rows.select(F.col(key).alias("b"), F.col(bits).alias("y"), F.posexplode(parts(F.col(bits))).alias("part", "value"))
+    asked = rows.select(F.col(key).alias("a"), F.col(bits).alias("x"), F.posexplode(parts(F.col(bits))).alias("part", "v"))
+    asked = asked.select("a", "x", "part", F.explode(F.transform(F.array(*[F.lit(t).cast("bigint") for t in turned]), lambda t: F.col("v").bitwiseXOR(t))).alias("value"))
+    met = asked.join(held, ["part", "value"]).filter("a < b").withColumn("apart", F.col("x").bitwiseXOR(F.col("y")))
+    first = F.lit(True)
+    for k in range(PARTS - 1):
+        first = first & ((F.col("part") <= k) | (F.bit_count(F.shiftrightunsigned("apart", k * width).bitwiseAND(mask)) > FLIPS))
+    return met.filter(first).select("a", "b", F.bit_count("apart").cast("int").alias("distance")).filter(F.col("distance") <= most)
 
 
 def fingerprint_pairs(rows: DataFrame, key: str, vector: str, step: float, tolerance: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analysis, editing, lookups, measures, timeline
+from tidemark.plans import analysis, editing, lookups, measures, merging, timeline
 
-QUERIES = {**timeline.QUERIES, **analysis.QUERIES, **editing.QUERIES, **measures.QUERIES, **lookups.QUERIES}
-SQL = {**timeline.SQL, **analysis.SQL, **editing.SQL, **measures.SQL, **lookups.SQL}
+QUERIES = {**timeline.QUERIES, **analysis.QUERIES, **editing.QUERIES, **measures.QUERIES, **lookups.QUERIES, **merging.QUERIES}
+SQL = {**timeline.SQL, **analysis.SQL, **editing.SQL, **measures.SQL, **lookups.SQL, **merging.SQL}
