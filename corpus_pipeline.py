@@ -5,6 +5,12 @@ next stage's documents.  All stages but the last return the columns of documents
 
 No single SQL statement expresses the learned toxicity score, the templates or the encoding, so ORACLE_SQL is None;
 tests/llm/test_pipeline.py checks run() against brute force.
+
+Cases: documents without text, or with an empty one, and rows without a doc_id go through all stages and have no
+tokens; texts of any length are read whole; rows that repeat a doc_id stay or go together in the near-duplicate stage
+and are judged each on its own in the others; of equal documents the one with the smallest doc_id stays; further
+columns, whatever their names, pass through all stages but the last, which returns its own; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, line_templates, minhash, toxicity
-from tidemark.session import ensure_checkpoint_dir, table
+from tidemark.session import ensure_checkpoint_dir, fresh, table
 
 ORACLE_SQL = None
 
@@ -23,7 +29,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on these documents' labels, does not call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    score, predicted = fresh(docs, "score", "predicted")
+    return toxicity.score(docs, model, score=score, predicted=predicted).filter(F.col(predicted) == 0).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
