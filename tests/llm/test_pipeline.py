@@ -4,6 +4,7 @@ import random
 
 import brute
 import pandas as pd
+from pyspark.sql import functions as F
 from test_brute import WORDS, prose
 from tokenizers import Tokenizer
 
@@ -46,5 +47,10 @@ def test_run(spark, tmp_path):
     want = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in kept}
     assert {r["doc_id"]: r["token_ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+    odd = docs.select("*", *[F.lit("x").alias(c) for c in ("score", "predicted", "id", "places", "left", "dropped", "row", "token_ids", "decoded")])
+    odd = odd.union(odd.filter("doc_id < 2")).union(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name
+        assert out.filter("score = 'x' AND decoded = 'x'").count() == out.count() > 0

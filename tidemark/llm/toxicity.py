@@ -302,11 +302,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     return Model(names, weights, bare.clean, tuple(fit_logistic(x, y).tolist()))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
     ship_package(docs.sparkSession)
-    docs = docs.drop("score", "predicted")
-    at, names = docs.columns.index(text), [*docs.columns, "score"]
+    docs = docs.drop(score, predicted)
+    at, names = docs.columns.index(text), [*docs.columns, score]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, known = model.coefficients, known_words(model)
@@ -314,8 +314,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             z = [sum(a * b for a, b in zip(w, (*features(t.as_py(), model, known), 1.0), strict=True)) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([1 / (1 + math.exp(-max(-500.0, min(500.0, v)))) for v in z], pa.float64())], names)
 
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    schema = docs.select("*", F.lit(0.0).alias(score)).schema
+    return docs.mapInArrow(scored, schema).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
