@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import matching, review
+from tidemark.operators import lookup, matching, measures, review
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
 from tidemark.session import ship_package, table
@@ -35,13 +35,19 @@ def fingerprint_join(spark, d):
     return matching.fingerprint_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.125, 0.15)
 
 
-@query(f"""SELECT bucket, n FROM (SELECT bucket, n, row_number() OVER (ORDER BY n DESC, bucket) AS rn FROM (SELECT (b.t_ms - a.t_ms) // 60000 AS bucket, count(*) AS n FROM {B.E_SQL} a JOIN {B.E_SQL} b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.t_ms >= a.t_ms GROUP BY 1)) WHERE rn <= 24""")
+_KEPT = f"""(WITH p AS (SELECT user_id, t_ms, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY t_ms, event_id) - 1 AS i FROM {B.E_SQL} WHERE event_type = 'purchase'),
+k AS (SELECT DISTINCT user_id, CAST(floor(k * ((n - 1) / 31.0::DOUBLE) + 0.5) AS BIGINT) AS i FROM p, range(0, 32) r(k) WHERE n > 32) SELECT user_id, t_ms FROM p WHERE n <= 32 OR (user_id, i) IN (SELECT (user_id, i) FROM k))"""
+
+
+@query(f"""SELECT bucket, n FROM (SELECT bucket, n, row_number() OVER (ORDER BY n DESC, bucket) AS rn FROM (SELECT (b.t_ms - a.t_ms) // 60000 AS bucket, count(*) AS n FROM {B.E_SQL} a JOIN {_KEPT} b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.t_ms >= a.t_ms GROUP BY 1)) WHERE rn <= 24 AND (n >= 2 OR rn <= 8)""")
 def offset_histogram(spark, d):
+    """The 24 most frequent offsets; ones that occur once only among the first 8.  A key has 32 targets at most, evenly spaced."""
     e = B.events(spark, d)
     a = e.filter("event_type = 'view'").select("user_id", F.col("t_ms").alias("s"))
-    b = e.filter("event_type = 'purchase'").select("user_id", F.col("t_ms").alias("t"))
+    b = lookup.even_sample(e.filter("event_type = 'purchase'"), ["user_id"], ["t_ms", "event_id"], 32).select("user_id", F.col("t_ms").alias("t"))
     pairs = a.join(b, "user_id").filter("t >= s").groupBy(F.floor((F.col("t") - F.col("s")) / 60000).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return pairs.orderBy(F.desc("n"), "bucket").limit(24)
+    top = pairs.orderBy(F.desc("n"), "bucket").limit(24)
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "bucket"))).filter("n >= 2 OR place <= 8").drop("place")
 
 
 @query("SELECT l_suppkey, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS scale, round(regr_intercept(l_extendedprice, l_quantity), 2) AS shift, round(corr(l_extendedprice, l_quantity), 6) AS fit FROM lineitem GROUP BY l_suppkey")
@@ -52,8 +58,9 @@ def affine_fit(spark, d):
 
 @query("SELECT l_returnflag, count(*) AS n, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS most FROM lineitem GROUP BY l_returnflag")
 def nearest_rank_percentiles(spark, d):
-    t = table(spark, d, "lineitem")
-    return t.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p95"), F.max("l_extendedprice").alias("most"))
+    n = F.col("n")
+    places = {"p50": measures.nearest_index(0.5, n), "p95": measures.nearest_index(0.95, n), "most": n - 1}
+    return measures.values_at_ranks(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", places)
 
 
 @query("SELECT DISTINCT o_orderstatus || '-' || o_orderpriority AS cell, count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority) AS n, round(count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority) * count(*) OVER () / (count(*) OVER (PARTITION BY o_orderstatus) * (count(*) OVER (PARTITION BY o_orderpriority))::DOUBLE), 6) AS lift FROM orders")
