@@ -5,8 +5,8 @@ taken as variable.  In a leaf, a token stays constant at its place if enough doc
 are variable.  Lines with the same constants and enough constant places share a template, and a template that
 recurs in enough documents is boilerplate: its first line, by doc_id and place, stays, all others are dropped.
 
-Lines move as digests of their masked tokens.  Only wordings in leaves that enough documents share are read again,
-each at its first place, so neither a common line nor a common leaf gathers in one task.
+Lines move as digests of their masked wording.  Wordings are read again only in leaves that enough documents share,
+and each moves once per task, so neither a common line nor a common leaf gathers in one task.
 
 Cases: a null text stays null and an empty one empty; blank lines are never templates; lines of rows that repeat a
 doc_id count for one document; a document whose every line is dropped is removed by ``drop_recurring_lines`` and has
@@ -32,8 +32,14 @@ def _digest(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
-def masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
+def masked(line: Column) -> Column:
+    """A line with single blanks and with tokens that hold digits as variable; linear in its length."""
+    return F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)
+
+
+def leaf_of(wording: Column) -> Column:
+    """The place in the tree: the number of tokens and the first ones."""
+    return F.xxhash64(F.length(wording) - F.length(F.replace(wording, F.lit(" "), F.lit(""))), F.substring_index(wording, " ", LEADING))
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,17 +50,16 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def recurring(docs: DataFrame, text: str = "text", minimum: int = MINIMUM_DOCS, share: float = CONSTANT_SHARE) -> tuple[DataFrame, DataFrame]:
     """((doc_id, pos) of lines to drop, templates (template, n_docs, n_lines)) of ``docs``."""
-    x, y = _digest(F.col("tokens"))
-    read = lines(docs, text).select("doc_id", "pos", masked(F.split(F.trim("line"), r"\s+")).alias("tokens"))
-    placed = cut(read.select("doc_id", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), x.alias("x"), y.alias("y")))
+    x, y = _digest(F.col("wording"))
+    read = lines(docs, text).select("doc_id", "pos", masked(F.col("line")).alias("wording"))
+    placed = cut(read.select("doc_id", "pos", leaf_of(F.col("wording")).alias("leaf"), x.alias("x"), y.alias("y")))
     of_doc = placed.groupBy("leaf", "x", "y", "doc_id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    wordings = cut(of_doc.groupBy("leaf", "x", "y").agg(F.count(F.lit(1)).alias("docs"), F.min_by("pos", "doc_id").alias("pos"), F.min("doc_id").alias("doc_id")))
+    wordings = cut(of_doc.groupBy("leaf", "x", "y").agg(F.count(F.lit(1)).alias("docs")))
     # Leaves that too few documents share hold no template; only the others' wordings are read.
     crowded = cut(wordings.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= minimum).select("leaf"))
-    types = cut(wordings.join(crowded, "leaf", "left_semi"))
-    at = lines(docs, text).join(types, ["doc_id", "pos"]).select("leaf", "docs", "x", "y", masked(F.split(F.trim("line"), r"\s+")).alias("tokens"))
-    # Where texts repeat a doc_id, several lines stand at the place, and one of them is meant.
-    worded = cut(at.filter((F.col("x") == x) & (F.col("y") == y)).dropDuplicates(["x", "y"]))
+    inside = read.select("wording", leaf_of(F.col("wording")).alias("leaf")).join(crowded, "leaf", "left_semi").select(x.alias("x"), y.alias("y"), "wording")
+    types = wordings.join(crowded, "leaf", "left_semi")
+    worded = cut(inside.dropDuplicates(["x", "y"]).join(types, ["x", "y"]).select("x", "y", "leaf", "docs", F.split("wording", " ").alias("tokens")))
     places = worded.filter(F.size("tokens") > LEADING).select("x", "y", "leaf", "docs", F.posexplode("tokens").alias("at", "token"))
     constant = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= minimum)
     kept = places.join(constant.select("leaf", "at", "token", F.lit(True).alias("constant")), ["leaf", "at", "token"], "left")
