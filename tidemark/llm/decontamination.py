@@ -33,9 +33,9 @@ from tidemark.session import held, send, ship_package, table
 #: Edits allowed per character of the item, and the length of the pieces that may stay untouched.
 DISTANCE, PIECE, WALKED, SHORTEST = 0.1, 8, 24, 8
 #: Random walks, samples per walk, places per sample.  At 10 % edits about six in ten places agree, so a window shares
-#: no key with its item with probability (1 - 0.6 ** 4) ** 200 if samples were independent; those of one walk are not,
+#: no key with its item with probability (1 - 0.6 ** 4) ** 160 if samples were independent; those of one walk are not,
 #: so the number of walks decides: tests/llm/test_brute.py asks for 0.99 of the leaks.
-WALKS, SAMPLES, PLACES = 10, 20, 4
+WALKS, SAMPLES, PLACES = 8, 20, 4
 #: Benchmark characters that go along with one pass over the documents; larger benchmarks take several passes.
 PASS_CHARS = 8_000_000
 BLOCK_CHARS, WINDOW_BLOCK = 2_000_000, 8_000
