@@ -23,6 +23,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BANDS, DEPTH = 6, 3
 #: Signature values, of BANDS * DEPTH, in which a plausible pair agrees; a pair at 0.75 has fewer with probability 4e-5.
 PLAUSIBLE = 6
 BLOCK_WORDS = 500_000
+#: Shingles whose signature values are held at a time.
+SIGNED_SHINGLES = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,12 +54,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 def shingles_in_order(text: str, words: dict) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of a text at every word, and the word position at which each line begins."""
-    raw = text.encode().translate(_LOWER)
-    starts = np.cumsum([0, *(len(line.split()) for line in raw.split(b"\n"))])
-    found = raw.split()
-    if len(found) < SHINGLE:
+    lines = [line.split() for line in text.encode().translate(_LOWER).split(b"\n")]
+    starts = np.cumsum([0, *map(len, lines)])
+    n = int(starts[-1])
+    if n < SHINGLE:
         return np.zeros(0, np.uint64), starts
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(words.__getitem__, chain.from_iterable(lines)), np.uint64, n)
     out = np.full(len(h) - SHINGLE + 1, SHINGLE, np.uint64)
     for k in range(SHINGLE):
         out = _mixed(out * _BASE + h[k : len(out) + k])
@@ -79,6 +82,25 @@ def cuts(g: np.ndarray, window: int = CUT_WINDOW) -> np.ndarray:
     return np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
 
 
+def signatures_of(g: np.ndarray, begin: np.ndarray, end: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One signature for each of g[begin:end], which are not empty; many at a time."""
+    out = np.zeros((len(begin), len(factors)), np.int32)
+    at = 0
+    while at < len(begin):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(end[at:] - begin[at:]), SIGNED_SHINGLES)))
+        b, e = begin[at:upto], end[at:upto]
+        if len(b) == 1:
+            out[at] = _signature(g[b[0] : e[0]], factors)
+        else:
+            sizes = e - b
+            starts = np.cumsum(sizes) - sizes
+            used = np.repeat(b - starts, sizes) + np.arange(int(sizes.sum()))
+            least = np.minimum.reduceat(g[used][:, None] * factors, starts, axis=0)
+            out[at:upto] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        at = upto
+    return out
+
+
 def _run_hashes(g: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """64-bit hashes of g[first:last] for every pair of bounds."""
     power = _powers(_BASE, len(g))
@@ -126,7 +148,7 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
                 parts[1].append(np.concatenate([first, begin]).astype(np.int32))
                 parts[2].append((np.concatenate([last, end]) + SHINGLE - 1).astype(np.int32))
                 parts[3].append(x)
-                parts[4] += [None] * len(first) + [_signature(g[b:e], factors) for b, e in zip(begin, end, strict=True)]
+                parts[4] += [None] * len(first) + list(signatures_of(g, begin, end, factors))
             joined = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts[:4]]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             columns = [pa.array(j, kind) for j, kind in zip(joined, types, strict=True)]
