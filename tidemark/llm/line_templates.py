@@ -33,13 +33,21 @@ def _digest(*parts: Column) -> tuple[Column, Column]:
 
 
 def masked(line: Column) -> Column:
-    """A line with single blanks and with tokens that hold digits as variable; linear in its length."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)
+    """A line with single blanks and with tokens that hold digits as variable; linear in its length.
+
+    Most lines have neither digits nor other white space than single blanks, and are only looked through.
+    """
+    uneven = line.contains("  ")
+    for blank in "\t\r\f\x0b":
+        uneven = uneven | line.contains(blank)
+    plain = F.trim(F.when(uneven, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(plain)
 
 
 def leaf_of(wording: Column) -> Column:
     """The place in the tree: the number of tokens and the first ones."""
-    return F.xxhash64(F.length(wording) - F.length(F.replace(wording, F.lit(" "), F.lit(""))), F.substring_index(wording, " ", LEADING))
+    blanks = F.octet_length(wording) - F.octet_length(F.replace(wording, F.lit(" "), F.lit("")))
+    return F.xxhash64(blanks, F.substring_index(wording, " ", LEADING))
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
