@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op3_bpe
 from tidemark.llm.decontamination import op5_decontamination
 from tidemark.llm.embeddings import op1_embedding_graph
 from tidemark.llm.line_templates import op4_line_templates
+from tidemark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from tidemark.llm.minhash import op9_minhash_forest
 from tidemark.llm.paragraphs import op10_paragraphs
 from tidemark.llm.pii import op7_personal_data
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_forest": op9_minhash_forest,
     "op10_paragraphs": op10_paragraphs,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL = {
     "op2_url_filter": OP2_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
