@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op3_bpe
+from tidemark.llm.collocations import OP13_SQL, op13_collocations
 from tidemark.llm.decontamination import op5_decontamination
 from tidemark.llm.embeddings import op1_embedding_graph
 from tidemark.llm.line_templates import op4_line_templates
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_minhash_forest": op9_minhash_forest,
     "op10_paragraphs": op10_paragraphs,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_collocations": op13_collocations,
 }
 
 SQL = {
     "op2_url_filter": OP2_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
