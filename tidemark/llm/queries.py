@@ -11,6 +11,7 @@ from tidemark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from tidemark.llm.minhash import op9_minhash_forest
 from tidemark.llm.paragraphs import op10_paragraphs
 from tidemark.llm.pii import op7_personal_data
+from tidemark.llm.quality import op12_line_quality
 from tidemark.llm.suffixes import op8_suffix_dedup
 from tidemark.llm.toxicity import op6_toxicity
 from tidemark.llm.urls import OP2_SQL, op2_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_minhash_forest": op9_minhash_forest,
     "op10_paragraphs": op10_paragraphs,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_line_quality": op12_line_quality,
     "op13_collocations": op13_collocations,
 }
 
