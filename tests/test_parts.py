@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as X
 from tidemark.functions import names as names_of
+from tidemark.functions import rules
 from tidemark.operators import alignment, intervals, lookup, matching, timemap
 from tidemark.sources import comments
 from tidemark.streaming import playback
@@ -52,17 +52,38 @@ def test_equal_files_are_read_once(spark, tmp_path):
         comments.read_comment_files(spark, str(tmp_path), most_items=4)
 
 
-def test_rule_texts(spark):
-    df = spark.createDataFrame([("1:30，90\n2:00;x", "1:00 -> 2:00\nbad\n10 => 20\n# 1 -> 2\n1 -> 2 -> 3\n7，8")], "c string, a string")
-    r = df.select(comments.parse_cut_points(F.col("c")).alias("c"), comments.parse_anchors(F.col("a")).alias("a")).first()
-    assert list(r["c"]) == [90000, 120000]
-    assert [tuple(x) for x in r["a"]] == [(7000, 8000), (10000, 20000), (60000, 120000)]
+def test_cut_points_and_anchors_of_texts(spark):
+    df = spark.createDataFrame([("1:30，90\n2:00;x, 1:30,", "1:00 -> 2:00\nbad\n10 => 20\n# 1 -> 2\n1 -> 2 -> 3\n0:07，0:08\n0:07→0:08"), (None, None), ("", " \n")], "c string, a string")
+    rows = df.select(comments.parse_cut_points(F.col("c")).alias("c"), comments.cut_point_faults(F.col("c")).alias("cf"), comments.parse_anchors(F.col("a")).alias("a"), comments.anchor_faults(F.col("a")).alias("af")).collect()
+    assert list(rows[0]["c"]) == [90_000, 90_000, 120_000, 5_400_000] and list(rows[0]["cf"]) == ["x"]
+    assert [tuple(x) for x in rows[0]["a"]] == [(7000, 8000, "manual-anchor-5"), (7000, 8000, "manual-anchor-6"), (60000, 120000, "manual-anchor-1")]
+    assert [tuple(x)[:2] for x in rows[0]["af"]] == [(2, "parts"), (3, "time"), (4, "parts")]
+    assert all(list(r[k]) == [] for r in rows[1:] for k in ("c", "cf", "a", "af"))
 
 
-def test_time_codes_and_names(spark):
-    df = spark.createDataFrame([("1:02:03.5", "Show S02E07 final"), ("nope", "Show 3x11"), ("75", "Part 12")], "t string, n string")
-    rows = df.select(X.timecode_to_ms(F.col("t")).alias("t"), X.episode_key(F.col("n")).alias("n")).collect()
-    assert [(r["t"], r["n"]) for r in rows] == [(3723500, "2:7"), (None, "3:11"), (75000, "1:12")]
+def test_times_of_rule_texts(spark):
+    wanted = {
+        "45": 2_700_000, "49.5": 2_970_000, "90:00": 5_400_000, "1:75": None, "1:60:00": None, "1:59:59.9994": 7_199_999, "45分钟": 2_700_000, "45 MIN": 2_700_000, "3m": 180_000, "1.5分": 90_000,
+        "-1:00": None, "1:-2": None, "1::5": 3_605_000, ":30": 30_000, "1:2:3:4": None, "a:1": None, "45h": None, "": None, "\u3000 7 ": 420_000, "0x10:1": 961_000, "1e1:0": 600_000, "51:20.123": 3_080_123,
+    }
+    got = spark.createDataFrame([(t,) for t in wanted], "t string").select("t", rules.rule_time(F.col("t")).alias("ms"), rules.anchor_time(F.col("t")).alias("anchor")).collect()
+    assert {r["t"]: r["ms"] for r in got} == wanted
+    assert {r["t"]: r["anchor"] for r in got} == {t: ms if ":" in t else None for t, ms in wanted.items()}
+
+
+def test_numbers_of_texts(spark):
+    wanted = {"1": 1, " -7.9 ": -7, "1e3": 1000, "1d": None, "2f": None, "0x10": 16, "0b101": 5, "0o17": 15, "": None, "  ": None, "Infinity": None, "NaN": None, "1_0": None, "+.5": 0, "5.": 5, ".": None, "-0x10": None, "1e400": None, "2L": None}
+    got = spark.createDataFrame([(t,) for t in wanted], "t string").select("t", rules.whole_number(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == wanted
+    got = spark.createDataFrame([(t,) for t in ("9", "1.5", "abc", "", "-1", None)], "t string").select(rules.minutes_input(F.col("t"))).collect()
+    assert [r[0] for r in got] == [540_000, 90_000, None, None, None, None]
+
+
+def test_durations_of_texts(spark):
+    text = "S01E02 51:20.123\r\n\n第2季第13集：45分钟\nE7=49.5\n第3话 1:00:00\n10\nnothing\nx 0:00\nfinale, 3 min"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(rules.durations(F.col("t")).alias("d")).collect()
+    assert [tuple(x)[0:1] + tuple(x)[2:] for x in got[0]["d"]] == [(1, 1, 2, 3_080_123), (2, 2, 13, 2_700_000), (3, None, 7, 2_970_000), (4, None, 3, 3_600_000), (5, None, 5, 600_000), (6, None, None, None), (7, None, None, None), (8, None, 8, 180_000)]
+    assert got[1]["d"] == []
 
 
 def test_time_map_projection(spark):

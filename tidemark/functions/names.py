@@ -50,11 +50,6 @@ def landmark_key(anchor: Column, target: Column, delta_ms: Column, quantum: int
     return F.shiftleft(anchor.cast("long"), 16).bitwiseOR(F.shiftleft(target.cast("long"), 8)).bitwiseOR(F.floor(delta_ms / quantum))
 
 
-def nullable_integer(text: Column) -> Column:
-    """The whole part of a decimal number in a text; null for anything else."""
-    return F.trim(text).try_cast("double").try_cast("long")
-
-
 def _number(text: Column) -> Column:
     """Arabic or Chinese numeral up to 999; null for anything else."""
 

@@ -1,4 +1,4 @@
-"""Column functions for time codes, colours, comment fields and episode names."""
+"""Column functions for time codes, colours and comment fields."""
 
 from __future__ import annotations
 
@@ -6,17 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def timecode_to_ms(text: Column) -> Column:
-    """Milliseconds of ``[[h:]m:]s[.fff]``; null if the text is no time code."""
-    t = F.trim(text)
-    good = t.rlike(r"^(?:(?:[0-9]+:)?[0-5]?[0-9]:)?[0-9]+(?:\.[0-9]{1,3})?$")
-    parts = F.reverse(F.split(t, ":"))
-    seconds = (F.get(parts, 0).try_cast("decimal(20,3)") * 1000).cast("long")
-    minutes = F.coalesce(F.get(parts, 1).try_cast("long"), F.lit(0))
-    hours = F.coalesce(F.get(parts, 2).try_cast("long"), F.lit(0))
-    return F.when(good, seconds + minutes * 60_000 + hours * 3_600_000)
-
-
 def ms_to_timecode(ms: Column) -> Column:
     """``hh:mm:ss.fff``, with a sign for negative times."""
     a = F.abs(ms)
@@ -28,26 +17,10 @@ def rgb_to_bgr_hex(color: Column) -> Column:
     return F.lpad(F.hex(F.shiftleft(color.bitwiseAND(255), 16).bitwiseOR(color.bitwiseAND(0xFF00)).bitwiseOR(F.shiftright(color, 16).bitwiseAND(255))), 6, "0")
 
 
-def display_ms(mode: Column) -> Column:
-    """How long a comment stays: standing ones (4, 5) 4500 ms, others 8000 ms."""
-    return F.when(mode.isin(4, 5), 4500).otherwise(8000)
-
-
-def episode_key(name: Column) -> Column:
-    """``season:episode`` from S01E02, 1x02, or a trailing number (season 1); null without any."""
-    s = F.regexp_extract(name, r"(?i)s([0-9]{1,2})\s*e([0-9]{1,4})", 1)
-    e = F.regexp_extract(name, r"(?i)s([0-9]{1,2})\s*e([0-9]{1,4})", 2)
-    x = F.regexp_extract(name, r"(?i)\b([0-9]{1,2})x([0-9]{1,4})\b", 1)
-    y = F.regexp_extract(name, r"(?i)\b([0-9]{1,2})x([0-9]{1,4})\b", 2)
-    last = F.regexp_extract(name, r"([0-9]{1,4})(?!.*[0-9])", 1)
-
-    def key(a: Column, b: Column) -> Column:
-        return F.concat_ws(":", a.cast("int").cast("string"), b.cast("int").cast("string"))
+#: How long a comment stays, by mode (fixed values).
+STANDING_MODES, STANDING_MS, MOVING_MS = (4, 5), 4500, 8000
 
-    return F.when(s != "", key(F.when(s != "", s), e)).when(x != "", key(F.when(x != "", x), y)).when(last != "", key(F.lit("1"), F.when(last != "", last)))
 
-
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at rank ceil(p * n) of the sorted values."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.greatest(F.ceil(F.size(ordered) * F.lit(p)) - 1, F.lit(0)).cast("int"))
+def display_ms(mode: Column) -> Column:
+    """How long a comment stays on the screen."""
+    return F.when(mode.isin(*STANDING_MODES), STANDING_MS).otherwise(MOVING_MS)

@@ -66,6 +66,14 @@ def cuts_from_matches(matches: DataFrame, by: list[str], source: str, target: st
     return seen.filter(F.col("gap_ms") >= least).select(*by, F.col("_s").alias("range_start"), F.col(source).alias("range_end"), "gap_ms", F.round(confidence, 6).alias("confidence"))
 
 
+def cuts_from_anchors(anchors: DataFrame, by: list[str], source: str, target: str, name: str, least: int) -> DataFrame:
+    """(by, at_ms, gap_ms): anchors at which the offset to the target has grown by ``least`` or more since the one before."""
+    w = W.partitionBy(*by).orderBy(source, target, name)
+    offset = F.col(target) - F.col(source)
+    grown = (offset - F.lag(offset).over(w)).cast("long")
+    return anchors.select(*by, F.greatest(F.col(source), F.lit(0)).alias("at_ms"), grown.alias("gap_ms")).filter(F.col("gap_ms") >= least)
+
+
 def change_points(observations: DataFrame, by: list[str], at: str, offset: str, distance: str, step: int, least: int) -> DataFrame:
     """Where a rounded offset rises by ``least`` or more and stays for a stable stretch."""
     rounded = observations.withColumn("_o", (F.floor(F.col(offset) / step + 0.5) * step).cast("long"))

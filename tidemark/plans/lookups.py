@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import names as N
+from tidemark.functions import rules
 from tidemark.operators import intervals, lookup, matching, timemap
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
@@ -124,7 +125,7 @@ def landmark_keys(spark, d):
 def name_keys(spark, d):
     size = F.col("p_size").cast("string")
     text = F.when(F.col("p_size") % 3 == 0, F.concat(size, F.lit("x"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" "), size, F.lit(".7 "))).otherwise(F.concat(F.lit("-"), size, F.lit("e0")))
-    return table(spark, d, "part").select("p_partkey", N.score_text(F.concat("p_name", F.lit("第 "), size, F.lit(" 季.MKV"))).alias("key"), N.nullable_integer(text).alias("whole"))
+    return table(spark, d, "part").select("p_partkey", N.score_text(F.concat("p_name", F.lit("第 "), size, F.lit(" 季.MKV"))).alias("key"), rules.whole_number(text).alias("whole"))
 
 
 _S, _E, _P = "1 + o_orderkey % 12", "1 + o_custkey % 60", "o_orderkey % 8"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import display_ms, rgb_to_bgr_hex, timecode_to_ms
+from tidemark.functions import rules
+from tidemark.functions.text import display_ms, rgb_to_bgr_hex
 
 _FILE = "d ARRAY<STRUCT<_p: STRING, _VALUE: STRING>>"
 #: The fields of ``p`` behind the time, in the format's order (fixed values).
@@ -32,7 +33,7 @@ def parse_items(rows: DataFrame) -> DataFrame:
         F.when(seconds.isNull(), F.lit("bad_time")),
         F.when(F.length(F.coalesce("text", F.lit(""))) == 0, F.lit("empty_text")),
     ]
-    numbers = [F.get("raw", F.lit(k + 1)).try_cast("long").alias(name) for k, name in enumerate(FIELDS)]
+    numbers = [rules.whole_number(F.get("raw", F.lit(k + 1))).alias(name) for k, name in enumerate(FIELDS)]
     return rows.withColumn("raw", raw).select(
         "asset_id", "original_index", F.coalesce(F.floor(seconds * 1000 + F.lit(0.5)).cast("long"), F.lit(0).cast("long")).alias("source_time_ms"), *numbers,
         F.get("raw", F.lit(6)).alias("user_hash"), F.get("raw", F.lit(7)).alias("row_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("raw").alias("raw_p_fields"), F.array_compact(F.array(*faults)).alias("warnings"),
@@ -78,24 +79,25 @@ def ass_events(items: DataFrame, at: str = "t_ms", lanes: int = 10) -> DataFrame
 
 
 def parse_cut_points(text: Column) -> Column:
-    """Sorted distinct times of a rule text: time codes between line breaks, commas and semicolons."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(text, "[\n,，;；]"), lambda x: timecode_to_ms(x)))))
+    """Times of a rule text in order; equal ones stay, entries that are no times are in ``cut_point_faults``."""
+    return F.array_sort(F.array_compact(F.transform(rules.cut_points(text), lambda x: x["at_ms"])))
 
 
-#: What stands between the two times of an anchor (fixed values).
-ANCHOR_SIGNS = r"\s*(?:->|=>|→|,|，|\t)\s*"
+def cut_point_faults(text: Column) -> Column:
+    """Entries of a rule text that are no times."""
+    return F.transform(F.filter(rules.cut_points(text), lambda x: x["at_ms"].isNull()), lambda x: x["text"])
 
 
 def parse_anchors(text: Column) -> Column:
-    """Anchors ``a -> b`` per line, sorted; lines that are none, have more parts or begin with # are skipped."""
+    """Anchors ``a -> b`` per line in order of their times, equal ones of their lines' names."""
+    found = F.filter(rules.anchors(text), lambda x: x["fault"].isNull())
+    made = F.transform(found, lambda x: F.struct(x["source_ms"].alias("source_ms"), x["target_ms"].alias("target_ms"), F.concat(F.lit("manual-anchor-"), x["line"].cast("string")).alias("id")))
+    return F.array_sort(made)
 
-    def pair(line: Column) -> Column:
-        sides = F.filter(F.split(F.trim(line), ANCHOR_SIGNS), lambda x: x != "")
-        two = (F.size(sides) == 2) & ~F.startswith(F.trim(line), F.lit("#"))
-        return F.struct(F.when(two, timecode_to_ms(F.get(sides, F.lit(0)))).alias("source_ms"), F.when(two, timecode_to_ms(F.get(sides, F.lit(1)))).alias("target_ms"))
 
-    found = F.transform(F.split(text, "\r?\n"), pair)
-    return F.array_sort(F.filter(found, lambda a: a["source_ms"].isNotNull() & a["target_ms"].isNotNull()))
+def anchor_faults(text: Column) -> Column:
+    """(line, fault, text) of lines that are no anchors."""
+    return F.transform(F.filter(rules.anchors(text), lambda x: x["fault"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["fault"].alias("fault"), x["text"].alias("text")))
 
 
 def _plain_path(path: Column) -> Column:
