@@ -61,9 +61,29 @@ def test_long_and_repeated_texts(spark):
 @pytest.mark.parametrize("block", [1, 7, 1000])
 def test_blocks_of_a_text_join(monkeypatch, block):
     text = made(1, 40)[3][1] or "The new york. stock,,x  \t y\n\n" * 9
-    whole = np.concatenate(list(collocations.Words().encode("en", text)))
+    words = collocations.Words()
+    whole = [words.names[k] for k in words.encode("en", collocations.prepared(text))]
+    assert [w for w in whole if w != b"\n"] == [w.encode() for piece in re.split(r"[.,;:!?\n-\r]", "".join(c.lower() if c.isascii() else c for c in text)) for w in re.findall(r"[^ \t]+", piece)]
     monkeypatch.setattr(collocations, "BLOCK", block)
-    assert np.concatenate(list(collocations.Words().encode("en", text))).tolist() == whole.tolist()
+    words = collocations.Words()
+    assert [words.names[k] for k in words.encode("en", collocations.prepared(text))] == whole
+
+
+def test_words_may_be_given_up(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choices("abcdefgh", k=30))) for _ in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[k : k + 30]]), pa.array([t for _, t in rows[k : k + 30]])], ["lang", "text"]) for k in range(0, 200, 30)]
+    want = Counter((lang, w) for lang, t in rows for w in t.split()) + Counter({(lang, None): 30 * n for lang, n in Counter(x for x, _ in rows).items()})
+    for chunk, remembered in ((1, 3), (300, 5), (1 << 20, 10), (400, 100)):
+        monkeypatch.setattr(collocations, "CHUNK", chunk)
+        monkeypatch.setattr(collocations, "REMEMBERED", remembered)
+        got = Counter()
+        for out in collocations.counted_words(iter(batches)):
+            for lang, phrase, a in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                got[lang, phrase] += a
+        assert got == want
 
 
 def test_windows_of_positions_join(monkeypatch):

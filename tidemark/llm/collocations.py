@@ -19,6 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,15 +33,15 @@ MINIMUM = 100
 REPORTED = 2_000
 #: Bits for each frequent phrase, and bits at most (32 MiB, from 16 million phrases on).
 BITS_EACH, FILTER_BITS = 16, 1 << 28
-#: Positions looked at together, bytes of text split together, words a task remembers.
-POSITIONS, BLOCK, REMEMBERED = 1 << 20, 1 << 20, 200_000
+#: Positions looked at together, bytes of text gathered and split together, words a task remembers.
+POSITIONS, CHUNK, BLOCK, REMEMBERED = 1 << 20, 1 << 23, 1 << 20, 200_000
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if chr(b) in BREAKS else 32 if b == 9 else b for b in range(256))
 _SKIP, _BREAK = 0, 1
 
 
-class Words(dict):
+class Words:
     """Numbers of words, with the words' hashes; a number stands for a language and a word."""
 
     def __init__(self) -> None:
@@ -49,22 +50,53 @@ class Words(dict):
         self.hashes: list[int] = [0, 0]
         self.by_lang: dict[str, _Lang] = {}
 
-    def encode(self, lang: str, text: str) -> Iterator[np.ndarray]:
-        """Numbers of the words and breaks of ``text``, in blocks."""
+    def encode(self, lang: str, raw: bytes) -> np.ndarray:
+        """Numbers of the words and breaks of ``raw``, which is split block by block."""
         own = self.by_lang.get(lang)
         if own is None:
             own = self.by_lang[lang] = _Lang(self, lang)
-        raw = text.encode("utf-8", "surrogatepass").lower().translate(_TABLE)
-        start = 0
+        out, start = [], 0
         while start < len(raw):
             end = start + BLOCK
             if end < len(raw):  # a block ends before a blank or a break
                 ends = [e for e in (raw.find(b" ", end), raw.find(b"\n", end)) if e >= 0]
                 end = min(ends, default=len(raw))
-            names = raw[start:end].replace(b"\n", b" \n ").split(b" ")
-            numbers = np.fromiter(map(own.__getitem__, names), np.int32, len(names))
-            yield numbers[numbers != _SKIP]
+            block = pa.array([raw[start:end].replace(b"\n", b" \n ")], pa.binary())
+            names = pc.split_pattern(block, b" ").flatten().dictionary_encode()
+            known = np.fromiter(map(own.__getitem__, names.dictionary.to_pylist()), np.int32, len(names.dictionary))
+            numbers = known[names.indices.to_numpy(zero_copy_only=False)]
+            out.append(numbers[numbers != _SKIP])
             start = end
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+
+def prepared(text: str) -> bytes:
+    """``text`` with A-Z in lower case, every break a line feed and every blank a space."""
+    return text.encode("utf-8", "surrogatepass").lower().translate(_TABLE)
+
+
+def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, bool]]:
+    """Numbers of whole documents of one language, CHUNK bytes or a longer document at a time, and whether the words
+    are given up behind them, as they have become too many."""
+    words, waiting, size = Words(), {}, 0
+
+    def flush() -> Iterator[tuple[Words, np.ndarray, bool]]:
+        made = [(lang, raws) for lang, raws in waiting.items()]
+        waiting.clear()
+        for k, (lang, raws) in enumerate(made):
+            yield words, words.encode(lang, b"\n".join(raws)), k == len(made) - 1 and len(words.names) > REMEMBERED
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = prepared(text.as_py())
+            waiting.setdefault(lang, []).append(raw)
+            size += len(raw)
+            if size >= CHUNK:
+                yield from flush()
+                size = 0
+                if len(words.names) > REMEMBERED:
+                    words = Words()
+    yield from flush()
 
 
 class _Lang(dict):
@@ -95,33 +127,31 @@ def mixed(hashes: list[np.ndarray]) -> np.ndarray:
 
 def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, a) of the words in (lang, text); a row without phrase has the number of all words."""
-    words, counts, totals = Words(), np.zeros(0, np.int64), {}
+    words, counts = None, np.zeros(0, np.int64)
 
     def flush() -> pa.RecordBatch:
+        totals: dict[str, int] = {}
+        for lang, n in zip(words.langs[2:], counts[2:].tolist(), strict=True):
+            totals[lang] = totals.get(lang, 0) + n
         langs = [*words.langs[2:], *totals]
         names = [*words.names[2:], *[None] * len(totals)]
-        out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array([*counts[2:].tolist(), *totals.values()], pa.int64())], ["lang", "phrase", "a"])
-        totals.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array([*counts[2:].tolist(), *totals.values()], pa.int64())], ["lang", "phrase", "a"])
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for numbers in words.encode(lang, text.as_py()):
-                new = np.bincount(numbers, minlength=len(words.names)).astype(np.int64)
-                new[: len(counts)] += counts
-                counts = new
-                totals[lang] = totals.get(lang, 0) + int((numbers != _BREAK).sum())
-            if len(words.names) > REMEMBERED:
-                yield flush()
-                words, counts = Words(), np.zeros(0, np.int64)
-    yield flush()
+    for words, numbers, last in encoded(batches):  # noqa: B007
+        new = np.bincount(numbers, minlength=len(words.names)).astype(np.int64)
+        new[: len(counts)] += counts
+        counts = new
+        if last:
+            yield flush()
+            counts = np.zeros(0, np.int64)
+    if len(counts):
+        yield flush()
 
 
 def counted_phrases(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, a) of the phrases of ``k`` words in (lang, text) of which both parts of ``k`` - 1 words may be frequent."""
-    words, kept, size = Words(), [], 0
 
-    def count(numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def count(words: Words, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
         hashes = np.array(words.hashes, np.uint64)
         for start in range(0, len(numbers) - k + 1, POSITIONS):
             part = numbers[start : start + POSITIONS + k - 1]
@@ -146,19 +176,8 @@ def counted_phrases(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray,
             langs = [words.langs[row[0]] for row in found]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["lang", "phrase", "a"])
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for numbers in words.encode(lang, text.as_py()):
-                kept.append(numbers)
-                size += len(numbers)
-            kept.append(np.array([_BREAK], np.int32))
-            if size >= POSITIONS:
-                yield from count(np.concatenate(kept))
-                kept, size = [], 0
-                if len(words.names) > REMEMBERED:
-                    words = Words()
-    if kept:
-        yield from count(np.concatenate(kept))
+    for words, numbers, _ in encoded(batches):
+        yield from count(words, numbers)
 
 
 def _filter(level: DataFrame) -> tuple[str, int]:
