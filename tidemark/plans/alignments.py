@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import editpath
+from tidemark.operators import affine, assignment, editpath
 from tidemark.operators.ordering import numbered
 from tidemark.plans.collect import collector
-from tidemark.session import table
+from tidemark.session import cut, table
 
 QUERIES, SQL, query = collector()
 
@@ -48,3 +49,89 @@ def edit_costs(spark, d):
 def edit_spans(spark, d):
     """Spans of every tile, one-sided ones as far as the way back confirms them."""
     return editpath.two_way_spans(_frames(spark, d), rules=RULES)
+
+
+#: Clocks of suppliers: the target runs at this scale and offset, one line item in five is wrong.
+def _observations(spark, d):
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.unix_date(F.to_date("l_shipdate")).cast("long").alias("day"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = rows.groupBy("l_suppkey", "day").agg(F.min(F.struct(key.alias("key"), "l_quantity")).alias("x")).select("l_suppkey", "day", "x.key", "x.l_quantity")
+    scale, offset = F.lit(1) + (F.col("l_suppkey") % 5 - 2) / 100, (F.col("l_suppkey") % 7) * 1000
+    source = F.col("day") * 400
+    noise = F.when(F.col("key") % 5 == 0, F.col("key") % 9973 * 40 - 200_000).otherwise(F.col("l_quantity") % 7 * 5 - 15)
+    target = F.floor(source * scale + offset + noise).cast("long")
+    return rows.select(F.col("l_suppkey").alias("pair_id"), F.col("day").alias("source_index"), F.col("key").alias("target_index"), source.alias("source_ms"), target.alias("target_ms"))
+
+
+@query("SELECT DISTINCT l_suppkey AS pair_id, 1 + (l_suppkey % 5 - 2) / 100.0::DOUBLE AS scale, true AS near, 0::BIGINT AS leaked, true AS tested FROM lineitem")
+def affine_models(spark, d):
+    """The planted clock of every supplier, and that nothing set aside for the test was fitted."""
+    obs = _observations(spark, d)
+    lines = cut(affine.affine_lines(obs).filter("rank = 1"))
+    block = F.floor(F.col("source_ms") / affine.BLOCK_MS)
+    trained = affine.training_anchors(obs, lines).join(lines.select("pair_id", "held_out_blocks"), "pair_id")
+    leaked = trained.groupBy("pair_id").agg(F.count_if(F.array_contains("held_out_blocks", block)).alias("leaked"))
+    held = affine.held_out_anchors(obs, lines).groupBy("pair_id").agg((F.count_if("within") * 2 > F.count(F.lit(1))).alias("tested"))
+    expected = 1 + (F.col("pair_id") % 5 - 2) / 100
+    middle = (F.col("source_start_ms") + F.col("source_end_ms")) / 2
+    off = F.col("scale") * middle + F.col("fitted_offset_ms") - (expected * middle + F.col("pair_id") % 7 * 1000)
+    return lines.join(leaked, "pair_id").join(held, "pair_id").select("pair_id", F.round("scale", 2).alias("scale"), (F.abs(off) < 20).alias("near"), "leaked", "tested")
+
+
+_TOLERANCE = 900
+_EVENTS = """(SELECT l_orderkey AS case_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, CAST(epoch_ms(l_shipdate) // 86400000 % 40 * 100 AS BIGINT) AS s, CAST(l_quantity * 10 AS BIGINT) AS n, l_partkey % 900 AS t FROM lineitem)"""
+
+
+def _events(spark, d):
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, d, "lineitem").withColumn("i", F.row_number().over(w) - 1)
+    start = F.unix_date(F.to_date("l_shipdate")).cast("long") % 40 * 100
+    rows = rows.select(F.col("l_orderkey").alias("case_id"), F.col("i").cast("long").alias("index"), start.alias("source_start"), (start + (F.col("l_quantity") * 10).cast("long")).alias("source_end"), (F.col("l_partkey") % 900).alias("target_start"))
+    rows = rows.withColumn("target_end", F.col("target_start"))
+    return rows.filter("index % 2 = 0"), rows.filter("index % 2 = 1")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_EVENTS}),
+p AS (SELECT a.case_id, a.i AS g, b.i AS h, greatest(abs(a.s - b.s), abs(a.t - b.t), abs(a.s + a.n - b.s - b.n)) AS worst, abs(a.s - b.s) + abs(a.t - b.t) + abs(a.s + a.n - b.s - b.n) AS total FROM e a JOIN e b USING (case_id) WHERE a.i % 2 = 0 AND b.i % 2 = 1),
+q AS (SELECT case_id, g // 2 AS g, list((1 << (h // 2))::BIGINT ORDER BY h) AS bits, list(worst * 16 + total ORDER BY h) AS costs FROM p WHERE worst <= {_TOLERANCE} GROUP BY ALL),
+c AS (SELECT case_id, count(*) FILTER (WHERE i % 2 = 0) AS golds FROM e GROUP BY 1),
+s AS (SELECT case_id, golds, 0::BIGINT AS g, 0::BIGINT AS used, 0::BIGINT AS cost FROM c
+UNION ALL SELECT case_id, golds, g + 1, used, min(cost) FROM (
+    SELECT case_id, golds, s.g, s.used | unnest(list_prepend(0::BIGINT, coalesce(bits, []))) AS used, s.cost + unnest(list_prepend(0::BIGINT, coalesce(costs, []))) AS cost, s.used AS before, unnest(list_prepend(0::BIGINT, coalesce(bits, []))) AS bit
+    FROM s LEFT JOIN q USING (case_id, g) WHERE s.g < golds) WHERE before & bit = 0 GROUP BY ALL),
+b AS (SELECT case_id, min((-bit_count(used), cost)) AS best FROM s WHERE g = golds GROUP BY 1)
+SELECT case_id, (-best[1])::BIGINT AS tp, count(*) FILTER (WHERE i % 2 = 1) + best[1] AS fp, count(*) FILTER (WHERE i % 2 = 0) + best[1] AS fn, best[2]::BIGINT AS cost FROM e JOIN b USING (case_id) GROUP BY case_id, best""")
+def event_matching(spark, d):
+    """Events of an order that stand for each other, and what the best matching costs."""
+    gold, predicted = _events(spark, d)
+    matches = cut(assignment.match_events(gold, predicted, ["case_id"], _TOLERANCE))
+    cost = matches.filter("within").groupBy("case_id").agg(F.sum(F.col("worst_ms") * assignment.WORST_WEIGHT + F.col("sum_ms")).alias("cost"))
+    return assignment.event_counts(gold, predicted, matches, ["case_id"]).join(cost, "case_id", "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
+
+
+_CHOICES = """(SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_discount * 8 * (0.35::DOUBLE + l_quantity / 50 * 0.65::DOUBLE) + l_tax * 0.2::DOUBLE - CASE WHEN l_returnflag = 'R' THEN 0.3::DOUBLE ELSE 0 END AS worth,
+l_partkey % 2 AS a, l_suppkey % 2 AS b, l_partkey % 50 * 100 AS s0, l_partkey % 50 * 100 + CAST(l_quantity * 30 AS BIGINT) + 100 AS s1, l_suppkey % 50 * 100 AS t0, l_suppkey % 50 * 100 + CAST(l_quantity * 30 AS BIGINT) + 100 AS t1, CASE WHEN l_linestatus = 'O' THEN l_linenumber % 3 END AS alt, l_linenumber AS o, l_returnflag = 'A' AND l_linestatus = 'F' AS blocked FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT * FROM {_CHOICES} WHERE NOT blocked), h AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY worth DESC, id) AS k FROM c),
+x AS (SELECT y.g, y.k, list(z.k) FILTER (WHERE (y.alt IS NOT NULL AND y.alt = z.alt) OR (y.a = z.a AND least(y.s1, z.s1) - greatest(y.s0, z.s0) > 250) OR (y.b = z.b AND least(y.t1, z.t1) - greatest(y.t0, z.t0) > 250)) AS bad,
+    list(z.k) FILTER (WHERE (y.a = z.a AND sign(y.s0 - z.s0) * sign(y.o - z.o) < 0) OR (y.b = z.b AND sign(y.t0 - z.t0) * sign(y.o - z.o) < 0)) AS turn FROM h y JOIN h z ON y.g = z.g AND z.k < y.k GROUP BY ALL),
+s AS (SELECT g, 0::BIGINT AS k, []::BIGINT[] AS chosen, 0.0::DOUBLE AS score FROM (SELECT DISTINCT g FROM h)
+UNION ALL SELECT g, k + 1, unnest(CASE WHEN fits THEN [chosen, list_append(chosen, k + 1)] ELSE [chosen] END), unnest(CASE WHEN fits THEN [score, score + gain] ELSE [score] END) FROM (
+    SELECT s.g, s.k, chosen, score, gain, gain > 0 AND NOT coalesce(list_has_any(bad, chosen), false) AS fits FROM (SELECT s.*, h.worth - 0.08::DOUBLE * len(list_intersect(coalesce(turn, []), chosen)) AS gain, bad FROM s JOIN h ON h.g = s.g AND h.k = s.k + 1 LEFT JOIN x ON x.g = s.g AND x.k = s.k + 1) s)),
+n AS (SELECT g, max(k) AS n FROM h GROUP BY 1)
+SELECT g AS group_id, round(max(score), 9) AS score FROM s JOIN n USING (g) WHERE k = n GROUP BY 1""")
+def match_choices(spark, d):
+    """The worth of the best combination of every order's hypotheses."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, d, "lineitem").withColumn("id", F.row_number().over(w))
+    worth = assignment.hypothesis_weight(F.col("l_discount") * 8, F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_returnflag") == "R")
+    length = (F.col("l_quantity") * 30).cast("long") + 100
+    starts = [F.col(c) % 50 * 100 for c in ("l_partkey", "l_suppkey")]
+    order = F.col("l_linenumber").cast("double")
+    blocked = (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")
+    rows = rows.select(
+        F.col("l_orderkey").alias("group_id"), "id", worth.alias("worth"), (F.col("l_partkey") % 2).alias("source"), (F.col("l_suppkey") % 2).alias("target"), starts[0].alias("source_start"), (starts[0] + length).alias("source_end"), starts[1].alias("target_start"), (starts[1] + length).alias("target_end"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_linenumber") % 3).cast("string").alias("alternative"), order.alias("source_order"), order.alias("target_order"), blocked.alias("blocked"),
+    ).filter("NOT blocked")
+    return assignment.choose(rows).groupBy("group_id").agg(F.round(F.max("score"), 9).alias("score"))
