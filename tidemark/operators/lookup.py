@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import fresh
+
 #: Steps of a clock axis in milliseconds, pixels that a label needs, and bucket widths by pixels a second (fixed values).
 STEPS_MS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10_000, 15_000, 30_000, 60_000, 120_000, 300_000, 600_000, 900_000, 1_800_000, 3_600_000)
 LABEL_PIXELS = 95
@@ -112,3 +114,13 @@ def block_starts(frames: Column, block: int, stride: int, most: int) -> Column:
     n = F.size(full)
     thin = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(full, F.floor(i * (n - 1) / max(1, most - 1)).cast("int"))))
     return F.when(end < 0, F.array().cast("array<bigint>")).when(n > most, thin).otherwise(full)
+
+
+def bottom_k(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of every key in ``order``, which should leave no ties.
+
+    Spark keeps ``k`` rows of a key in every partition before it moves any (WindowGroupLimit, for up to 1,000), so no
+    task is handed more than ``k`` for each partition, whatever a key's share.
+    """
+    (place,) = fresh(rows, "_place")
+    return rows.withColumn(place, F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col(place) <= k).drop(place)
