@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import affine, spectrum
+from tidemark.operators import affine, folds, spectrum, visual
+from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
 from tidemark.session import cut, table
 
@@ -69,3 +71,63 @@ def landmark_lines(spark, d):
     labels = rows.select("label").distinct()
     pairs = labels.join(labels.withColumnRenamed("label", "target"), F.col("label") < F.col("target")).select((F.col("label") * 1000 + F.col("target")).alias("pair_id"), F.col("label").alias("source"), "target")
     return affine.affine_lines(spectrum.observations(pairs, rows, "label")).select("pair_id", "rank", "scale", "offset_ms", "inliers", "fault")
+
+
+_PIXELS = "least(255, greatest(0, floor(128 + embedding[(x + 2 * y) % 64 + 1]::DOUBLE * 300 + embedding[(3 * x + y) % 64 + 1]::DOUBLE * 200)))::INTEGER"
+
+
+def _pictures(spark, d):
+    rows = table(spark, d, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL")
+
+    def pixel(k):
+        x, y = k % visual.SIDE, F.floor(k / visual.SIDE)
+        a, b = (F.get("embedding", (i % 64).cast("int")).cast("double") for i in (x + 2 * y, 3 * x + y))
+        return F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128) + a * 300 + b * 200))).cast("int")
+
+    return rows.select("label", "vec_id", F.transform(F.sequence(F.lit(0), F.lit(visual.SIDE**2 - 1)), pixel).alias("pixels"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, x, y, {_PIXELS} AS v FROM embeddings, range(32) a(x), range(32) b(y)), c AS (SELECT u, x, cos((2 * x + 1) * u * pi() / 64) AS c FROM range(8) a(u), range(32) b(x)),
+r AS (SELECT vec_id, y, u, sum(v * c) AS s FROM p JOIN c USING (x) GROUP BY ALL), k AS (SELECT vec_id, c.u * 8 + r.u AS i, sum(s * c.c) AS s FROM r JOIN c ON c.x = r.y GROUP BY ALL),
+m AS (SELECT vec_id, list_sort(list(s) FILTER (WHERE i > 0))[32] AS middle FROM k GROUP BY 1), h AS (SELECT vec_id, bit_or(CASE WHEN i > 0 AND s > middle THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END) AS h FROM k JOIN m USING (vec_id) GROUP BY 1)
+SELECT vec_id, CASE WHEN var_pop(v) >= 36 THEN (any_value(h)::HUGEINT - CASE WHEN any_value(h) >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT END AS hash FROM p JOIN h USING (vec_id) GROUP BY vec_id""")
+def dct_hashes(spark, d):
+    return _pictures(spark, d).select("vec_id", visual.dct_hash(F.col("pixels")).alias("hash"))
+
+
+@query()
+def frame_runs(spark, d):
+    """Runs of pictures of a label that come again 20 steps later with little changed."""
+    w = W.partitionBy("label").orderBy("vec_id")
+    frames = cut(_pictures(spark, d).select("label", (F.row_number().over(w) * visual.STEP_MS).cast("long").alias("at_ms"), visual.dct_hash(F.col("pixels")).alias("hash")))
+    changed = F.col("hash").bitwiseXOR(F.call_function("shiftleft", F.lit(5).cast("bigint"), (F.col("at_ms") / visual.STEP_MS % 61).cast("int")))
+    later = frames.select("label", (F.col("at_ms") + 20 * visual.STEP_MS).alias("at_ms"), changed.alias("hash"))
+    matches = visual.frame_matches(frames, later, ["label"]).filter("NOT ambiguous")
+    return visual.steady_runs(matches, ["label"]).select("label", "source_start", "source_end", "target_start", "target_end", "anchors")
+
+
+_CUTS = f"(SELECT user_id, t_ms // 40000 AS at_ms, 1000 + event_id % 5 * 500 AS gap, value AS confidence, t_ms // 40000 - event_id % 300 AS a, t_ms // 40000 + event_id % 200 AS b FROM {B.E_SQL})"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, gap, confidence, a, b) AS i FROM {_CUTS}),
+s AS (SELECT user_id, i, at_ms, gap, confidence, a, b, at_ms AS head FROM c WHERE i = 1 UNION ALL SELECT c.user_id, c.i, c.at_ms, c.gap, c.confidence, c.a, c.b, CASE WHEN abs(c.at_ms - s.head) <= 2000 THEN s.head ELSE c.at_ms END FROM s JOIN c ON c.user_id = s.user_id AND c.i = s.i + 1),
+g AS (SELECT *, sum(CASE WHEN head = at_ms AND (i = 1 OR head <> before) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS n FROM (SELECT *, lag(head) OVER (PARTITION BY user_id ORDER BY i) AS before FROM s))
+SELECT user_id, head AS at_ms, CAST(sum(gap) AS BIGINT) AS gap, min(confidence) AS confidence, min(a) AS range_start, max(b) AS range_end, count(*) AS merged FROM g GROUP BY user_id, n, head""")
+def merged_cuts(spark, d):
+    e = B.events(spark, d)
+    at_ms = F.floor(F.col("t_ms") / 40000)
+    cuts = e.select("user_id", at_ms.alias("at_ms"), (1000 + F.col("event_id") % 5 * 500).alias("gap"), F.col("value").alias("confidence"), (at_ms - F.col("event_id") % 300).alias("a"), (at_ms + F.col("event_id") % 200).alias("b"))
+    return folds.merge_near(cuts, ["user_id"], "at_ms", "gap", "confidence", "a", "b")
+
+
+_OFFSETS = f"(SELECT user_id, t_ms AS at_ms, t_ms // 300000000 * 1500 + CASE WHEN event_id % 9 = 0 THEN 7000 ELSE event_id % 3 * 30 END AS o FROM {B.E_SQL})"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT user_id, at_ms, o, CAST(floor(o / 100.0::DOUBLE + 0.5) * 100 AS BIGINT) AS x, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, o) AS i FROM {_OFFSETS}),
+w AS (SELECT *, list(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS ahead FROM r), t AS (SELECT *, len(list_filter(ahead, lambda y: abs(y - x) <= 100)) >= greatest(least(5, len(ahead)), ceil(len(ahead) * 0.7::DOUBLE)) AS stable FROM w),
+s AS (SELECT user_id, i, at_ms, o, x AS held FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.i, t.at_ms, t.o, CASE WHEN t.x - s.held >= 1000 AND t.stable THEN t.x ELSE s.held END FROM s JOIN t ON t.user_id = s.user_id AND t.i = s.i + 1)
+SELECT user_id, at_ms, o, held FROM s""")
+def held_offsets(spark, d):
+    e = B.events(spark, d)
+    offset = F.floor(F.col("t_ms") / 300_000_000) * 1500 + F.when(F.col("event_id") % 9 == 0, F.lit(7000)).otherwise(F.col("event_id") % 3 * 30)
+    return folds.held_offsets(e.select("user_id", F.col("t_ms").alias("at_ms"), offset.cast("long").alias("o")), ["user_id"], "at_ms", "o", 1000, 100)
