@@ -38,7 +38,7 @@ DISTANCE, PIECE, WALKED, SHORTEST = 0.1, 8, 24, 8
 WALKS, SAMPLES, PLACES = 8, 20, 4
 #: Benchmark characters that go along with one pass over the documents; larger benchmarks take several passes.
 PASS_CHARS = 8_000_000
-BLOCK_CHARS, WINDOW_BLOCK = 2_000_000, 8_000
+BLOCK_CHARS, WINDOW_BLOCK = 1_000_000, 2_000
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _PIECE_BITS = 22
 
