@@ -7,14 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def point_in_interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
+#: Listed intervals up to which they are sent to every task instead of moving the points.
+SENT_ROWS = 200_000
+
+
+def point_in_interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, width: int, how: str = "inner", counted: bool = False) -> DataFrame:
     """Points with the intervals that hold them, by equality of ``on`` and of the ``width``-wide bucket.
 
     Each interval is listed in every bucket that it touches, so the join is an equi-join at any size; the exact
-    bounds are checked on top.
+    bounds are checked on top.  With ``counted`` the listed intervals are counted first: up to SENT_ROWS of them are
+    broadcast and the points stay where they are, so that no key of theirs can be a hot one.
     """
     cells = F.sequence(F.floor(F.col(start) / width), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / width))
     spread = intervals.withColumn("_cell", F.explode(cells))
+    if counted and (intervals.agg(F.sum(F.size(cells))).first()[0] or 0) <= SENT_ROWS:
+        spread = F.broadcast(spread)
     keyed = points.withColumn("_cell", F.floor(F.col(at) / width))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
     same = [keyed[c] == spread[c] for c in [*on, "_cell"]]

@@ -22,18 +22,37 @@ def interpolate(t: Column, s0: Column, s1: Column, t0: Column, t1: Column) -> Co
     return F.least(t1 - 1, t0 + half_up)
 
 
+def lookup_spans(spans: DataFrame, by: list[str]) -> DataFrame:
+    """``spans`` with ``lo`` and ``hi``, the source times [lo, hi) that each answers for; no two of a map overlap.
+
+    An ambiguous span without length on the source answers for its own millisecond, and the span that begins there
+    for one less; other spans without length answer for none.
+    """
+    w = W.partitionBy(*by, "source_start")
+    point = (F.col("source_end") == F.col("source_start")) & (F.col("kind") == "ambiguous")
+    rows = spans.withColumns({"_point": point, "_met": F.max(point).over(w), "_n": F.row_number().over(W.partitionBy(*by, "source_start", "source_end", "kind").orderBy("span_index"))})
+    rows = rows.filter((F.col("source_end") > F.col("source_start")) | (F.col("_point") & (F.col("_n") == 1)))
+    lo = F.when(~F.col("_point") & F.col("_met"), F.col("source_start") + 1).otherwise(F.col("source_start"))
+    return rows.withColumns({"lo": lo, "hi": F.when(F.col("_point"), F.col("source_start") + 1).otherwise(F.col("source_end"))}).filter("lo < hi").drop("_point", "_met", "_n")
+
+
+def status_and_target(at: Column) -> dict[str, Column]:
+    """``status`` and ``target_ms`` of a time beside the span that answers for it, if any."""
+    kind = F.col("kind")
+    status = F.when(kind == "matched", "mapped").when(kind.isNull(), "unmapped").otherwise(kind)
+    target = F.when(kind == "matched", interpolate(at, F.col("source_start"), F.col("source_end"), F.col("target_start"), F.col("target_end")))
+    return {"status": status, "target_ms": target}
+
+
 def project(events: DataFrame, spans: DataFrame, map_id: str = "map_id", at: str = "t_ms", width: int = 86_400_000) -> DataFrame:
     """``events`` with ``status`` and ``target_ms``; times outside all spans are ``unmapped``.
 
-    A zero-length ambiguous span wins over the span that starts at its place.
+    A zero-length ambiguous span wins over the span that starts at its place.  Few spans are broadcast, after they were
+    counted, so events of a frequent map stay where they are.
     """
-    solid = spans.filter("source_end > source_start").select(F.col("map_id").alias(map_id), "kind", "source_start", "source_end", "target_start", "target_end")
-    points = spans.filter("source_end = source_start AND kind = 'ambiguous'").select(F.col("map_id").alias(map_id), F.col("source_start").alias(at), F.lit(True).alias("_point")).distinct()
-    found = point_in_interval_join(events, solid, [map_id], at, "source_start", "source_end", width, "left")
-    found = found.join(points, [map_id, at], "left")
-    status = F.when(F.col("_point"), "ambiguous").when(F.col("kind") == "matched", "mapped").when(F.col("kind").isNull(), "unmapped").otherwise(F.col("kind"))
-    target = F.when(status == "mapped", interpolate(F.col(at), F.col("source_start"), F.col("source_end"), F.col("target_start"), F.col("target_end")))
-    return found.withColumns({"status": status, "target_ms": target}).drop("kind", "source_start", "source_end", "target_start", "target_end", "_point")
+    answers = lookup_spans(spans, ["map_id"]).select(F.col("map_id").alias(map_id), "kind", "source_start", "source_end", "target_start", "target_end", "lo", "hi")
+    found = point_in_interval_join(events, answers, [map_id], at, "lo", "hi", width, "left", counted=True)
+    return found.withColumns(status_and_target(F.col(at))).drop("kind", "source_start", "source_end", "target_start", "target_end", "lo", "hi")
 
 
 def validate(spans: DataFrame) -> DataFrame:
