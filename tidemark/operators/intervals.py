@@ -49,8 +49,14 @@ def merge_intervals(rows: DataFrame, by: list[str], start: str, end: str) -> Dat
     return marked.groupBy(*by, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
 
 
-def interval_gaps(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Uncovered stretches between the merged intervals of a key."""
+def interval_gaps(rows: DataFrame, by: list[str], start: str, end: str, whole: DataFrame | None = None) -> DataFrame:
+    """Uncovered stretches of a key: between its merged intervals or, with ``whole`` (by, begin, finish), in all of
+    that range, head and tail and keys without intervals included."""
+    if whole is not None:
+        # Empty intervals at both ends are merged with what they touch, so only what is uncovered lies between.
+        ends = whole.filter("begin < finish").select(*by, F.explode(F.array("begin", "finish")).alias(start)).withColumn(end, F.col(start))
+        held = rows.join(whole, by).select(*by, F.greatest(F.col(start), F.col("begin")).alias(start), F.least(F.col(end), F.col("finish")).alias(end)).filter(F.col(start) < F.col(end))
+        rows = held.unionByName(ends)
     w = W.partitionBy(*by).orderBy(start)
     merged = merge_intervals(rows, by, start, end).withColumn("_next", F.lead(start).over(w))
     return merged.filter(F.col("_next").isNotNull()).select(*by, F.col(end).alias("gap_start"), F.col("_next").alias("gap_end"))
@@ -61,7 +67,8 @@ def coverage_bands(rows: DataFrame, by: list[str], start: str, end: str) -> Data
     edges = rows.select(*by, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e"))
     steps = edges.groupBy(*by, F.col("e.at").alias("band_start")).agg(F.sum("e.d").alias("d"))
     w = W.partitionBy(*by).orderBy("band_start")
-    bands = steps.withColumns({"depth": F.sum("d").over(w), "band_end": F.lead("band_start").over(w)})
+    # Where as many end as begin the depth stays, and so does the band.
+    bands = steps.filter("d <> 0").withColumns({"depth": F.sum("d").over(w), "band_end": F.lead("band_start").over(w)})
     return bands.filter((F.col("depth") > 0) & F.col("band_end").isNotNull()).select(*by, "band_start", "band_end", F.col("depth").cast("long").alias("depth"))
 
 

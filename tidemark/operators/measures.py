@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import numbered, running
+
 #: Ranges into which a key's values are divided before ranks are looked up.
 RANGES = 1024
 
@@ -24,7 +26,8 @@ def values_at_ranks(rows: DataFrame, by: list[str], value: str, places: dict[str
     """(by, n, names of ``places``): per key the values that stand at the given places of its sorted values.
 
     ``places`` are columns over n, the number of the key's values.  A key's values are counted in RANGES equal parts
-    of its range first; then only the parts that hold a wanted place are counted value by value.  Neither step
+    of its range first; then only the parts that hold a wanted place are counted value by value, and the counts are
+    added up over ranges of values, so that it does not matter if one outlier puts all else into one part.  No step
     gathers or sorts all rows of a key.
     """
     rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
@@ -38,7 +41,7 @@ def values_at_ranks(rows: DataFrame, by: list[str], value: str, places: dict[str
     inside = (F.col("place") >= F.col("_before")) & (F.col("place") < F.col("_before") + F.col("_n"))
     found = wanted.join(sums, by).filter(inside).select(*by, "n", "name", "_part", (F.col("place") - F.col("_before")).alias("_within"))
     fine = parted.join(found.select(*by, "_part").distinct(), [*by, "_part"]).groupBy(*by, "_part", "_v").agg(F.count(F.lit(1)).alias("_m"))
-    fine = fine.withColumn("_upto", F.sum("_m").over(W.partitionBy(*by, "_part").orderBy("_v")))
+    fine = running(fine, [*by, "_part"], "_v", value="_m", total="_upto")
     picked = found.join(fine, [*by, "_part"]).filter("_upto > _within").groupBy(*by, "n", "name").agg(F.min("_v").alias("_v"))
     return picked.groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in places])
 
@@ -52,16 +55,30 @@ def largest_hole(rows: DataFrame, by: list[str], at: str, begin: Column, end: Co
 
 
 def worst_window_p95(rows: DataFrame, by: list[str], at: str, value: str, width: int, least: int, out: str) -> DataFrame:
-    """Per key the largest 95th percentile, at place ceil((n - 1) * 0.95), of any closed window of ``width``.
+    """Per key the largest local 95th percentile of any closed window of ``width`` that holds a row.
 
     As a window slides, its rows change where one enters, at the window's end, and where one has just left; these are
-    the windows looked at.  Only those of at least ``least`` rows count.
+    the windows looked at.  One of at least ``least`` rows counts with the value at place ceil((n - 1) * 0.95).  A
+    smaller one counts with its first row's value or, if larger, that of the row nearest to it (of two as near the
+    larger), whether inside the window or not; keys of few rows are thus not missing.
     """
-    w = W.partitionBy(*by).orderBy(at)
-    both = rows.select(*by, F.collect_list(value).over(w.rangeBetween(-width, 0)).alias("_a"), F.collect_list(value).over(w.rangeBetween(1, width)).alias("_b"))
-    seen = both.select(*by, F.explode(F.array("_a", "_b")).alias("_in")).filter(F.size("_in") >= least)
-    local = F.get(F.array_sort("_in"), F.ceil((F.size("_in") - 1) * 95 / 100).cast("int"))
-    return seen.groupBy(*by).agg(F.max(local).alias(out))
+    order = [at, value]
+    w = W.partitionBy(*by).orderBy(*order)
+    gap_before, gap_after = F.col(at) - F.lag(at).over(w), F.lead(at).over(w) - F.col(at)
+    before, after = F.lag(value).over(w), F.lead(value).over(w)
+    near = F.when(gap_before.isNull() | (gap_after < gap_before), after).when(gap_after.isNull() | (gap_before < gap_after), before).otherwise(F.greatest(before, after))
+    alone = F.greatest(F.col(value), F.coalesce(near, F.col(value)))
+    seen = rows.select(*by, at, value, alone.alias("_alone"))
+    span = W.partitionBy(*by).orderBy(at)
+    entering, leaving = span.rangeBetween(-width, 0), span.rangeBetween(1, width)
+    sides = []
+    for edge in (entering, leaving):
+        first = F.min(F.struct(at, value, "_alone")).over(edge)
+        sides.append(F.struct(F.count(F.lit(1)).over(edge).alias("n"), first["_alone"].alias("alone"), F.collect_list(value).over(edge).alias("v")))
+    both = seen.select(*by, F.array(*sides).alias("_w")).select(*by, F.explode("_w").alias("_w")).filter("_w.n > 0")
+    place = F.ceil((F.col("_w.n") - 1) * 95 / 100).cast("int")
+    local = F.when(F.col("_w.n") >= least, F.get(F.array_sort("_w.v"), place)).otherwise(F.col("_w.alone"))
+    return both.groupBy(*by).agg(F.max(local).alias(out))
 
 
 def classification(counts: DataFrame, tp: str = "tp", fp: str = "fp", fn: str = "fn") -> DataFrame:
@@ -126,7 +143,7 @@ def lift_at(rows: DataFrame, risk: str, key: str, error: Column, judged: Column,
     total = sums.agg(F.sum("_n").alias("rows"), F.sum("_j").alias("judged"), F.sum("_e").alias("errors"))
     wanted = total.select("*", F.explode(F.array(*[F.lit(f) for f in fractions])).alias("fraction")).withColumn("reviewed", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rows") * F.col("fraction"))))
     ends = wanted.join(before, (F.col("reviewed") > F.col("_n0")) & (F.col("reviewed") <= F.col("_n0") + F.col("_n")))
-    placed = base.join(ends.select("_part").distinct(), "_part").withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(F.desc("_risk"), "_key")))
+    placed = numbered(base.join(ends.select("_part").distinct(), "_part"), ["_part"], F.desc("_risk"), "_key", pos="_place").withColumn("_place", F.col("_place") + 1)
     inner = ends.join(placed.select(F.col("_part").alias("_p"), "_place", "_judged", "_error"), (F.col("_part") == F.col("_p")) & (F.col("_place") <= F.col("reviewed") - F.col("_n0")))
     got = inner.groupBy("fraction", "reviewed", "rows", "judged", "errors", "_j0", "_e0").agg(F.sum("_judged").alias("_j1"), F.sum(F.col("_judged") * F.col("_error")).alias("_e1"))
     seen, caught = F.col("_j0") + F.col("_j1"), F.col("_e0") + F.col("_e1")
@@ -137,12 +154,27 @@ def lift_at(rows: DataFrame, risk: str, key: str, error: Column, judged: Column,
     )
 
 
+#: Time regions in which a map's anchors may lie (fixed value).
+MOST_REGIONS = 3
+
+
 def quality_level(c: dict[str, Column]) -> Column:
     """``blocked``, ``review`` or ``verified`` by the thresholds of a time map's measures (fixed values).
 
     ``c`` holds probability, coverage, unique_coverage, p50, p95, p99, boundary, margin, anchors, regions, and the
-    conditions measured, audio, visual and manual; measures may be null.
+    conditions measured, audio, visual and manual; measures may be null.  Shares outside 0 to 1, times that are
+    negative, broken, no whole milliseconds or smaller than a lower percentile, and counts out of range block.
     """
+    wrong = F.lit(False)
+    for name in ("probability", "coverage", "unique_coverage", "margin"):
+        x = c[name].cast("double")
+        wrong = wrong | F.coalesce(F.isnan(x) | (x < 0) | (x > 1), F.lit(False))
+    for name in ("p50", "p95", "p99", "boundary"):
+        x = c[name].cast("double")
+        wrong = wrong | F.coalesce(F.isnan(x) | (x < 0) | (x == float("inf")) | (x != F.floor(x)), F.lit(False))
+    wrong = wrong | F.coalesce(c["anchors"] < 0, F.lit(False)) | F.coalesce(~c["regions"].between(0, MOST_REGIONS), F.lit(False))
+    for lower, upper in (("p50", "p95"), ("p95", "p99")):
+        wrong = wrong | F.coalesce(c[lower] > c[upper], F.lit(False))
     primary = c["audio"] | c["visual"] | c["manual"]
     blocked = [c["coverage"] < 0.2, c["p95"] > 2000, c["boundary"] > 5000, c["margin"] < 0.02]
     complete = F.lit(True)
@@ -156,7 +188,7 @@ def quality_level(c: dict[str, Column]) -> Column:
         & (c["anchors"] >= 30) & (c["regions"] >= 3) & F.coalesce(c["unique_coverage"] >= 0.8, F.lit(False))
     )
     independent = c["manual"] | (c["audio"] & c["visual"])
-    return F.when(~primary | bad, "blocked").when(complete & c["measured"] & independent & fine, "verified").otherwise("review")
+    return F.when(wrong | ~primary | bad, "blocked").when(complete & c["measured"] & independent & fine, "verified").otherwise("review")
 
 
 def reconciled_level(declared: Column, assessed: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.edits import clamp_ms
-from tidemark.operators.intervals import merge_intervals, runs
+from tidemark.operators.intervals import band_semi_join, merge_intervals, runs
 
 #: A boundary may be this share of a part away from its even place, in a silence of at least so long; of several the
 #: best has the longest silence less this share of its distance (fixed values).
@@ -117,11 +117,27 @@ def upsert(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return held.join(new.select(key), key, "left_anti").select(*held.columns).unionByName(new.select(*held.columns))
 
 
-def cluster_details(hits: DataFrame, by: list[str], at: str, text: str, weight: str, width: int, least: int, samples: int) -> DataFrame:
-    """Clusters of at least ``least`` hits in windows of ``width``: middle time, score, level and first texts."""
-    grouped = hits.groupBy(*by, F.floor(F.col(at) / width).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("hits"), F.sum(weight).alias("score"), F.min(at).alias("start_ms"), F.max(at).alias("end_ms"), F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(text).alias("x")))).alias("_all")
-    ).filter(F.col("hits") >= least)
+def cluster_details(hits: DataFrame, by: list[str], at: str, ordinal: str, text: str, weight: str, labels: str, width: int, least: int, samples: int) -> DataFrame:
+    """Clusters of at least ``least`` hits in windows of ``width``: middle time, score, level, keywords and first texts.
+
+    Hits come by time and, of one time, by their original order; keywords (an array per hit) by their first hit.  Hits
+    are numbered inside their window, and only the texts shown and one row for each keyword are gathered.
+    """
+    keyed = hits.withColumn("bucket", F.floor(F.col(at) / width))
+    keys = [*by, "bucket"]
+    placed = keyed.withColumns({"_i": F.row_number().over(W.partitionBy(*keys).orderBy(at, ordinal)), "_n": F.count(F.lit(1)).over(W.partitionBy(*keys))}).filter(F.col("_n") >= least)
+    shown = F.array_sort(F.collect_list(F.when(F.col("_i") <= samples, F.struct(F.col("_i").alias("i"), F.col(text).alias("x")))))
+    grouped = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("hits"), F.sum(weight).alias("score"), F.min(at).alias("start_ms"), F.max(at).alias("end_ms"),
+        F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col(at))).alias("middle_ms"), F.array_join(F.transform(shown, lambda s: s["x"]), "|").alias("samples"),
+    )
+    words = placed.select(*keys, "_i", F.posexplode(labels).alias("_p", "_k")).groupBy(*keys, "_k").agg(F.min(F.struct("_i", "_p")).alias("_f"))
+    words = words.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_k"))), lambda s: s["_k"]), "|").alias("keywords"))
     level = F.when((F.col("hits") >= 5) | (F.col("score") >= 12), "high").when((F.col("hits") >= 3) | (F.col("score") >= 7), "medium").otherwise("low")
-    middle = F.get("_all", F.floor(F.col("hits") / 2).cast("int"))["t"]
-    return grouped.select(*by, "bucket", "hits", "score", "start_ms", "end_ms", middle.alias("middle_ms"), level.alias("level"), F.array_join(F.transform(F.slice("_all", 1, samples), lambda s: s["x"]), "|").alias("samples"))
+    return grouped.join(words, keys, "left").select(*keys, "hits", "score", "start_ms", "end_ms", "middle_ms", level.alias("level"), F.coalesce("keywords", F.lit("")).alias("keywords"), "samples")
+
+
+def cluster_applied(clusters: DataFrame, markers: DataFrame, by: list[str], at: str, marker: str, tolerance: int = 15_000) -> DataFrame:
+    """``clusters`` with whether a marker stands within ``tolerance`` of their middle."""
+    near = band_semi_join(clusters, markers, by, at, marker, tolerance).select(*by, at).distinct().withColumn("applied", F.lit(True))
+    return clusters.join(near, [*by, at], "left").withColumn("applied", F.coalesce("applied", F.lit(False)))

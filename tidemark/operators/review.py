@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.components import connected_components
 from tidemark.operators.measures import classification
 from tidemark.session import cut
 
@@ -49,6 +50,14 @@ def families(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.select(F.col("u").alias("id"), F.col("f").alias("family"))
 
 
+def whole_families(edges: DataFrame) -> DataFrame:
+    """``families`` by stars, for ids that are numbers: no key gathers more than its own links, however large a family."""
+    links = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    found = connected_components(links)
+    alone = links.filter("a = b").select(F.col("a").alias("id")).distinct().join(found, "id", "left_anti")
+    return found.select("id", F.col("component").alias("family")).union(alone.select("id", F.col("id").alias("family")))
+
+
 def hash_split(rows: DataFrame, key: str, train: int = 80, tune: int = 10) -> DataFrame:
     """A stable split by the first 32 bits of the key's digest."""
     bucket = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % 100

@@ -20,14 +20,20 @@ def resolve_clips(items: DataFrame, clips: DataFrame, asset: str, at: str) -> Da
 def apply_cuts(rows: DataFrame, markers: DataFrame, at: str, out: str) -> DataFrame:
     """Times moved by the gaps of all markers at or before them; gaps are looked up on the time before moving.
 
-    The markers, an editor's list, become one row with a sorted array of running sums that every row looks up.
+    The markers, an editor's list, become stretches between one and the next with the sum of the gaps so far, in which
+    the rows' times are looked up; behind the last one all gaps count.
     """
+    from tidemark.operators.intervals import point_in_interval_join
+
+    low, high, n, whole = markers.agg(F.min("at_ms"), F.max("at_ms"), F.count(F.lit(1)), F.sum("gap_ms")).first()
+    if not n:
+        return rows.withColumn(out, F.col(at))
     w = W.orderBy("at_ms")
-    totals = markers.groupBy("at_ms").agg(F.sum("gap_ms").alias("gap")).withColumn("total", F.sum("gap").over(w))
-    table = totals.agg(F.array_sort(F.collect_list(F.struct(F.col("at_ms").alias("a"), F.col("total").alias("g")))).alias("_cuts"))
-    past = F.filter("_cuts", lambda c: c["a"] <= F.col(at))
-    moved = F.col(at) + F.coalesce(F.try_element_at(past, F.lit(-1))["g"], F.lit(0))
-    return rows.crossJoin(F.broadcast(table)).withColumn(out, moved).drop("_cuts")
+    sums = markers.groupBy("at_ms").agg(F.sum("gap_ms").alias("gap")).withColumns({"_gap": F.sum("gap").over(w), "_to": F.lead("at_ms").over(w)})
+    stretches = sums.filter("_to IS NOT NULL").select(F.col("at_ms").alias("_from"), "_to", "_gap")
+    found = point_in_interval_join(rows, stretches, [], at, "_from", "_to", max(1, (high - low) // (4 * n)), "left", counted=True)
+    gap = F.when(F.col(at) >= high, F.lit(whole)).otherwise(F.coalesce("_gap", F.lit(0)))
+    return found.withColumn(out, F.col(at) + gap).drop("_from", "_to", "_gap")
 
 
 def density(rows: DataFrame, at: str, width: int) -> DataFrame:

@@ -168,6 +168,36 @@ def legacy_spans(maps: DataFrame, rules: DataFrame) -> DataFrame:
     return made.select("map_id", place.cast("int").alias("span_index"), "s.*")
 
 
+def legacy_migration(maps: DataFrame, rules: DataFrame) -> DataFrame:
+    """(map_id, status, issues): whether ``legacy_spans`` could carry a map over, and what was wrong with it.
+
+    A map is ``blocked`` by an invalid range (invalidInput), by rules that are null or outside it (invalidRule, one for
+    each) and by the first negative gap (negativeGap); else it is ``migrated``.  Gaps of 0 are told (zeroGapIgnored),
+    before a negative gap only.  ``issues`` is (code, rule) in order of place and rule.
+    """
+    numbers = [F.col(c) for c in ("source_start", "source_end", "target_start")]
+    ranged = F.lit(True)
+    for c in numbers:
+        ranged = ranged & F.coalesce(c >= 0, F.lit(False))
+    known = maps.withColumn("_ranged", ranged & F.coalesce(F.col("source_end") > F.col("source_start"), F.lit(False)))
+    outside = F.col("at").isNull() | F.col("gap").isNull() | (F.col("at") < F.greatest(F.col("source_start"), F.lit(0))) | (F.col("at") > F.col("source_end"))
+    rows = rules.join(known.select("map_id", "source_start", "source_end", "_ranged"), "map_id").filter("_ranged").withColumn("_out", outside)
+    per = rows.groupBy("map_id").agg(F.bool_or("_out").alias("_bad"), F.min(F.when(F.col("gap") < 0, F.struct("at", "rule"))).alias("_stop"))
+    rows = rows.join(per, "map_id")
+    code = (
+        F.when(F.col("_out"), "invalidRule")
+        .when(~F.col("_bad") & (F.col("gap") == 0) & (F.col("_stop").isNull() | (F.col("at") < F.col("_stop.at"))), "zeroGapIgnored")
+        .when(~F.col("_bad") & (F.col("at") == F.col("_stop.at")) & (F.col("rule") == F.col("_stop.rule")), "negativeGap")
+    )
+    told = rows.withColumn("code", code).filter("code IS NOT NULL").groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("at", "rule", "code"))).alias("_told"))
+    found = known.select("map_id", "_ranged").join(per, "map_id", "left").join(told, "map_id", "left")
+    issue = "array<struct<code:string,rule:int>>"
+    listed = F.transform(F.coalesce("_told", F.array().cast("array<struct<at:bigint,rule:int,code:string>>")), lambda i: F.struct(i["code"].alias("code"), i["rule"].cast("int").alias("rule")))
+    blocked = ~F.col("_ranged") | F.coalesce(F.col("_bad"), F.lit(False)) | F.col("_stop").isNotNull()
+    first = F.array(F.struct(F.lit("invalidInput").alias("code"), F.lit(None).cast("int").alias("rule")))
+    return found.select("map_id", F.when(blocked, "blocked").otherwise("migrated").alias("status"), F.when(F.col("_ranged"), listed.cast(issue)).otherwise(first.cast(issue)).alias("issues"))
+
+
 def merge_spans(spans: DataFrame, chosen: DataFrame) -> DataFrame:
     """Spans with the ``chosen`` ones (map_id, span_index) joined to the next one, where both are of one kind."""
     w = W.partitionBy("map_id").orderBy("span_index")

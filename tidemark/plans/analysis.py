@@ -9,7 +9,7 @@ from tidemark.functions import text as X
 from tidemark.operators import lookup, matching, measures, review
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
-from tidemark.session import ship_package, table
+from tidemark.session import cut, ship_package, table
 
 QUERIES, SQL, query = collector()
 
@@ -113,12 +113,29 @@ def media_families(spark, d):
     return review.families(c.union(s).union(n))
 
 
-@query()
-def media_families_whole(spark, d):
-    """Families over all orders and lineitem; ids of the three kinds never meet, whatever the tables' size."""
+def _links(spark, d):
+    """All orders and line items as links of customers, orders and suppliers, whose ids never meet."""
     o = table(spark, d, "orders").select((3 * F.col("o_custkey")).alias("a"), (3 * F.col("o_orderkey") + 1).alias("b"))
     li = table(spark, d, "lineitem").select((3 * F.col("l_suppkey") + 2).alias("a"), (3 * F.col("l_orderkey") + 1).alias("b"))
-    return review.families(o.union(li).filter("a IS NOT NULL AND b IS NOT NULL"))
+    return o.union(li).filter("a IS NOT NULL AND b IS NOT NULL")
+
+
+@query()
+def media_families_whole(spark, d):
+    """Families over all orders and lineitem."""
+    return review.whole_families(_links(spark, d))
+
+
+@query("""WITH e AS (SELECT 3 * o_custkey AS a, 3 * o_orderkey + 1 AS b FROM orders UNION ALL SELECT 3 * l_suppkey + 2, 3 * l_orderkey + 1 FROM lineitem)
+SELECT count(DISTINCT x) AS ids, 0::BIGINT AS torn, 0::BIGINT AS misnamed FROM (SELECT a AS x FROM e UNION ALL SELECT b FROM e)""")
+def media_families_hold(spark, d):
+    """All ids have a family, no link joins two, and each is named after its smallest id."""
+    found = cut(review.whole_families(_links(spark, d)))
+    a, b = (found.select(F.col("id").alias(x), F.col("family").alias(f"family_{x}")) for x in "ab")
+    torn = _links(spark, d).join(a, "a").join(b, "b").agg(F.count_if(F.col("family_a") != F.col("family_b")).alias("torn"))
+    named = found.groupBy("family").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    totals = named.agg(F.sum("n").alias("ids"), F.count_if(F.col("least") != F.col("family")).alias("misnamed"))
+    return totals.crossJoin(torn).select("ids", "torn", "misnamed")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1996-06-01', 500000)) WHERE rn <= 50")

@@ -70,8 +70,8 @@ def anchor_brace(spark, d):
 
 
 @query("""WITH p AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_suppkey) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i FROM lineitem),
-k AS (SELECT DISTINCT l_suppkey, CAST(floor(k * ((n - 1) / 31.0::DOUBLE) + 0.5) AS BIGINT) AS i FROM p, range(0, 32) r(k) WHERE n > 32)
-SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM p WHERE n <= 32 OR (l_suppkey, i) IN (SELECT (l_suppkey, i) FROM k)""")
+k AS (SELECT DISTINCT l_suppkey, CAST(floor(k * ((n - 1) / 31.0::DOUBLE) + 0.5) AS BIGINT) AS i, true AS wanted FROM p, range(0, 32) r(k) WHERE n > 32)
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM p LEFT JOIN k USING (l_suppkey, i) WHERE n <= 32 OR wanted""")
 def even_sample(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
     return lookup.even_sample(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], 32)
@@ -180,6 +180,23 @@ def timemap_migrate(spark, d):
     return timemap.legacy_spans(maps, rules)
 
 
+@query(f"""WITH r AS (SELECT map_id, at_ms, gap, rule FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY o_orderkey) - 1 AS rule FROM (SELECT o_custkey AS map_id, o_orderkey, o_orderkey % 90000 - CASE WHEN o_orderkey % 401 = 0 THEN 90000 ELSE 0 END AS at_ms, CASE WHEN o_orderkey % 11 = 0 THEN -500 WHEN o_orderkey % 7 = 0 THEN 0 ELSE 5 END AS gap FROM orders))),
+b AS (SELECT map_id, min(at_ms) < 0 AS bad, min(at_ms) FILTER (WHERE gap < 0) AS stop FROM r GROUP BY 1), n AS (SELECT r.map_id, min(rule) AS rule FROM r JOIN b USING (map_id) WHERE at_ms = stop AND gap < 0 GROUP BY 1),
+i AS (SELECT map_id, 'invalidInput' AS code, NULL::INTEGER AS rule, 0::BIGINT AS at_ms FROM b WHERE map_id % 31 = 0 UNION ALL SELECT map_id, 'invalidRule', rule, at_ms FROM r WHERE at_ms < 0 AND map_id % 31 <> 0
+UNION ALL SELECT map_id, 'zeroGapIgnored', rule, at_ms FROM r JOIN b USING (map_id) WHERE gap = 0 AND NOT bad AND map_id % 31 <> 0 AND (stop IS NULL OR at_ms < stop) UNION ALL SELECT map_id, 'negativeGap', n.rule, stop FROM n JOIN b USING (map_id) WHERE NOT bad AND map_id % 31 <> 0)
+SELECT b.map_id, CASE WHEN b.map_id % 31 = 0 OR bad OR stop IS NOT NULL THEN 'blocked' ELSE 'migrated' END AS status, coalesce(string_agg(code || coalesce(':' || i.rule, ''), ' ' ORDER BY at_ms, i.rule), '') AS issues FROM b LEFT JOIN i USING (map_id) GROUP BY b.map_id, bad, stop""")
+def timemap_migrate_issues(spark, d):
+    o = table(spark, d, "orders")
+    gap = F.when(F.col("o_orderkey") % 11 == 0, F.lit(-500)).when(F.col("o_orderkey") % 7 == 0, F.lit(0)).otherwise(5).cast("long")
+    at = F.col("o_orderkey") % 90_000 - F.when(F.col("o_orderkey") % 401 == 0, F.lit(90_000)).otherwise(0)
+    rule = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rules = o.select(F.col("o_custkey").alias("map_id"), at.alias("at"), gap.alias("gap"), rule.alias("rule"))
+    end = F.when(F.col("map_id") % 31 == 0, F.lit(0)).otherwise(90_000).cast("long")
+    maps = rules.select("map_id").distinct().select("map_id", F.lit(0).cast("long").alias("source_start"), end.alias("source_end"), F.lit(1000).cast("long").alias("target_start"))
+    found = timemap.legacy_migration(maps, rules)
+    return found.select("map_id", "status", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["code"], i["rule"].cast("string"))), " ").alias("issues"))
+
+
 def _grid(spark, d):
     """Four spans per customer that follow each other, of two kinds by turns or alike."""
     k, c = F.col("k"), F.col("c_custkey")

@@ -27,9 +27,10 @@ def max_unvalidated_gap(spark, d):
 _RESIDUAL = f"(SELECT user_id, t_ms, CAST(floor(value * 100) AS BIGINT) AS residual FROM {B.E_SQL})"
 
 
-@query(f"""SELECT user_id, max(p) AS worst_p95 FROM (SELECT user_id, list_sort(v)[CAST(ceil((len(v) - 1) * 95 / 100) AS BIGINT) + 1] AS p FROM
-(SELECT user_id, list(residual) OVER (PARTITION BY user_id ORDER BY t_ms RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS v FROM {_RESIDUAL}
-UNION ALL SELECT user_id, list(residual) OVER (PARTITION BY user_id ORDER BY t_ms RANGE BETWEEN 1 FOLLOWING AND 600000000 FOLLOWING) FROM {_RESIDUAL}) WHERE len(v) >= 5) GROUP BY 1""")
+@query(f"""WITH g AS (SELECT *, t_ms - lag(t_ms) OVER w AS x, lead(t_ms) OVER w - t_ms AS y, lag(residual) OVER w AS p, lead(residual) OVER w AS q FROM {_RESIDUAL} WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, residual)),
+r AS (SELECT user_id, t_ms, residual, greatest(residual, CASE WHEN x IS NULL OR y < x THEN q WHEN y IS NULL OR x < y THEN p ELSE greatest(p, q) END, residual) AS alone FROM g),
+v AS (SELECT user_id, list((t_ms, residual, alone)) OVER (PARTITION BY user_id ORDER BY t_ms RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS v FROM r UNION ALL SELECT user_id, list((t_ms, residual, alone)) OVER (PARTITION BY user_id ORDER BY t_ms RANGE BETWEEN 1 FOLLOWING AND 600000000 FOLLOWING) FROM r)
+SELECT user_id, max(CASE WHEN len(v) >= 5 THEN list_sort(list_transform(v, lambda z: z[2]))[CAST(ceil((len(v) - 1) * 95 / 100) AS BIGINT) + 1] ELSE list_sort(v)[1][3] END) AS worst_p95 FROM v WHERE len(v) > 0 GROUP BY 1""")
 def worst_window_p95(spark, d):
     rows = B.events(spark, d).select("user_id", "t_ms", F.floor(F.col("value") * 100).alias("residual"))
     return measures.worst_window_p95(rows, ["user_id"], "t_ms", "residual", 600_000_000, 5, "worst_p95")
@@ -89,11 +90,11 @@ def lift_buckets(spark, d):
 
 
 _QUALITY = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN 0.999 ELSE 0.9 END::DOUBLE AS probability, CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE 1 - l_discount * 9.5 END AS coverage, CASE WHEN l_suppkey % 2 = 0 THEN 0.85 END::DOUBLE AS uniq,
-l_quantity * 45 AS p95, l_quantity * 60 AS p99, l_tax * 70000 AS boundary, CASE WHEN l_linenumber = 3 THEN 0.01 ELSE 0.3 END::DOUBLE AS margin, l_partkey % 60 AS anchors, l_suppkey % 6 AS regions,
+CASE WHEN l_partkey % 50 = 7 THEN -1 ELSE l_quantity END AS p50, l_quantity * 45 AS p95, l_quantity * 60 AS p99, floor(l_tax * 70000 + 0.5) AS boundary, CASE WHEN l_linenumber = 3 THEN 0.01 ELSE 0.3 END::DOUBLE AS margin, l_partkey % 60 AS anchors, l_suppkey % 5 AS regions,
 l_returnflag <> 'N' AS measured, l_linenumber % 2 = 0 AS audio, l_linenumber % 4 = 0 AS visual, l_partkey % 10 = 0 AS manual FROM lineitem)"""
 
 
-@query(f"""WITH q AS (SELECT *, CASE WHEN NOT (audio OR visual OR manual) OR coalesce(coverage < 0.2, FALSE) OR p95 > 2000 OR boundary > 5000 OR margin < 0.02 THEN 'blocked'
+@query(f"""WITH q AS (SELECT *, CASE WHEN p50 < 0 OR regions > 3 THEN 'blocked' WHEN NOT (audio OR visual OR manual) OR coalesce(coverage < 0.2, FALSE) OR p95 > 2000 OR boundary > 5000 OR margin < 0.02 THEN 'blocked'
 WHEN coverage IS NOT NULL AND measured AND (manual OR (audio AND visual)) AND probability >= 0.995 AND coverage >= 0.9 AND p95 <= 100 AND p99 <= 500 AND boundary <= 250 AND margin >= 0.25 AND anchors >= 30 AND regions >= 3 AND coalesce(uniq >= 0.8, FALSE) THEN 'verified' ELSE 'review' END AS level FROM {_QUALITY}),
 r AS (SELECT level, CASE l_linenumber % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'review' WHEN 2 THEN 'blocked' ELSE 'legacy-unverified' END AS declared FROM q)
 SELECT declared, level, CASE WHEN declared IN ('blocked', 'legacy-unverified') THEN declared WHEN declared = 'review' THEN CASE WHEN level = 'blocked' THEN level ELSE declared END ELSE level END AS final, count(*) AS n FROM r GROUP BY ALL""")
@@ -101,8 +102,8 @@ def quality_levels(spark, d):
     li, c = table(spark, d, "lineitem"), F.col
     level = measures.quality_level({
         "probability": F.when(c("l_partkey") % 3 == 0, 0.999).otherwise(0.9), "coverage": F.when(c("l_partkey") % 17 != 0, 1 - c("l_discount") * 9.5), "unique_coverage": F.when(c("l_suppkey") % 2 == 0, 0.85),
-        "p50": c("l_quantity"), "p95": c("l_quantity") * 45, "p99": c("l_quantity") * 60, "boundary": c("l_tax") * 70000, "margin": F.when(c("l_linenumber") == 3, 0.01).otherwise(0.3),
-        "anchors": c("l_partkey") % 60, "regions": c("l_suppkey") % 6, "measured": c("l_returnflag") != "N", "audio": c("l_linenumber") % 2 == 0, "visual": c("l_linenumber") % 4 == 0, "manual": c("l_partkey") % 10 == 0,
+        "p50": F.when(c("l_partkey") % 50 == 7, F.lit(-1.0)).otherwise(c("l_quantity")), "p95": c("l_quantity") * 45, "p99": c("l_quantity") * 60, "boundary": F.floor(c("l_tax") * 70000 + F.lit(0.5)), "margin": F.when(c("l_linenumber") == 3, 0.01).otherwise(0.3),
+        "anchors": c("l_partkey") % 60, "regions": c("l_suppkey") % 5, "measured": c("l_returnflag") != "N", "audio": c("l_linenumber") % 2 == 0, "visual": c("l_linenumber") % 4 == 0, "manual": c("l_partkey") % 10 == 0,
     })
     k = c("l_linenumber") % 4
     declared = F.when(k == 0, "verified").when(k == 1, "review").when(k == 2, "blocked").otherwise("legacy-unverified")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import merging
+from tidemark.operators.lookup import bottom_k
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
 from tidemark.session import table
@@ -112,9 +113,8 @@ def upsert_rows(spark, d):
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_orderkey < 100000) WHERE rn <= 3")
 def revision_page(spark, d):
     """The newest three revisions of every key before a given one."""
-    before = table(spark, d, "orders").filter("o_orderkey < 100000").groupBy("o_custkey")
-    newest = before.agg(F.slice(F.sort_array(F.collect_list("o_orderkey"), asc=False), 1, 3).alias("r"))
-    return newest.select("o_custkey", F.explode("r").alias("o_orderkey"))
+    before = table(spark, d, "orders").filter("o_orderkey < 100000").select("o_custkey", "o_orderkey")
+    return bottom_k(before, ["o_custkey"], [F.desc("o_orderkey")], 3)
 
 
 @query("SELECT event_id, coalesce(nullif(json_extract_string(props, '$.title'), ''), nullif(json_extract_string(props, '$.k'), '0'), 'untitled') AS title FROM events")
@@ -132,10 +132,26 @@ def reference_faults(spark, d):
     return a.union(table(spark, d, "lineitem").join(live, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("line without order").alias("fault"), "n"))
 
 
-@query("""WITH h AS (SELECT conv_id, turn * 20000 AS t, text, CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\band\\b') THEN 2 ELSE 0 END AS w FROM conversations),
-g AS (SELECT conv_id, t // 60000 AS bucket, count(*) AS hits, CAST(sum(w) AS BIGINT) AS score, min(t) AS start_ms, max(t) AS end_ms, list((t, text) ORDER BY t, text) AS v FROM h WHERE w > 0 GROUP BY ALL HAVING count(*) >= 2)
-SELECT conv_id, bucket, hits, score, start_ms, end_ms, v[hits // 2 + 1][1] AS middle_ms, CASE WHEN hits >= 5 OR score >= 12 THEN 'high' WHEN hits >= 3 OR score >= 7 THEN 'medium' ELSE 'low' END AS level, array_to_string(list_transform(v[1:3], lambda x: x[2]), '|') AS samples FROM g""")
+_HINTS = """h AS (SELECT conv_id, turn * 20000 // 40000 * 40000 AS t, turn, text, list_concat(CASE WHEN regexp_matches(text, '(?i)\\band\\b') THEN ['and'] ELSE [] END, CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN ['the'] ELSE [] END) AS k FROM conversations),
+g AS (SELECT conv_id, t // 120000 AS bucket, count(*) AS hits, CAST(sum(CASE WHEN list_contains(k, 'the') THEN 3 ELSE 0 END + CASE WHEN list_contains(k, 'and') THEN 2 ELSE 0 END) AS BIGINT) AS score, min(t) AS start_ms, max(t) AS end_ms, list((t, text) ORDER BY t, turn, text) AS v, flatten(list(k ORDER BY t, turn, text)) AS w FROM h WHERE len(k) > 0 GROUP BY ALL HAVING count(*) >= 2),
+c AS (SELECT conv_id, bucket, hits, score, start_ms, end_ms, v[hits // 2 + 1][1] AS middle_ms, CASE WHEN hits >= 5 OR score >= 12 THEN 'high' WHEN hits >= 3 OR score >= 7 THEN 'medium' ELSE 'low' END AS level, CASE WHEN NOT list_contains(w, 'and') THEN 'the' WHEN NOT list_contains(w, 'the') THEN 'and' WHEN list_position(w, 'and') < list_position(w, 'the') THEN 'and|the' ELSE 'the|and' END AS keywords, array_to_string(list_transform(v[1:3], lambda x: x[2]), '|') AS samples FROM g)"""
+
+
+def _clusters(spark, d):
+    found = [F.when(F.col("text").rlike(rf"(?i)\b{w}\b"), F.lit(w)) for w in ("and", "the")]
+    rows = table(spark, d, "conversations").withColumn("k", F.array_compact(F.array(*found))).filter(F.size("k") > 0)
+    weight = F.when(F.array_contains("k", "the"), 3).otherwise(0) + F.when(F.array_contains("k", "and"), 2).otherwise(0)
+    hits = rows.select("conv_id", (F.floor(F.col("turn") * 20_000 / 40_000) * 40_000).alias("t"), F.struct("turn", "text").alias("place"), "text", weight.alias("w"), "k")
+    return merging.cluster_details(hits, ["conv_id"], "t", "place", "text", "w", "k", 120_000, 2, 3)
+
+
+@query(f"WITH {_HINTS} SELECT * FROM c")
 def cluster_details(spark, d):
-    weight = F.when(F.col("text").rlike(r"(?i)\bthe\b"), 3).otherwise(0) + F.when(F.col("text").rlike(r"(?i)\band\b"), 2).otherwise(0)
-    hits = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 20_000).alias("t"), "text", weight.alias("w")).filter("w > 0")
-    return merging.cluster_details(hits, ["conv_id"], "t", "text", "w", 60_000, 2, 3)
+    return _clusters(spark, d)
+
+
+@query(f"""WITH {_HINTS}, m AS (SELECT conv_id, turn * 30000 AS at_ms FROM conversations WHERE role = 'user' AND turn % 3 = 0)
+SELECT conv_id, bucket, EXISTS (SELECT 1 FROM m WHERE m.conv_id = c.conv_id AND abs(m.at_ms - middle_ms) <= 15000) AS applied FROM c""")
+def clusters_applied(spark, d):
+    markers = table(spark, d, "conversations").filter("role = 'user' AND turn % 3 = 0").select("conv_id", (F.col("turn") * 30_000).alias("at_ms"))
+    return merging.cluster_applied(_clusters(spark, d), markers, ["conv_id"], "middle_ms", "at_ms").select("conv_id", "bucket", "applied")

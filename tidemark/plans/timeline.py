@@ -38,7 +38,23 @@ def timemap_status_counts(spark, d):
     return _projected(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH b AS (SELECT *, s0 >= 0 AND s1 >= 0 AND t0 >= 0 AND t1 >= 0 AS good, s1 - s0 AS ds, t1 - t0 AS dt FROM {B.BAD_SPANS_SQL}), c AS (SELECT *, good AND ds >= 0 AND dt >= 0 AS fit FROM b),
+_KINDS = ["matched", "matched", "sourceOnly", "targetOnly", "ambiguous", "matched", "wrong"]
+#: An order's lines as the spans of a map, one behind the other but for some that are torn, empty or of no kind.
+_LINE_SPANS = f"""(SELECT l_orderkey AS map_id, i AS span_index, kind, s0, s1, t0, t1 FROM (SELECT *, [{', '.join(f"'{k}'" for k in _KINDS)}][l_partkey % 7 + 1] AS kind, (i - 1) * 100 + CASE WHEN l_suppkey % 9 = 0 THEN 7 WHEN l_suppkey % 23 = 0 THEN -500 ELSE 0 END AS s0, i * 100 - CASE WHEN l_partkey % 13 = 0 THEN 100 ELSE 0 END AS s1, (i - 1) * 90 AS t0, i * 90 + CASE WHEN l_partkey % 19 = 0 THEN 4 ELSE 0 END AS t1
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem)))"""
+
+
+def _line_spans(spark, d):
+    i = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, d, "lineitem").withColumn("i", i)
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    s0 = (F.col("i") - 1) * 100 + F.when(F.col("l_suppkey") % 9 == 0, 7).when(F.col("l_suppkey") % 23 == 0, -500).otherwise(0)
+    s1 = F.col("i") * 100 - F.when(F.col("l_partkey") % 13 == 0, 100).otherwise(0)
+    t1 = F.col("i") * 90 + F.when(F.col("l_partkey") % 19 == 0, 4).otherwise(0)
+    return rows.select(F.col("l_orderkey").alias("map_id"), F.col("i").alias("span_index"), kind.alias("kind"), s0.cast("long").alias("source_start"), s1.cast("long").alias("source_end"), ((F.col("i") - 1) * 90).cast("long").alias("target_start"), t1.cast("long").alias("target_end"))
+
+
+@query(f"""WITH b AS (SELECT *, s0 >= 0 AND s1 >= 0 AND t0 >= 0 AND t1 >= 0 AS good, s1 - s0 AS ds, t1 - t0 AS dt FROM {_LINE_SPANS}), c AS (SELECT *, good AND ds >= 0 AND dt >= 0 AS fit FROM b),
 l AS (SELECT *, lag(s0) OVER w AS ps0, lag(s1) OVER w AS ps, lag(t0) OVER w AS pt0, lag(t1) OVER w AS pt, fit AND coalesce(lag(fit) OVER w, FALSE) AS two,
 CASE kind WHEN 'matched' THEN ds > 0 AND dt > 0 WHEN 'sourceOnly' THEN ds > 0 AND dt = 0 WHEN 'targetOnly' THEN ds = 0 AND dt > 0 WHEN 'ambiguous' THEN ds > 0 OR dt > 0 ELSE FALSE END AS shape FROM c WINDOW w AS (PARTITION BY map_id ORDER BY span_index)),
 i AS (SELECT map_id, span_index, CASE WHEN NOT good THEN 'invalidMilliseconds' WHEN NOT fit THEN 'invalidRange' WHEN kind = 'ambiguous' THEN 'emptyAmbiguousSpan' ELSE 'invalidKindShape' END AS issue FROM l WHERE NOT good OR NOT fit OR NOT shape
@@ -47,12 +63,12 @@ UNION ALL SELECT map_id, span_index, CASE WHEN ps < s0 THEN 'sourceDiscontinuity
 UNION ALL SELECT map_id, span_index, CASE WHEN pt < t0 THEN 'targetDiscontinuity' ELSE 'targetOverlap' END FROM l WHERE two AND pt <> t0)
 SELECT map_id, CAST(span_index AS INTEGER) AS span_index, issue FROM i""")
 def timemap_validate(spark, d):
-    return timemap.validate(B.spans(spark, B.BAD_SPANS))
+    return timemap.validate(_line_spans(spark, d))
 
 
-@query(f"SELECT map_id, CAST(span_index AS INTEGER) AS span_index, CASE kind WHEN 'sourceOnly' THEN 'targetOnly' WHEN 'targetOnly' THEN 'sourceOnly' ELSE kind END AS kind, t0 AS source_start, t1 AS source_end, s0 AS target_start, s1 AS target_end FROM {B.SPANS_SQL}")
+@query(f"SELECT map_id, CAST(span_index AS INTEGER) AS span_index, CASE kind WHEN 'sourceOnly' THEN 'targetOnly' WHEN 'targetOnly' THEN 'sourceOnly' ELSE kind END AS kind, t0 AS source_start, t1 AS source_end, s0 AS target_start, s1 AS target_end FROM {_LINE_SPANS}")
 def timemap_inverse(spark, d):
-    return timemap.inverse(B.spans(spark))
+    return timemap.inverse(_line_spans(spark, d))
 
 
 @query(f"SELECT e.event_id, e.t_ms + coalesce((SELECT sum(gap_ms) FROM {B.MARKERS_SQL} m WHERE m.at_ms <= e.t_ms), 0)::BIGINT AS mapped_ms FROM {B.E_SQL} e")
@@ -113,7 +129,17 @@ def interval_gaps(spark, d):
     return intervals.interval_gaps(_ship(spark, d), ["l_partkey"], "s", "e")
 
 
-@query(f"""WITH x AS (SELECT l_partkey, s AS pos, 1 AS d FROM {_SHIP} UNION ALL SELECT l_partkey, e, -1 FROM {_SHIP}), y AS (SELECT l_partkey, pos, sum(d) AS d FROM x GROUP BY ALL),
+@query(f"""WITH w AS (SELECT p_partkey AS l_partkey, 9000 AS a, 9000 + p_partkey % 4 * 900 AS b FROM part), h AS (SELECT l_partkey, a, b, greatest(s, a) AS s, least(e, b) AS e FROM w LEFT JOIN {_MERGED} m USING (l_partkey) WHERE a < b),
+i AS (SELECT * FROM h WHERE s < e), p AS (SELECT l_partkey, coalesce(max(e) OVER (PARTITION BY l_partkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS gap_start, s AS gap_end FROM i UNION ALL SELECT l_partkey, coalesce(max(e), max(a)), max(b) FROM (SELECT w.l_partkey, w.a, w.b, i.e FROM w LEFT JOIN i ON i.l_partkey = w.l_partkey WHERE w.a < w.b) GROUP BY 1)
+SELECT l_partkey, gap_start::BIGINT AS gap_start, gap_end::BIGINT AS gap_end FROM p WHERE gap_start < gap_end""")
+def interval_gaps_whole(spark, d):
+    """What of a part's own range is not covered, before, between and behind its intervals."""
+    begin = F.lit(9000).cast("long")
+    whole = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), begin.alias("begin"), (begin + F.col("p_partkey") % 4 * 900).alias("finish"))
+    return intervals.interval_gaps(_ship(spark, d), ["l_partkey"], "s", "e", whole)
+
+
+@query(f"""WITH x AS (SELECT l_partkey, s AS pos, 1 AS d FROM {_SHIP} UNION ALL SELECT l_partkey, e, -1 FROM {_SHIP}), y AS (SELECT l_partkey, pos, sum(d) AS d FROM x GROUP BY ALL HAVING sum(d) <> 0),
 z AS (SELECT l_partkey, pos AS band_start, lead(pos) OVER w AS band_end, CAST(sum(d) OVER w AS BIGINT) AS depth FROM y WINDOW w AS (PARTITION BY l_partkey ORDER BY pos))
 SELECT * FROM z WHERE depth > 0 AND band_end IS NOT NULL""")
 def coverage_bands(spark, d):
