@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import affine, folds, spectrum, visual
+from tidemark.operators import affine, folds, offsets, spectrum, visual
+from tidemark.operators.ordering import numbered
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
 from tidemark.session import cut, table
@@ -131,3 +132,30 @@ def held_offsets(spark, d):
     e = B.events(spark, d)
     offset = F.floor(F.col("t_ms") / 300_000_000) * 1500 + F.when(F.col("event_id") % 9 == 0, F.lit(7000)).otherwise(F.col("event_id") % 3 * 30)
     return folds.held_offsets(e.select("user_id", F.col("t_ms").alias("at_ms"), offset.cast("long").alias("o")), ["user_id"], "at_ms", "o", 1000, 100)
+
+
+def _shifted(spark, d):
+    """A label's vectors as a source, and all but its first seven, a little shortened, as the target."""
+    rows = numbered(table(spark, d, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("values")), ["label"], "vec_id", pos="p")
+    source = rows.select(F.col("label").alias("pair_id"), F.lit("source").alias("side"), (F.col("p") * 500).alias("at_ms"), "values")
+    target = rows.filter("p >= 7").select(F.col("label").alias("pair_id"), F.lit("target").alias("side"), ((F.col("p") - 7) * 500).alias("at_ms"), F.transform("values", lambda x: x * 0.9).alias("values"))
+    return source.union(target)
+
+
+@query("""WITH f AS (SELECT label AS pair_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT pair_id, count(*) AS n FROM f GROUP BY 1),
+d AS (SELECT a.pair_id, a.p AS i, b.p - 7 - a.p AS k, sqrt(list_avg(list_transform(range(1, len(a.v) + 1), lambda j: (a.v[j] - b.v[j] * 0.9::DOUBLE) ** 2))) AS d FROM f a JOIN f b ON a.pair_id = b.pair_id AND b.p >= 7),
+c AS (SELECT pair_id, n, unnest(range(12, n - 12, 6)) AS c FROM n), s AS (SELECT c.pair_id, c, k, avg(d) AS d FROM c JOIN d ON c.pair_id = d.pair_id AND d.i >= c - 12 AND d.i < c + 12 WHERE k * 500 BETWEEN -63500 AND 60000 GROUP BY ALL HAVING count(*) = 24)
+SELECT pair_id, c AS source_index, CAST(arg_min(k, (round(d, 9), k)) * 500 AS BIGINT) AS offset_ms, round(min(d), 6) AS distance FROM s GROUP BY ALL""")
+def block_offsets(spark, d):
+    """Where every block of a label's frames lies best in the shifted ones."""
+    return offsets.offset_observations(_shifted(spark, d)).select("pair_id", "source_index", "offset_ms", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def agreed_offsets(spark, d):
+    """The offset that most blocks of a label agree on; labels of few frames have too few blocks."""
+    found = offsets.offset_observations(_shifted(spark, d))
+    ends = found.groupBy("pair_id").agg(F.min(F.col("source_ms") + F.col("offset_ms")).alias("target_start"), F.max(F.col("source_ms") + F.col("offset_ms")).alias("target_end"))
+    blocks = found.join(ends, "pair_id").select("pair_id", "source_ms", (F.col("source_ms") + F.col("offset_ms")).alias("target_ms"), (1 - F.col("distance")).alias("score"), F.lit(0.5).alias("margin"), F.lit(False).alias("held_out"), "target_start", "target_end")
+    rules = offsets.PlaceRules(tolerance_ms=1000, stride_ms=3000, least=3)
+    return offsets.located_offsets(blocks, rules=rules).filter("rank = 1").select("pair_id", "offset_ms")
