@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import merging
+from tidemark.operators import batch, merging
 from tidemark.operators.lookup import bottom_k
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
-from tidemark.session import table
+from tidemark.session import cut, table
 
 QUERIES, SQL, query = collector()
 _BY = f"(SELECT *, user_id % 4 AS m FROM {B.E_SQL})"
@@ -155,3 +155,36 @@ SELECT conv_id, bucket, EXISTS (SELECT 1 FROM m WHERE m.conv_id = c.conv_id AND
 def clusters_applied(spark, d):
     markers = table(spark, d, "conversations").filter("role = 'user' AND turn % 3 = 0").select("conv_id", (F.col("turn") * 30_000).alias("at_ms"))
     return merging.cluster_applied(_clusters(spark, d), markers, ["conv_id"], "middle_ms", "at_ms").select("conv_id", "bucket", "applied")
+
+
+_FILES = "f AS (SELECT c_custkey AS a, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 END AS season, c_custkey % 40 + 1 AS e0, c_custkey % 40 + 1 + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS e1 FROM customer), i AS (SELECT o_custkey AS a, o_orderkey AS k, o_orderkey % 90000 * 37 AS t FROM orders)"
+_SEGMENTS = f"""{_FILES}, x AS (SELECT a, min(t) AS lo, max(t) AS hi FROM i GROUP BY 1),
+s AS (SELECT a, name, season, e0 AS e, NULL::INTEGER AS part, 0::BIGINT AS lo, 2000000::BIGINT AS hi, 2000000::BIGINT AS len FROM f WHERE e1 = e0 UNION ALL SELECT a, name, season, e0, 1, coalesce(lo, 0), coalesce(lo + 900000 + 1000 * e0, 0), CASE WHEN lo IS NULL THEN 0 ELSE 900000 + 1000 * e0 END FROM f LEFT JOIN x USING (a) WHERE e1 > e0
+UNION ALL SELECT a, name, season, e1, 2, coalesce(lo + 900000 + 1000 * e0, 0), coalesce(lo + 1800000 + 1000 * e0 + 1000 * e1 + 1, 1), CASE WHEN lo IS NULL THEN 0 ELSE 900000 + 1000 * e1 END FROM f LEFT JOIN x USING (a) WHERE e1 > e0),
+o AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY season, e ORDER BY a, coalesce(part, 0), name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM s)"""
+
+
+def _batch(spark, d):
+    c = table(spark, d, "customer")
+    first = (F.col("c_custkey") % 40 + 1).cast("int")
+    files = c.select(F.col("c_custkey").alias("asset_id"), F.col("c_name").alias("file_name"), F.col("c_custkey").alias("source_order"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 3).alias("season"), first.alias("first_episode"), (first + F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0)).alias("last_episode"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("known_ms"))
+    items = table(spark, d, "orders").select(F.col("o_custkey").alias("asset_id"), F.col("o_orderkey").alias("item_id"), F.col("o_orderkey").alias("original_index"), (F.col("o_orderkey") % 90_000 * 37).alias("at_ms"))
+    episodes = files.select(F.col("first_episode").alias("e")).union(files.select("last_episode")).distinct()
+    known = episodes.select((F.col("e") - 1).cast("int").alias("place"), F.lit(None).cast("long").alias("season"), F.col("e").alias("episode"), (F.lit(900_000) + F.col("e") * 1000).cast("long").alias("length_ms"))
+    segments = batch.single_segments(files, items, batch.Window("prefix", 2_000_000)).unionByName(batch.range_segments(files, items, known=known))
+    return cut(segments), items
+
+
+@query(f"WITH {_SEGMENTS} SELECT season, e AS episode, i.a AS asset_id, k AS item_id, t - lo + shift::BIGINT AS final_ms FROM o JOIN i ON i.a = o.a AND t >= lo AND t < hi")
+def batch_entries(spark, d):
+    """Orders as items of their customers' files, on the clocks of the episodes these are merged into."""
+    segments, items = _batch(spark, d)
+    return batch.merged_entries(segments, items).select("season", F.col("episode").cast("long").alias("episode"), "asset_id", "item_id", "final_ms")
+
+
+@query(f"""WITH {_SEGMENTS}, n AS (SELECT season, e, count(*) AS items FROM o JOIN i ON i.a = o.a AND t >= lo AND t < hi GROUP BY ALL)
+SELECT o.season, o.e AS episode, CASE WHEN o.season IS NULL THEN o.e || ' - ' || o.e || '.xml' ELSE printf('S%02dE%02d.xml', o.season, o.e) END AS file_name, count(DISTINCT name) AS files, coalesce(any_value(items), 0) AS items FROM o LEFT JOIN n ON n.e = o.e AND n.season IS NOT DISTINCT FROM o.season GROUP BY o.season, o.e""")
+def batch_episodes(spark, d):
+    segments, items = _batch(spark, d)
+    found = batch.episodes(segments, batch.merged_entries(segments, items))
+    return found.select("season", F.col("episode").cast("long").alias("episode"), "file_name", F.size("files").cast("long").alias("files"), "items")
