@@ -70,21 +70,22 @@ def boundary_errors(gold: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray
     return away.max(axis=2), away.sum(axis=2)
 
 
-def match_events(gold: DataFrame, predicted: DataFrame, by: list[str], tolerance: int, most_pairs: int = 4_000_000) -> DataFrame:
+def match_events(gold: DataFrame, predicted: DataFrame, by: list[str], tolerance: int | str, most_pairs: int = 4_000_000) -> DataFrame:
     """(by, gold_index, predicted_index, worst_ms, sum_ms, within): which event stands for which.
 
     Events are (by, index, source_start, source_end, target_start, target_end).  Inside ``tolerance`` as many events
     as possible meet, at the least total of 16 x worst + sum of boundary errors; of what is left the nearest meet
-    one after the other and are not ``within``.
+    one after the other and are not ``within``.  ``tolerance`` may name a column of both that is one number for a key.
     """
-    both = gold.select(*by, "index", *SPAN, F.lit(True).alias("gold")).unionByName(predicted.select(*by, "index", *SPAN, F.lit(False).alias("gold")))
+    limit = F.lit(tolerance) if isinstance(tolerance, int) else F.col(tolerance)
+    both = gold.select(*by, "index", *SPAN, F.lit(True).alias("gold"), limit.alias("limit")).unionByName(predicted.select(*by, "index", *SPAN, F.lit(False).alias("gold"), limit.alias("limit")))
     w = W.partitionBy(*by).orderBy("source_start", "gold", "index")
-    far = F.col("source_start") - F.lag("source_start").over(w) > tolerance
+    far = F.col("source_start") - F.lag("source_start").over(w) > F.col("limit")
     both = both.withColumn("stretch", F.sum(F.when(far, 1).otherwise(0)).over(w))
     kinds = {f.name: f.dataType.simpleString() for f in both.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"gold_index {kinds['index']}", f"predicted_index {kinds['index']}", "worst_ms bigint, sum_ms bigint, within boolean"])
 
-    def solver(pairs_of: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]], within: bool, what: str) -> Callable[[Group], list[tuple]]:
+    def solver(pairs_of: Callable[[np.ndarray, np.ndarray, int], list[tuple[int, int]]], within: bool, what: str) -> Callable[[Group], list[tuple]]:
         def solve(rows: Group) -> list[tuple]:
             g, p = np.flatnonzero(rows["gold"]), np.flatnonzero(~rows["gold"].astype(bool))
             if len(g) * len(p) > most_pairs:
@@ -92,11 +93,11 @@ def match_events(gold: DataFrame, predicted: DataFrame, by: list[str], tolerance
             spans = np.stack([rows[c] for c in SPAN], axis=1).astype(np.int64)
             worst, total = boundary_errors(spans[g], spans[p])
             key, index = tuple(rows[c][0] for c in by), rows["index"]
-            return [(*key, index[g[i]], index[p[j]], worst[i, j], total[i, j], within) for i, j in pairs_of(worst, total)]
+            return [(*key, index[g[i]], index[p[j]], worst[i, j], total[i, j], within) for i, j in pairs_of(worst, total, int(rows["limit"][0]))]
 
         return solve
 
-    def nearest(worst: np.ndarray, total: np.ndarray) -> list[tuple[int, int]]:
+    def nearest(worst: np.ndarray, total: np.ndarray, limit: int) -> list[tuple[int, int]]:
         i, j = (x.ravel() for x in np.indices(worst.shape))
         free_g, free_p, pairs = np.ones(len(worst), bool), np.ones(worst.shape[1], bool), []
         for k in np.lexsort((j, i, total.ravel(), worst.ravel())):
@@ -105,8 +106,8 @@ def match_events(gold: DataFrame, predicted: DataFrame, by: list[str], tolerance
                 pairs.append((int(i[k]), int(j[k])))
         return pairs
 
-    def cheapest(worst: np.ndarray, total: np.ndarray) -> list[tuple[int, int]]:
-        return cheapest_matching(np.where(worst <= tolerance, worst * WORST_WEIGHT + total, np.inf))
+    def cheapest(worst: np.ndarray, total: np.ndarray, limit: int) -> list[tuple[int, int]]:
+        return cheapest_matching(np.where(worst <= limit, worst * WORST_WEIGHT + total, np.inf))
 
     def mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
         """Rows of groups that have events of both sides."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import affine, assignment, editpath
+from tidemark.operators import affine, assignment, benchmark, editpath
 from tidemark.operators.ordering import numbered
 from tidemark.plans.collect import collector
 from tidemark.session import cut, table
@@ -135,3 +135,47 @@ def match_choices(spark, d):
         F.when(F.col("l_linestatus") == "O", F.col("l_linenumber") % 3).cast("string").alias("alternative"), order.alias("source_order"), order.alias("target_order"), blocked.alias("blocked"),
     ).filter("NOT blocked")
     return assignment.choose(rows).groupBy("group_id").agg(F.round(F.max("score"), 9).alias("score"))
+
+
+def _cases(spark, d):
+    """Orders as annotated relations: their lines are anchors or edits, and predictions are these, a little moved."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    cases = o.select(key.alias("case_id"), F.when(key % 10 < 8, "real").otherwise("synthetic").alias("media_kind"), F.when(key % 3 == 0, "frozen-test").otherwise("development").alias("split"), F.lit(400).cast("long").alias("tolerance_ms"), F.lit(0).cast("long").alias("source_start"), (F.lit(100_000) + key % 7 * 500_000).alias("source_end"), F.when(key % 4 == 0, 500).otherwise(0).cast("long").alias("target_start"), (key % 2 == 0).alias("same_media"))
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").withColumn("i", F.row_number().over(w) - 1)
+    at = F.col("i") * 10_000
+    kind = F.when(F.col("l_returnflag") == "A", "sourceOnly").when(F.col("l_linestatus") == "F", "targetOnly").otherwise("ambiguous")
+    anchors = rows.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("case_id"), at.cast("long").alias("source_ms"), (at + F.col("l_partkey") % 5 * 10).cast("long").alias("target_ms"))
+    edits = rows.filter("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("case_id"), kind.alias("kind"), F.col("i").alias("index"), at.cast("long").alias("source_start"), (at + F.when(kind == "targetOnly", 0).otherwise(2000)).cast("long").alias("source_end"), at.cast("long").alias("target_start"), (at + F.when(kind == "sourceOnly", 0).otherwise(2000)).cast("long").alias("target_end"))
+    moved = F.when(F.col("case_id") % 5 == 0, 700).otherwise(F.col("case_id") % 3 * 100)
+    spans = edits.select(F.col("case_id").alias("map_id"), F.col("index").alias("span_index"), "kind", *[(F.col(c) + moved).cast("long").alias(c) for c in assignment.SPAN])
+    return cases, anchors, edits, cases.filter("case_id % 17 <> 0").select("case_id"), spans.filter("map_id % 17 <> 0")
+
+
+_CASES = """e AS (SELECT l_orderkey AS c, i * 10000 AS s, l_returnflag AS r, l_linestatus AS f, l_partkey % 5 * 10 AS o, CASE WHEN l_returnflag = 'A' THEN 'source-only' WHEN l_linestatus = 'F' THEN 'target-only' ELSE 'ambiguous' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem)),
+n AS (SELECT o_orderkey AS c, count(*) FILTER (WHERE r <> 'N') AS edits, arg_min(o, s) FILTER (WHERE r = 'N') AS a, arg_max(o, s) FILTER (WHERE r = 'N') AS b, min(s) FILTER (WHERE r = 'N') AS sa, max(s) FILTER (WHERE r = 'N') AS sb FROM orders LEFT JOIN e ON e.c = o_orderkey GROUP BY 1),
+t AS (SELECT DISTINCT c, kind AS scenario FROM e WHERE r <> 'N' AND c IN (SELECT o_orderkey FROM orders) UNION ALL SELECT c, 'multi-edit' FROM n WHERE edits > 1 UNION ALL SELECT c, 'global-offset' FROM n WHERE c % 4 = 0 OR a <> 0 UNION ALL SELECT c, 'time-stretch' FROM n WHERE edits = 0 AND sb > sa AND a <> b UNION ALL SELECT c, 'long-reference' FROM n WHERE 100000 + c % 7 * 500000 >= 2700000)"""
+
+
+@query(f"WITH {_CASES} SELECT c AS case_id, scenario FROM t UNION ALL SELECT c, 'codec-variant' FROM n WHERE c % 2 = 1 AND c NOT IN (SELECT c FROM t)")
+def benchmark_scenarios(spark, d):
+    cases, anchors, gold, *_ = _cases(spark, d)
+    return benchmark.scenarios(cases, anchors, gold)
+
+
+@query(f"""WITH {_CASES}, k AS (SELECT c, count(*) AS g FROM e WHERE r <> 'N' AND c IN (SELECT o_orderkey FROM orders) GROUP BY 1)
+SELECT CASE WHEN n.c % 17 = 0 THEN 'missing' WHEN n.c % 5 = 0 THEN 'far' ELSE 'near' END AS "group", count(*) AS cases, CAST(sum(CASE WHEN n.c % 17 <> 0 AND n.c % 5 <> 0 THEN coalesce(g, 0) ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN n.c % 17 <> 0 AND n.c % 5 = 0 THEN coalesce(g, 0) ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN n.c % 17 = 0 OR n.c % 5 = 0 THEN coalesce(g, 0) ELSE 0 END) AS BIGINT) AS fn FROM n LEFT JOIN k ON k.c = n.c GROUP BY 1""")
+def benchmark_edits(spark, d):
+    """Edits that predictions meet, in cases whose predictions are near, far off or missing."""
+    tables = _cases(spark, d)
+    results, _ = benchmark.case_results(*tables)
+    kind = F.when(F.col("case_id") % 17 == 0, "missing").when(F.col("case_id") % 5 == 0, "far").otherwise("near")
+    return results.groupBy(kind.alias("group")).agg(F.count(F.lit(1)).alias("cases"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+@query()
+def benchmark_gate(spark, d):
+    cases, anchors, gold, predicted, spans = _cases(spark, d)
+    results, errors = benchmark.case_results(cases, anchors, gold, predicted, spans)
+    return benchmark.gate(cases, benchmark.scenarios(cases, anchors, gold), cut(results), cut(errors), predicted)
