@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import edits
+from tidemark.operators import candidates, edits
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
 from tidemark.session import table
@@ -163,3 +163,26 @@ def suite_regression(spark, d):
         return o.filter(F.col("o_orderkey") % 2 == part).groupBy("suite").agg(F.round(F.avg("o_totalprice"), 2).alias("boundary"), F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1)), 6).alias("f1"))
 
     return edits.suite_changes(run(0), run(1), "suite", {"boundary": 250, "f1": -0.02})
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, o_custkey % 20 AS s, o_orderkey % 5 AS t, o_orderkey % 3000 * 100 AS a, o_orderkey % 3000 * 100 + 500 + o_custkey % 3 * 400 AS b, o_custkey % 40 AS asset, o_orderkey % 7 = 0 AS no FROM orders),
+r AS (SELECT *, CASE WHEN no THEN 'rejected' WHEN t = 4 THEN 'media' WHEN asset = 3 THEN 'otherSource' WHEN asset = 5 THEN 'notBound' WHEN a < 20000 + asset * 1000 AND b > 0 THEN 'overlap' END AS reason FROM c),
+l AS (SELECT DISTINCT x.id FROM r x JOIN r y ON x.asset = y.asset AND x.t = y.t AND y.id < x.id AND x.a < y.b AND y.a < x.b WHERE x.reason IS NULL AND y.reason IS NULL)
+SELECT r.id::VARCHAR AS candidate_id, coalesce(reason, CASE WHEN l.id IS NOT NULL THEN 'overlap' END) AS reason FROM r LEFT JOIN l ON l.id = r.id""")
+def candidate_acceptances(spark, d):
+    """Orders as matches, each asked to be accepted with one asset; ids that order as numbers do."""
+    o = table(spark, d, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    id_ = F.lpad(key.cast("string"), 12, "0")
+    start = key % 3000 * 100
+    rows = o.select(id_.alias("candidate_id"), name("s", cust % 20).alias("source_media"), name("t", key % 5).alias("target_media"), start.alias("source_start"), (start + 500 + cust % 3 * 400).alias("source_end"), F.lit(0).cast("long").alias("target_start"), (start + 500).alias("target_end"), F.when(key % 7 == 0, "rejected").otherwise("pending").alias("state"), F.lit(None).cast("string").alias("map_id"), F.lit(False).alias("blocked"))
+    requests = o.select(id_.alias("candidate_id"), name("a", cust % 40).alias("asset_id"))
+    k = o.select((cust % 40).alias("k")).distinct()
+    assets = k.select(name("a", F.col("k")).alias("asset_id"))
+    bindings = k.filter("k <> 5").select(name("a", F.col("k")).alias("asset_id"), name("s", F.when(F.col("k") == 3, 19).otherwise(F.col("k") % 20)).alias("source_media"))
+    media = k.select(name("s", F.col("k") % 20).alias("media_id"), F.lit(candidates.SOURCE_ROLE).alias("role")).union(k.select(name("t", F.col("k") % 5), F.when(F.col("k") % 5 == 4, "other").otherwise(candidates.TARGET_ROLE))).distinct()
+    held = k.select(name("skip", F.col("k")).alias("segment_id"), F.lit("ignored").alias("kind"), name("a", F.col("k")).alias("asset_id"), name("s", F.col("k") % 20).alias("source_media"), F.lit(None).cast("string").alias("target_media"), F.lit(None).cast("string").alias("map_id"), F.lit(0).cast("long").alias("source_start"), (F.lit(20_000) + F.col("k") * 1000).cast("long").alias("source_end"))
+    maps = spark.createDataFrame([], "map_id string, candidate_id string, state string, revision int, level string")
+    out = candidates.acceptances(requests, rows, held, maps, bindings, assets, media)
+    return out.select(F.col("candidate_id").cast("long").cast("string").alias("candidate_id"), "reason")
