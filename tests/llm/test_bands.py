@@ -33,3 +33,21 @@ def test_lines_that_share_a_phrase(spark):
             got.setdefault(r["component_id"], set()).add(r["doc_id"])
     assert len(want) == 401
     assert {frozenset(g) for g in got.values()} == want
+
+
+def test_passages_over_short_lines(spark):
+    """Passages of 56 words in 14 lines of four, each in two documents of other words."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    lines = lambda n: "\n".join(" ".join(word() for _ in range(4)) for _ in range(n))
+    rows, places = [], {}
+    for k in range(40):
+        passage = lines(14)
+        for doc in (2 * k, 2 * k + 1):
+            before = rng.randint(10, 30)
+            rows.append((doc, f"{lines(before)}\n{passage}\n{lines(rng.randint(10, 30))}"))
+            places[doc] = (4 * before, 4 * before + 56)
+    found = paragraphs.merged_runs(paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))).collect()
+    got = {r["doc_id"]: (r["start"], r["stop"]) for r in found}
+    assert len(got) >= 0.95 * len(rows) and len(found) == len(got)
+    assert all(places[d][0] - 1 <= a and b <= places[d][1] + 1 for d, (a, b) in got.items())

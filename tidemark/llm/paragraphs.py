@@ -6,9 +6,9 @@ the exact Jaccard similarity of their shingles: each with the first paragraph of
 still hold several components, each with every paragraph of another component, in blocks inside tasks.  Links make
 components, whose first paragraph, by doc_id and place, stays.
 
-A passage inside a longer line is too small a part of its paragraph to make it similar.  So lines of PIECED words and
-more are also cut into pieces (the smallest shingle hash of every CUT_WINDOW), which are too short for MinHash and
-meet by equal wording, by a 64-bit hash.
+A passage inside a longer line is too small a part of its paragraph to make it similar, and one over several short
+lines is no paragraph.  So texts of PIECED words and more are also cut into pieces, whatever their lines (the smallest
+shingle hash of every CUT_WINDOW), which are too short for MinHash and meet by equal wording, by a 64-bit hash.
 
 Overlapping paragraphs and pieces are merged to runs; a passage of more than 50 words holds a run of at least
 MINIMUM_RUN words.
@@ -35,7 +35,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.minhash import _LOWER, SHINGLE, SIMILARITY, Shape, _mixed, _signature, kept_words, missed_links, signature_factors
 from tidemark.session import cut, ship_package, table
 
-CUT_WINDOW, PIECED, MINIMUM_RUN = 16, 60, 19
+CUT_WINDOW, PIECED, MINIMUM_RUN = 16, 51, 19
 LONG_LINE, LONG_WINDOW = 100, 64
 #: Bands, and signature values of which the first is the band's key.  Two paragraphs at similarity s share a band with
 #: probability 1 - (1 - s) ** BANDS: 0.9998 at 0.75.
@@ -118,17 +118,17 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
         begin, end = lines[:-1], np.minimum(lines[1:] - SHINGLE + 1, len(g))
         words = lines[1:] - begin
         line = words >= SHINGLE
-        if words.max(initial=0) < PIECED:
+        if lines[-1] < PIECED:
             none = np.zeros(0, np.int64)
             return none, none, begin[line], end[line]
 
-        def between(at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        def between(at: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
             """Neighbouring cuts of which one at least is in a line of ``least`` words or more."""
             long = words[np.searchsorted(lines, at, side="right") - 1] >= least
             used = long[:-1] | long[1:]
             return at[:-1][used], at[1:][used] + 1
 
-        first, last = between(cuts(g), PIECED)
+        first, last = between(cuts(g))
         more, most = between(cuts(g, LONG_WINDOW), LONG_LINE + 1)
         inner = most <= end[np.searchsorted(lines, more, side="right") - 1]
         return first, last, np.concatenate([begin[line], more[inner]]), np.concatenate([end[line], most[inner]])
