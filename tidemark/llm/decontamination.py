@@ -38,7 +38,7 @@ DISTANCE, PIECE, WALKED, SHORTEST = 0.1, 8, 24, 8
 WALKS, SAMPLES, PLACES = 8, 20, 4
 #: Benchmark characters that go along with one pass over the documents; larger benchmarks take several passes.
 PASS_CHARS = 8_000_000
-BLOCK_CHARS, WINDOW_BLOCK = 1_000_000, 2_000
+BLOCK_CHARS, WINDOW_BLOCK = 2_000_000, 2_000
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _PIECE_BITS = 22
 
@@ -211,18 +211,24 @@ def leaks_in(texts: list[str], items: Items) -> list[tuple[int, int, int, int, i
     """(text, item, distance, start, end): the nearest place of every item that leaks into a text."""
     x = codes("\0".join(texts))
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    # Windows of an item that overlap are searched as one.
+    wide: dict[tuple[int, int], list[list[int]]] = {}
     for k, s in sorted(items.candidates(x)):
         n, slack = int(items.lengths[k]), int(items.edits[k]) + 3
         doc = int(np.searchsorted(bounds, min(s + n // 2, bounds[-1] - 1), "right")) - 1
-        base = int(bounds[doc])
-        low = max(0, s - base - slack)
-        if (doc, k) in best and best[doc, k][1] <= s - base + 3 <= best[doc, k][2]:
-            continue
-        place = locate(items.texts[k], texts[doc][low : s - base + n + 2 * slack], int(items.edits[k]))
-        if place:
-            found = (place[0], low + place[1], low + place[2])
-            best[doc, k] = min(found, best.get((doc, k), found))
+        low, high = max(0, s - int(bounds[doc]) - slack), s - int(bounds[doc]) + n + 2 * slack
+        known = wide.setdefault((doc, k), [])
+        if known and low <= known[-1][1]:
+            known[-1][1] = max(known[-1][1], high)
+        else:
+            known.append([low, high])
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for (doc, k), windows in wide.items():
+        for low, high in windows:
+            place = locate(items.texts[k], texts[doc][low:high], int(items.edits[k]))
+            if place:
+                found = (place[0], low + place[1], low + place[2])
+                best[doc, k] = min(found, best.get((doc, k), found))
     return [(doc, k, *v) for (doc, k), v in sorted(best.items())]
 
 
