@@ -82,3 +82,45 @@ def diff(held: DataFrame, wanted: DataFrame, key: str, a: str, b: str) -> DataFr
     """What turns ``held`` into ``wanted``: insert, update, delete or keep."""
     action = F.when(F.col(b).isNull(), "delete").when(F.col(a).isNull(), "insert").when(F.col(a) != F.col(b), "update").otherwise("keep")
     return held.join(wanted, key, "full").select(key, action.alias("action"))
+
+
+#: What adds to a record's urgency: conflicts of reviewers, changes of mind, drifted borders, open decisions, rough and
+#: played-back looks, each revision and the most these add, and the weights of risk, ambiguity, ambiguous pictures, a
+#: small lead and a model's risk (fixed values).
+CONFLICT, CHANGED, DRIFTED, OPEN, ROUGH, PLAYED, REVISION, MOST_REVISIONS = 100, 55, 35, 28, 22, 10, 4, 12
+RISK, AMBIGUITY, PICTURES, LEAD, MODEL = 30, 20, 12, 12, 30
+#: Scores from which a record is critical and high, and the least drift of a border in ms (fixed values).
+CRITICAL, HIGH, LEAST_DRIFT_MS = 90, 50, 1_000
+
+
+def active_review(records: DataFrame, states: DataFrame, subject: list[str], order: list[str]) -> DataFrame:
+    """(record_id, score, level, revisions, changed, drift_ms) of every subject's last record, by how urgent a look is.
+
+    ``records`` is all records of the subjects with record_id, decision, precision, tolerance_ms, the four borders and
+    the shares difference_risk, ambiguous, visual_ambiguous, margin and model_risk, of which the last's count; ``states``
+    is (record_id, state) of the votes.  Gold records score 0.  A border has drifted if one revision lies further from
+    the last than the largest tolerance and a second.
+    """
+    borders = ["source_start", "source_end", "target_start", "target_end"]
+    last = records.groupBy(*subject).agg(F.max_by(F.struct(*[c for c in records.columns if c not in subject]), F.struct(*order)).alias("r"))
+    both = records.select(*subject, F.col("record_id").alias("_id"), F.col("decision").alias("_d"), F.col("tolerance_ms").alias("_t"), *[F.col(c).alias(f"_{c}") for c in borders]).join(last, subject)
+    prior = F.col("_id") != F.col("r.record_id")
+    away = F.greatest(*[F.abs(F.col(f"_{c}") - F.col(f"r.{c}")) for c in borders])
+    facts = both.groupBy(*subject).agg(F.count_if(prior).alias("revisions"), F.coalesce(F.bool_or(prior & ~F.col("_d").eqNullSafe(F.col("r.decision"))), F.lit(False)).alias("changed"), F.coalesce(F.max(F.when(prior, away)), F.lit(0)).alias("drift_ms"), F.max(F.coalesce("_t", F.lit(0))).alias("_tolerance"))
+    rows = last.join(facts, subject).select(*subject, "r.*", "revisions", "changed", "drift_ms", "_tolerance").join(states.select("record_id", "state"), "record_id", "left")
+    add = lambda when, points: F.when(when, F.lit(float(points))).otherwise(0.0)
+
+    def share(c: str, weight: int, turned: bool = False) -> Column:
+        x = F.col(c).cast("double")
+        held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+        return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), ((1 - held) if turned else held) * weight).otherwise(0.0)
+
+    score = (
+        add(F.col("state") == "conflict", CONFLICT) + add(F.col("changed"), CHANGED) + add(F.col("drift_ms") > F.greatest(F.lit(LEAST_DRIFT_MS), F.col("_tolerance")), DRIFTED) + add(F.col("decision") == "unresolved", OPEN)
+        + add(F.col("precision") == "rough", ROUGH) + add(F.col("precision") == "playbackChecked", PLAYED) + F.least(F.lit(MOST_REVISIONS), F.col("revisions") * REVISION)
+        + share("difference_risk", RISK) + share("ambiguous", AMBIGUITY) + share("visual_ambiguous", PICTURES) + share("margin", LEAD, True) + share("model_risk", MODEL)
+    )
+    gold = F.coalesce(F.col("state") == "gold", F.lit(False))
+    rows = rows.withColumn("score", F.when(gold, 0.0).otherwise(F.floor(score * 10 + F.lit(0.5)) / 10))
+    level = F.when(gold, "gold").when(F.col("score") >= CRITICAL, "critical").when(F.col("score") >= HIGH, "high").otherwise("normal")
+    return rows.select("record_id", "score", level.alias("level"), "revisions", "changed", "drift_ms")

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import lookup, matching, measures, review
+from tidemark.functions import titles
+from tidemark.operators import hints, lookup, matching, measures, review
 from tidemark.plans import bindings as B
 from tidemark.plans.collect import collector
 from tidemark.session import cut, ship_package, table
@@ -209,3 +210,40 @@ def lis_path(spark, d):
     ship_package(spark)
     rows = table(spark, d, "lineitem").select("l_suppkey", F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("source"), F.col("l_partkey").alias("target"))
     return matching.increasing_path(rows, "l_suppkey", "source", "target")
+
+
+_RULES = hints.keyword_rules("tion, ment；heit|Ción")
+_FOUND = ", ".join(f"CASE WHEN contains(lower(text), lower('{r.label}')) THEN ['{r.label}'] ELSE [] END" for r in _RULES)
+
+
+@query(f"""WITH h AS (SELECT conv_id, turn, turn * 20000 AS t, text, flatten([{_FOUND}]) AS k FROM conversations), g AS (SELECT conv_id, t // 60000 AS bucket, count(*) AS hits, CAST(sum(len(k) * 2) AS BIGINT) AS score, list(t ORDER BY t, turn) AS ts, flatten(list(k ORDER BY t, turn)) AS w FROM h WHERE len(k) > 0 GROUP BY ALL HAVING count(*) >= 2)
+SELECT conv_id AS asset_id, bucket, hits, score, ts[hits // 2 + 1] AS middle_ms, array_to_string(list_sort(list_distinct(w)), '|') AS keywords FROM g ORDER BY score DESC, middle_ms, conv_id, bucket LIMIT 12""")
+def suspected_cuts(spark, d):
+    """The clusters of turns that hint most, by rules made of keywords."""
+    items = table(spark, d, "conversations").select(F.col("conv_id").alias("asset_id"), F.col("turn").alias("original_index"), (F.col("turn") * 20_000).alias("at_ms"), "text")
+    found = hints.suspected_cuts(items, _RULES)
+    return found.select("asset_id", "bucket", "hits", "score", "middle_ms", F.array_join(F.array_sort(F.split("keywords", r"\|")), "|").alias("keywords"))
+
+
+@query("""SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) || '|' || (1990 + p_size) || CASE WHEN p_size % 2 = 0 THEN '|movie' ELSE '|tv' END || CASE WHEN p_size % 4 <> 1 THEN '|s' || (p_size % 4) ELSE '' END || '|' || (p_partkey % 30 + 1) AS key,
+'title-' || substr(sha256(CASE WHEN p_size % 2 = 0 THEN 'movie' ELSE 'tv' END || ':' || regexp_replace(lower(p_name || 'mkv'), '[^a-z0-9]+', '', 'g') || ':' || (1990 + p_size)), 1, 48) AS work, p_size AS season, p_partkey % 30 + 1 AS episode FROM part WHERE p_size % 4 > 0""")
+def title_keys(spark, d):
+    p = table(spark, d, "part").filter("p_size % 4 > 0")
+    name, kind, year, episode = F.concat("p_name", F.lit(".mkv")), F.when(F.col("p_size") % 2 == 0, "movie").otherwise("tv"), F.col("p_size") + 1990, F.col("p_partkey") % 30 + 1
+    shown = F.concat("p_name", F.lit(" S"), F.col("p_size").cast("string"), F.lit("E"), episode.cast("string"), F.lit(".mkv"))
+    rows = p.select("p_partkey", titles.resource_key(name, year, kind, F.col("p_size") % 4, episode).alias("key"), titles.work_key(name, kind, year).alias("work"), titles.library_episode(shown).alias("e"))
+    return rows.select("p_partkey", "key", "work", F.col("e.season").cast("int").alias("season"), F.col("e.episode").alias("episode"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 3 AS d, o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 100 / 100.0::DOUBLE END AS risk, o_orderkey % 4000 AS b FROM orders),
+l AS (SELECT c, max(k) AS k, count(*) - 1 AS revisions FROM o GROUP BY 1), r AS (SELECT o.*, revisions FROM l JOIN o USING (c, k)),
+f AS (SELECT r.k, r.revisions, r.d, r.risk, bool_or(p.k <> r.k AND p.d <> r.d) AS changed, max(CASE WHEN p.k <> r.k THEN abs(p.b - r.b) ELSE 0 END) AS drift FROM r JOIN o p ON p.c = r.c GROUP BY ALL),
+s AS (SELECT *, k % 7 = 0 AS gold, CASE WHEN k % 7 = 1 THEN 100 ELSE 0 END + CASE WHEN changed THEN 55 ELSE 0 END + CASE WHEN drift > 1000 THEN 35 ELSE 0 END + CASE WHEN d = 0 THEN 28 ELSE 0 END + 22 + least(12, revisions * 4) + coalesce(risk * 30, 0) AS x FROM f)
+SELECT k AS record_id, CASE WHEN gold THEN 0 ELSE floor(x * 10 + 0.5::DOUBLE) / 10 END AS score, CASE WHEN gold THEN 'gold' WHEN floor(x * 10 + 0.5::DOUBLE) / 10 >= 90 THEN 'critical' WHEN floor(x * 10 + 0.5::DOUBLE) / 10 >= 50 THEN 'high' ELSE 'normal' END AS level, revisions, changed, drift AS drift_ms FROM s""")
+def active_review(spark, d):
+    """Orders as revisions of their customers' records, by how urgent another look is."""
+    k, zero = F.col("o_orderkey"), F.lit(0).cast("long")
+    none = F.lit(None).cast("double")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), k.alias("record_id"), F.when(k % 3 == 0, "unresolved").when(k % 3 == 1, "matched").otherwise("ambiguous").alias("decision"), F.lit("rough").alias("precision"), zero.alias("tolerance_ms"), zero.alias("source_start"), (k % 4000).alias("source_end"), zero.alias("target_start"), zero.alias("target_end"), F.when(k % 5 != 0, k % 100 / 100).alias("difference_risk"), none.alias("ambiguous"), none.alias("visual_ambiguous"), none.alias("margin"), none.alias("model_risk"))
+    states = table(spark, d, "orders").select(k.alias("record_id"), F.when(k % 7 == 0, "gold").when(k % 7 == 1, "conflict").otherwise("awaiting-independent").alias("state"))
+    return review.active_review(rows, states, ["c"], ["record_id"])
