@@ -23,7 +23,7 @@ def confirmed_map_id(candidate: Column, revision: Column) -> Column:
     return F.concat(candidate, F.lit(":confirmed:"), revision.cast("string"))
 
 
-def acceptances(requests: DataFrame, candidates: DataFrame, segments: DataFrame, maps: DataFrame, bindings: DataFrame, assets: DataFrame, media: DataFrame) -> DataFrame:
+def acceptances(requests: DataFrame, candidates: DataFrame, segments: DataFrame, maps: DataFrame, bindings: DataFrame, assets: DataFrame, media: DataFrame, width: int = 600_000) -> DataFrame:
     """(candidate_id, asset_id, reason, map_id, segment_id, new): what becomes of every request (candidate_id, asset_id).
 
     A candidate is accepted with all its requested assets or not at all: ``reason`` is then the first of unknown,
@@ -32,8 +32,13 @@ def acceptances(requests: DataFrame, candidates: DataFrame, segments: DataFrame,
     is ignored or has the same target, or with one of another candidate of the same requests that nothing else
     speaks against and that comes before by its id).
     Accepting again changes nothing: ``new`` is false for segments that are there.  A first acceptance confirms the
-    next revision of the candidate's map.
+    next revision of the candidate's map.  Ranges meet in cells of ``width`` ms that both touch.
     """
+    on = ["asset_id", "source_media", "_cell"]
+
+    def in_cells(rows: DataFrame, start: str, end: str) -> DataFrame:
+        return rows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width))))
+
     asked = requests.filter(F.trim("asset_id") != "").select("candidate_id", F.trim("asset_id").alias("asset_id")).distinct()
     c = candidates.select("candidate_id", "source_media", "target_media", "source_start", "source_end", "target_start", "state", F.col("map_id").alias("_map"), "blocked", F.lit(True).alias("_known"))
     rows = asked.join(c, "candidate_id", "left")
@@ -59,7 +64,7 @@ def acceptances(requests: DataFrame, candidates: DataFrame, segments: DataFrame,
     others = segments.filter("asset_id IS NOT NULL AND source_media IS NOT NULL").select("asset_id", "source_media", F.col("segment_id").alias("_o"), F.col("kind").alias("_k"), F.col("target_media").alias("_t"), F.col("source_start").alias("_a"), F.col("source_end").alias("_b"))
     ranged = rows.select("candidate_id", "asset_id", "source_media", "target_media", "source_start", "source_end", "segment_id")
     crossing = (F.col("_a") < F.col("source_end")) & (F.col("source_start") < F.col("_b")) & ((F.col("_k") == "ignored") | F.col("_t").eqNullSafe(F.col("target_media")))
-    met = ranged.join(others, ["asset_id", "source_media"]).filter(crossing & (F.col("_o") != F.col("segment_id")))
+    met = in_cells(ranged, "source_start", "source_end").join(in_cells(others, "_a", "_b"), on).filter(crossing & (F.col("_o") != F.col("segment_id")))
     met = met.select("candidate_id", "asset_id").distinct()
     rows = rows.join(met.withColumn("_over", F.lit(True)), ["candidate_id", "asset_id"], "left")
 
@@ -75,7 +80,7 @@ def acceptances(requests: DataFrame, candidates: DataFrame, segments: DataFrame,
     rows = cut(rows.join(first, "candidate_id").withColumn("reason", F.get(names, F.col("_r"))))
     able = rows.filter("reason IS NULL").select("candidate_id", "asset_id", "source_media", "target_media", "source_start", "source_end")
     before = able.select("asset_id", "source_media", F.col("candidate_id").alias("_c"), F.col("target_media").alias("_t"), F.col("source_start").alias("_a"), F.col("source_end").alias("_b"), F.lit("content").alias("_k"))
-    late = able.join(before, ["asset_id", "source_media"]).filter(crossing & (F.col("_c") < F.col("candidate_id"))).select("candidate_id").distinct()
+    late = in_cells(able, "source_start", "source_end").join(in_cells(before, "_a", "_b"), on).filter(crossing & (F.col("_c") < F.col("candidate_id"))).select("candidate_id").distinct()
     out = rows.join(late.withColumn("_late", F.lit(True)), "candidate_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_late"), "overlap")))
     fine = F.col("reason").isNull()
     return out.select("candidate_id", "asset_id", "reason", F.when(fine, F.col("map_id")).alias("map_id"), F.when(fine, F.col("segment_id")).alias("segment_id"), (fine & ~there).alias("new"))

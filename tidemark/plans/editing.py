@@ -184,5 +184,5 @@ def candidate_acceptances(spark, d):
     media = k.select(name("s", F.col("k") % 20).alias("media_id"), F.lit(candidates.SOURCE_ROLE).alias("role")).union(k.select(name("t", F.col("k") % 5), F.when(F.col("k") % 5 == 4, "other").otherwise(candidates.TARGET_ROLE))).distinct()
     held = k.select(name("skip", F.col("k")).alias("segment_id"), F.lit("ignored").alias("kind"), name("a", F.col("k")).alias("asset_id"), name("s", F.col("k") % 20).alias("source_media"), F.lit(None).cast("string").alias("target_media"), F.lit(None).cast("string").alias("map_id"), F.lit(0).cast("long").alias("source_start"), (F.lit(20_000) + F.col("k") * 1000).cast("long").alias("source_end"))
     maps = spark.createDataFrame([], "map_id string, candidate_id string, state string, revision int, level string")
-    out = candidates.acceptances(requests, rows, held, maps, bindings, assets, media)
+    out = candidates.acceptances(requests, rows, held, maps, bindings, assets, media, width=2_000)
     return out.select(F.col("candidate_id").cast("long").cast("string").alias("candidate_id"), "reason")
