@@ -30,6 +30,9 @@ def cheapest_matching(cost: np.ndarray) -> list[tuple[int, int]]:
     n, m = cost.shape
     if not n or not m or not np.isfinite(cost).any():
         return []
+    if n == 1 or m == 1:
+        row, column = np.unravel_index(int(cost.argmin()), cost.shape)
+        return [(int(row), int(column))]
     alone = float(np.where(np.isfinite(cost), np.abs(cost), 0).sum()) * 2 + 1
     wide = np.full((n, m + n), np.inf)
     wide[:, :m] = cost
