@@ -179,3 +179,12 @@ def test_axis_and_blocks(spark):
     df = spark.createDataFrame([(0, 100), (0, 10_000_000), (50, 40)], "a bigint, b bigint")
     steps = [r[0] for r in df.select(lookup.axis_step(F.greatest(F.lit(1), F.col("b") - F.col("a")), F.lit(950))).collect()]
     assert steps == [10, 1_800_000, 1]
+
+
+def test_first_of_rows_in_a_tie_does_not_depend_on_their_places(spark):
+    from tidemark.operators import edits
+
+    rows = [(1, 7, 2, 30.0), (1, 7, 2, 10.0), (1, 7, 2, 20.0), (1, 8, 1, 1.0)]
+    for order in (rows, rows[::-1]):
+        got = edits.first_by(spark.createDataFrame(order, "p long, o long, n int, q double").coalesce(1), ["p"], ["o", "n"]).collect()
+        assert [tuple(r) for r in got] == [(1, 7, 2, 10.0)]

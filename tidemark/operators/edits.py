@@ -27,9 +27,13 @@ def without_ids(held: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of every key; an aggregate, so a key's rows are combined before they move."""
+    """The first row of every key; an aggregate, so a key's rows are combined before they move.
+
+    Of rows that ``order`` leaves open the one whose other columns are smallest is taken, so how rows are dealt to
+    tasks does not matter.
+    """
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first")).select(*key, "first.*")
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order, *(c for c in rest if c not in order))).alias("first")).select(*key, "first.*")
 
 
 def distinct_in_order(rows: DataFrame, by: list[str], value: str, order: list[str], out: str) -> DataFrame:
