@@ -86,3 +86,43 @@ def test_located_offsets(spark):
     assert got[1] == [(300_900, 1, 13, 3)]
     assert (100_000, 2, 13, 2) in got[2] and got[2][0][1] == 2
     assert 3 not in got and got[4] == [(0, 1, 7, 0)] and 5 not in got
+
+
+def test_nearly_equal_distances_take_the_smallest_offset():
+    # The target holds the source twice, the second time nearer by less than counts.
+    a = np.zeros((24, 1))
+    b = np.concatenate([np.full((24, 1), 1 + 1e-10), np.ones((24, 1))])
+    at, distance = O.best_offsets(a, b, np.array([12]), 24, range(0, 25))
+    assert at.tolist() == [0] and abs(distance[0] - 1) < 1e-12
+
+
+def test_equal_distances_in_long_sequences():
+    # The sequence comes again after 150 frames; distances before a block are large, and digits of a running sum go.
+    rng = np.random.default_rng(5)
+    frame = rng.normal(size=(150, 2))
+    b = np.concatenate([rng.normal(size=(3000, 2)) * 1e8, np.tile(frame, (4, 1))])
+    a = np.concatenate([np.zeros((3000, 2)), np.tile(frame, (4, 1)) + 0.3])
+    centres = np.arange(3000 + 174, 3000 + 400, 6)
+    at, distance = O.best_offsets(a, b, centres, 24, range(-150, 151))
+    assert set(at.tolist()) == {-150} and np.allclose(distance, 0.3, rtol=0, atol=1e-12)
+
+
+def test_sides_of_a_pair_meet_after_a_union(spark, tmp_path):
+    # Both sides are dealt by pair but differ in size, so adaptive execution joins up their partitions differently.
+    from tidemark.plans import registry
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).tolist(), int(label)) for i, label in enumerate(rng.integers(0, 12, 600))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    names = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB", "spark.sql.unionOutputPartitioning": "true"}
+    held = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = registry.QUERIES["block_offsets"](spark, str(tmp_path)).collect()
+        assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"  # tables this small may come out right all the same
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    sizes = np.bincount([r[2] for r in rows])
+    assert len(found) == sum(len(range(12, n - 12, 6)) for n in sizes) and {r["offset_ms"] for r in found if r["source_index"] >= 24} == {-3500}

@@ -14,6 +14,8 @@ from tidemark.operators.groups import Group, solve_groups
 MOST_FRAMES = 200_000
 #: Farthest offset and what is added to the difference in length on both sides, in ms (fixed values).
 FARTHEST_MS, MARGIN_MS = 240_000, 60_000
+#: Decimals to which distances are compared; ones that agree in these are equal.
+DECIMALS = 9
 
 
 def searched_steps(source_end: int, target_end: int, step: int) -> range:
@@ -24,13 +26,14 @@ def searched_steps(source_end: int, target_end: int, step: int) -> range:
 
 
 def best_offsets(a: np.ndarray, b: np.ndarray, centres: np.ndarray, block: int, steps: range) -> tuple[np.ndarray, np.ndarray]:
-    """(step, mean distance) at which the block around each centre of ``a`` is nearest to ``b``; no place, no step (-1 << 40).
+    """(step, least mean distance) at which the block around each centre of ``a`` is nearest to ``b``; no place, no step
+    (-1 << 40).  Of distances that agree in DECIMALS the first step's counts.
 
-    For one offset after the other the frames' distances are summed once along the sequence, and a block's sum is the
-    difference of two of these: work grows with frames times offsets, whatever the blocks' length, memory with frames.
+    Frames' distances are taken once for an offset, and each block sums its own: a sum carried along the sequence
+    would lose digits with its length, and equal distances would differ.
     """
     n, m, half = len(a), len(b), block // 2
-    best, at = np.full(len(centres), np.inf), np.full(len(centres), -1 << 40)
+    best, at, least = np.full(len(centres), np.inf), np.full(len(centres), -1 << 40), np.full(len(centres), np.inf)
     first = centres - half
     for k in steps:
         low, high = max(0, -k), min(n, m - k)  # frames of a that have a counterpart
@@ -40,12 +43,13 @@ def best_offsets(a: np.ndarray, b: np.ndarray, centres: np.ndarray, block: int,
         if not fits.any():
             continue
         away = a[low:high] - b[low + k : high + k]
-        sums = np.append(0.0, np.cumsum(np.sqrt((away * away).mean(axis=1))))
-        mean = (sums[first[fits] - low + block] - sums[first[fits] - low]) / block
-        nearer = mean < best[fits] - 1e-12
-        index = np.flatnonzero(fits)[nearer]
-        best[index], at[index] = mean[nearer], k
-    return at, best
+        apart = np.sqrt((away * away).mean(axis=1))
+        mean = np.lib.stride_tricks.sliding_window_view(apart, block)[first[fits] - low].mean(axis=1)
+        index, rounded = np.flatnonzero(fits), np.round(mean, DECIMALS)
+        least[index] = np.minimum(least[index], mean)
+        nearer = rounded < best[index]
+        best[index[nearer]], at[index[nearer]] = rounded[nearer], k
+    return at, least
 
 
 def offset_observations(frames: DataFrame, pair: str = "pair_id", block: int = 24, stride: int = 6, step_ms: int = 500) -> DataFrame:
