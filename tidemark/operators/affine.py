@@ -27,6 +27,8 @@ BLOCK_MS, MOST_BLOCKS, BLOCKS_EACH = 1_000, 1_024, 5
 #: Cells of the held-out test: width in time and offset, cells to each side in time, and least different witnesses
 #: (fixed values).
 CELL_MS, CELL_OFFSET_MS, CELL_REACH, LEAST_WITNESSES = 5_000, 250, 2, 3
+#: Share of the first line's inliers from which another explains as good as as much (fixed value).
+AS_MANY = 0.98
 
 
 @dataclass(frozen=True)
@@ -180,6 +182,18 @@ def affine_lines(observations: DataFrame, pair: str = "pair_id", rules: LineRule
     return found.unionByName(crowded.withColumn("fault", F.lit("crowded")), allowMissingColumns=True)
 
 
+def tightest_lines(lines: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """Of each pair's ``lines`` the one with the smallest 95th percentile among those that explain as good as as much
+    as the first; pairs with a fault are left out.
+
+    A line may lie aslant and catch a stray observation at the tolerance that the true one leaves: it is ranked first
+    by one inlier, with residuals several times as large.
+    """
+    first = F.max("inliers").over(W.partitionBy(pair))
+    near = lines.filter("fault IS NULL").withColumn("_first", first).filter(F.col("inliers") >= F.col("_first") * AS_MANY)
+    return near.groupBy(pair).agg(F.min_by(F.struct(*[c for c in lines.columns if c != pair]), F.struct("p95_ms", "rank")).alias("_l")).select(pair, "_l.*").select(*lines.columns)
+
+
 def _against(observations: DataFrame, lines: DataFrame, pair: str) -> DataFrame:
     """Observations with each line of their pair; ``aside`` tells those of the blocks set aside, ``off_ms`` how far off."""
     line = lines.filter("fault IS NULL").select(pair, "rank", "scale", "offset_ms", "fitted_offset_ms", "held_out_blocks")
