@@ -150,3 +150,20 @@ def test_observations_leave_out_common_families(spark):
                 continue
             want |= {(pair, i, j, x[1], y[1]) for j, y in family[:: -(-len(family) // 8)] if abs((x[2] & 255) - (y[2] & 255)) <= 1}
     assert {tuple(r) for r in out} == want and len(out) == len(want) > 100
+
+
+def test_frames_dealt_to_many_tasks_find_the_same(spark, monkeypatch):
+    import random
+
+    from tidemark.operators import visual
+
+    rng = random.Random(4)
+    frames = [(k % 3, k * 250, rng.getrandbits(63)) for k in range(60)]
+    source = spark.createDataFrame(frames, "label int, at_ms bigint, hash bigint")
+    target = spark.createDataFrame([(p, t + 5000, h ^ 5) for p, t, h in frames], "label int, at_ms bigint, hash bigint")
+    found = []
+    for each in (1_000, 7):
+        monkeypatch.setattr(visual, "FRAMES_EACH", each)
+        matches = visual.frame_matches(source, target, ["label"])
+        found.append(sorted(map(tuple, matches.collect())))
+    assert found[0] == found[1] and {(p, t) for p, t, *_ in found[0]} == {(p, t) for p, t, _ in frames} and all(r[2] == r[1] + 5000 for r in found[0])
