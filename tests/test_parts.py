@@ -188,3 +188,13 @@ def test_first_of_rows_in_a_tie_does_not_depend_on_their_places(spark):
     for order in (rows, rows[::-1]):
         got = edits.first_by(spark.createDataFrame(order, "p long, o long, n int, q double").coalesce(1), ["p"], ["o", "n"]).collect()
         assert [tuple(r) for r in got] == [(1, 7, 2, 10.0)]
+
+
+def test_union_length_is_dealt_by_its_rows(spark, monkeypatch):
+    from tidemark.operators import merging
+
+    rows = spark.createDataFrame([(k % 5, 10 * k, 10 * k + 60) for k in range(40)], "p long, s long, e long")
+    monkeypatch.setattr(merging, "ROWS_EACH", 4)
+    out = merging.union_length(rows, ["p"], "s", "e", "n", counted=True)
+    assert "10), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["p"], r["n"]) for r in out.collect()} == {(k, 50 * 7 + 60) for k in range(5)}

@@ -95,7 +95,7 @@ def _ship(spark, d):
 @query(f"""WITH p AS (SELECT l_partkey, s, e, max(e) OVER (PARTITION BY l_partkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_SHIP})
 SELECT l_partkey, CAST(sum(greatest(0, e - greatest(s, coalesce(reach, s)))) AS BIGINT) AS days FROM p GROUP BY 1""")
 def union_length(spark, d):
-    return merging.union_length(_ship(spark, d), ["l_partkey"], "s", "e", "days")
+    return merging.union_length(_ship(spark, d), ["l_partkey"], "s", "e", "days", counted=True)
 
 
 @query(f"SELECT DISTINCT a.l_partkey FROM {_SHIP} a JOIN {_SHIP} b ON a.l_partkey = b.l_partkey AND a.l_linenumber <= 2 AND b.l_linenumber >= 5 AND least(a.e, b.e) - greatest(a.s, b.s) > 10")
