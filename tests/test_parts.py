@@ -198,3 +198,20 @@ def test_union_length_is_dealt_by_its_rows(spark, monkeypatch):
     out = merging.union_length(rows, ["p"], "s", "e", "n", counted=True)
     assert "10), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["p"], r["n"]) for r in out.collect()} == {(k, 50 * 7 + 60) for k in range(5)}
+
+
+def test_fingerprints_of_large_buckets_meet_in_blocks(spark, monkeypatch):
+    from tidemark.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    monkeypatch.setattr(matching, "SLAB", 2)
+    monkeypatch.setattr(matching, "CANDIDATES", 2)
+    monkeypatch.setattr(matching, "PAIRS_EACH", 10)
+    made = [[0.01, 0.02, 0.03, 0.04, (k * 37 % 23) / 20] for k in range(20)] + [[0.5, 0.02, 0.03, 0.04, k / 9] for k in range(3)]
+    odd = [None, [0.01, 0.02], [0.01, 0.02], [0.01, 0.02, 0.03, 0.04, None], [0.01, 0.02, 0.03, 0.04, float("nan")], [0.01, 0.02, 0.03, 0.04]]
+    rows = spark.createDataFrame(list(enumerate(made + odd)), "id long, v array<float>")
+    got = [tuple(r) for r in matching.fingerprint_pairs(rows, "id", "v", 0.125, 0.15).collect()]
+    near = lambda x, y: (sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) / 5) ** 0.5
+    want = {(a, b) for b, y in enumerate(made) for a, x in enumerate(made[:b]) if x[0] == y[0] and near(x, y) <= 0.15}
+    assert len(got) == len(set(got)) and {(a, b) for a, b, _ in got} == want
+    assert all(abs(d - near(made[a], made[b])) < 1e-5 for a, b, d in got)
