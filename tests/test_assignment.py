@@ -142,3 +142,29 @@ def test_ambiguous_combinations(spark):
     assert not out[2, "a"]["ambiguous"] and out[2, "a"]["margin"] > 0.6
     assert out[3, "a"]["margin"] == 1 and out[3, "a"]["runner_up_score"] is None and not out[3, "a"]["ambiguous"]
     assert out[4, "z"]["margin"] is None and out[4, "z"]["score"] == 0 and out[4, "z"]["reason"] == "notInBestCombination"
+
+
+def test_matchings_of_one_shape_are_those_found_one_by_one():
+    rng = np.random.default_rng(5)
+    for n, m in ((2, 2), (3, 2), (4, 3), (6, 4)):
+        cost = np.where(rng.random((200, n, m)) < 0.7, rng.integers(0, 40, (200, n, m)), A.FAR)
+        column, one = A._unique_matchings(cost)
+        assert one.any() and not one.all()
+        for k in np.flatnonzero(one):
+            assert [(i, j) for i, j in enumerate(column[k].tolist()) if j >= 0] == A.cheapest_matching(np.where(cost[k] < A.FAR, cost[k], np.inf))
+
+
+def test_large_cases_are_matched_stretch_by_stretch(spark, monkeypatch):
+    rng = random.Random(11)
+    gold, predicted = ([(case, "sourceOnly", k, s, s + 50, s % 700, s % 700) for case in range(4) for k, s in enumerate(rng.sample(range(0, 60_000, 50), 60))] for _ in range(2))
+    g, p = spark.createDataFrame(gold, EVENT), spark.createDataFrame(predicted, EVENT)
+    whole = sorted(map(tuple, A.match_events(g, p, ["case_id", "kind"], 300).collect()))
+    assert {r[-1] for r in whole} == {True, False}
+    monkeypatch.setattr(A, "ROWS_TOGETHER", 10)
+    monkeypatch.setattr(A, "ROWS_HELD", 20)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, A.match_events(g, p, ["case_id", "kind"], 300).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
