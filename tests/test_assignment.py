@@ -168,3 +168,13 @@ def test_large_cases_are_matched_stretch_by_stretch(spark, monkeypatch):
         assert sorted(map(tuple, A.match_events(g, p, ["case_id", "kind"], 300).collect())) == whole
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_relations_of_hypotheses_pair_by_pair_and_by_tables():
+    rng = random.Random(8)
+    names = [f.split()[0] for f in HYPOTHESIS.split(", ")]
+    for n in (1, 5, 20):
+        rows = {c: list(x) for c, x in zip(names, zip(*hypotheses(rng, 0, n), strict=True), strict=True)}
+        plain, broad = A._Choices._plain(rows, 250), A._Choices._broad(rows, 250)
+        for a, b in zip(plain, broad, strict=True):
+            assert a == [x & ~(1 << k) for k, x in enumerate(b)]
