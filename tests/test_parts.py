@@ -215,3 +215,19 @@ def test_fingerprints_of_large_buckets_meet_in_blocks(spark, monkeypatch):
     want = {(a, b) for b, y in enumerate(made) for a, x in enumerate(made[:b]) if x[0] == y[0] and near(x, y) <= 0.15}
     assert len(got) == len(set(got)) and {(a, b) for a, b, _ in got} == want
     assert all(abs(d - near(made[a], made[b])) < 1e-5 for a, b, d in got)
+
+
+def test_ranks_of_many_keys_and_of_few(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import measures
+
+    rng = random.Random(6)
+    values = {k: [rng.choice([0.0, 1e9, rng.random(), rng.randrange(50)]) for _ in range(rng.choice([1, 3, 40, 400]))] for k in range(30)}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x], "k long, v double")
+    places = {"p50": measures.upper_index(0.5, F.col("n")), "most": F.col("n") - 1}
+    for sent in (measures.KEYS_SENT, 0):
+        monkeypatch.setattr(measures, "KEYS_SENT", sent)
+        monkeypatch.setattr(measures, "ROWS_EACH", 1_000)
+        got = {tuple(r) for r in measures.values_at_ranks(rows, ["k"], "v", places).collect()}
+        assert got == {(k, len(x), sorted(x)[-(-(len(x) - 1) // 2)], max(x)) for k, x in values.items()}
