@@ -33,3 +33,16 @@ def test_unsettled_families_raise(spark):
     with pytest.raises(RuntimeError):
         review.families(chain, rounds=2)
     assert {r["family"] for r in review.families(chain).collect()} == {0}
+
+
+def test_components_of_many_links_are_dealt_by_their_number(spark, monkeypatch):
+    from tidemark.operators import components as C
+
+    rng = random.Random(3)
+    links = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(180)) if a != b]
+    monkeypatch.setattr(C, "ROWS_EACH", 20)
+    dealt = []
+    before = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *how: dealt.append(how[0]) or before(self, *how))
+    got = {r["id"]: r["component"] for r in C.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == components(links) and max(dealt) > 2

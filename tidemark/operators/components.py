@@ -12,6 +12,8 @@ from tidemark.session import cut, ship_package
 
 #: Links a task folds at a time; what it forwards is a forest of these.
 FOLD_ROWS = 500_000
+#: Links that a task sorts or groups, on average, once they are too many for the session's number of partitions.
+ROWS_EACH = 500_000
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,11 +45,15 @@ def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each task first folds its links to a forest; then rounds of large stars (larger neighbours move to the smallest
     one) and small stars (smaller neighbours move to the smallest one) run until nothing changes, which takes a
-    number of rounds logarithmic in the longest path.  Every round is cut off in the shared checkpoint folder.
+    number of rounds logarithmic in the longest path; the number of tasks grows with the links.  Every round is cut off in the shared checkpoint folder.
     """
     ship_package(links.sparkSession)
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = cut(edges.mapInArrow(_folded, "a bigint, b bigint").distinct())
+    edges = cut(edges.mapInArrow(_folded, "a bigint, b bigint"))
+
+    def dealt(rows: DataFrame, count: int, by: str) -> DataFrame:
+        parts = -(-count // ROWS_EACH)
+        return rows.repartition(parts, by) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -56,12 +62,14 @@ def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        both = dealt(edges.union(edges.select("b", "a")).toDF("u", "v"), 2 * before[0], "u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = dealt(large, before[0], "a").distinct()
         nearest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(nearest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = cut(moved.union(nearest.select("a", F.col("m").alias("b"))).distinct())
+        moved = moved.union(nearest.select("a", F.col("m").alias("b")))
+        edges = cut(dealt(moved, before[0], "a").distinct())
         after = mark(edges)
         if after == before:
             break
