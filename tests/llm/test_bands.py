@@ -51,3 +51,26 @@ def test_passages_over_short_lines(spark):
     got = {r["doc_id"]: (r["start"], r["stop"]) for r in found}
     assert len(got) >= 0.95 * len(rows) and len(found) == len(got)
     assert all(places[d][0] - 1 <= a and b <= places[d][1] + 1 for d, (a, b) in got.items())
+
+
+def test_what_line_components_leave(spark):
+    """Only plausible pairs are confirmed on their sets, and tables that are used up go."""
+    import glob
+
+    from tidemark.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(glob.glob(f"{folder}/table-*"))
+    rng = random.Random(14)
+    rows = [(k, " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))) for k in range(60)]
+    rows += [(100 + k, t + " more") for k, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lines = paragraphs.cut(paragraphs.units(docs)).filter("signature IS NOT NULL")
+    got = {}
+    for r in paragraphs.line_components(lines, docs).collect():
+        got.setdefault(r["component"], set()).add(r["id"])
+    assert len(got) == 20 and all(len(g) == 2 for g in got.values())
+    left = [spark.read.parquet(t).columns for t in set(glob.glob(f"{folder}/table-*")) - before]
+    assert not [c for c in left if c in (["id", "shingles"], ["id", "signature"], ["band", "id", "tree", "a"])]
+    wanted = spark.createDataFrame([(1, 2, [1] * 18, [1] * 6 + [2] * 12), (1, 3, [1] * 18, [1] * 5 + [2] * 13)], "a bigint, b bigint, s array<int>, t array<int>")
+    assert [r["b"] for r in wanted.mapInArrow(paragraphs._plausible_pairs, "a bigint, b bigint").collect()] == [2]

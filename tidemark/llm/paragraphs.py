@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.minhash import _LOWER, SHINGLE, SIMILARITY, Shape, _mixed, _signature, kept_words, missed_links, signature_factors
-from tidemark.session import cut, ship_package, table
+from tidemark.llm.sieve import sieved
+from tidemark.session import cut, discard, ship_package, table
 
 CUT_WINDOW, PIECED, MINIMUM_RUN = 16, 51, 19
 LONG_LINE, LONG_WINDOW = 100, 64
@@ -137,7 +138,7 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
         words, factors = kept_words(), signature_factors(BANDS * DEPTH)
         names = ["doc_id", "start", "stop", "x", "signature"]
         for batch in batches:
-            parts: list[list] = [[] for _ in names]
+            parts: list[list] = [[] for _ in range(6)]
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 g, lines = shingles_in_order(t.as_py() or "", words)
                 if not len(g):
@@ -148,27 +149,36 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
                 parts[1].append(np.concatenate([first, begin]).astype(np.int32))
                 parts[2].append((np.concatenate([last, end]) + SHINGLE - 1).astype(np.int32))
                 parts[3].append(x)
-                parts[4] += [None] * len(first) + list(signatures_of(g, begin, end, factors))
-            joined = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts[:4]]
+                parts[4].append(signatures_of(g, begin, end, factors).ravel())
+                parts[5].append(np.repeat([0, len(factors)], [len(first), len(begin)]))
+            *joined, values, sizes = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             columns = [pa.array(j, kind) for j, kind in zip(joined, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts[4], pa.list_(pa.int32()))], names)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            columns.append(pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()), mask=pa.array(sizes == 0, pa.bool_())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     ship_package(docs.sparkSession)
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text)
     return rows.mapInArrow(made, "doc_id bigint, start int, stop int, x bigint, signature array<int>")
 
 
+def _plausible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose signatures agree in PLAUSIBLE values."""
+    for batch in batches:
+        s, t = (batch.column(k).flatten().to_numpy().reshape(len(batch), BANDS * DEPTH) for k in (2, 3))
+        yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(axis=1) >= PLAUSIBLE))
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = kept_words()
+    """The pairs (a, b) whose sets of shingles reach the similarity."""
     for batch in batches:
-        a, b = [], []
-        for x, y, s, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            p, q = (set(shingles_in_order(v, words)[0].tolist()) for v in (s, t))
-            if 100 * len(p & q) >= SIMILARITY * len(p | q):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        near = []
+        for s, t in zip(batch.column(2), batch.column(3), strict=True):
+            p, q = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+            both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+            near.append(100 * both >= SIMILARITY * (len(p) + len(q) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
 def met_lines(lines: DataFrame) -> DataFrame:
@@ -177,58 +187,65 @@ def met_lines(lines: DataFrame) -> DataFrame:
     keyed = lines.select(F.col("x").alias("id"), F.posexplode(firsts).alias("tree", "band"))
     # Most bands have one wording.  They go before any paragraph moves.
     shared = cut(keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z"))
-    return cut(keyed.join(shared, "band").distinct())
-
-
-def similar_lines(met: DataFrame, lines: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Confirmed links (a, b) between the first line of a band and the others; ``lines`` is (id, doc_id, start, stop)."""
-    pairs = cut(met.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = lines.select("id", "doc_id", "start", "stop").join(used, "id")
-    # Word positions count over the whole text, so the words of a place are sliced from it.
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "stop")).alias("places"))
-    held = docs.select("doc_id", F.col(text).alias("whole")).join(wanted, "doc_id")
-    split = held.select(F.split(F.regexp_replace("whole", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+").alias("words"), "places")
-    wording = F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.array_join(F.slice("words", p["start"] + 1, p["stop"] - p["start"]), " ").alias("t")))
-    texts = cut(split.select(F.explode(wording).alias("x")).select("x.*").dropDuplicates(["id"]))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("id").alias("b"), "t"), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(_confirmed, "a bigint, b bigint")
+    return cut(sieved(keyed, "band", shared.select("band")).join(shared, "band").distinct())
 
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingles) of the places of each text whose wording is that of the id."""
     words = kept_words()
     for batch in batches:
         ids, sets = [], []
         for t, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             g, _ = shingles_in_order(t.as_py() or "", words)
-            for p in places:
-                found = np.unique(g[p["start"] : p["stop"] - SHINGLE + 1])
-                if len(found):
-                    ids.append(p["id"])
-                    sets.append(found.tobytes())
+            # Another text with the same doc_id may be shorter, or have other words there.
+            places = [p for p in places if p["stop"] - SHINGLE < len(g)]
+            first, last = (np.array([p[k] for p in places], np.int64) for k in ("start", "stop"))
+            last -= SHINGLE - 1
+            for p, x, i, j in zip(places, _run_hashes(g, first, last).tolist(), first.tolist(), last.tolist(), strict=True):
+                if x == p["id"]:
+                    ids.append(x)
+                    sets.append(np.unique(g[i:j]).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def line_sets(places: DataFrame, wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(id, shingles), the sorted hashes as bytes, of ``wanted`` (id); ``places`` is (id, doc_id, start, stop)."""
+    per_doc = cut(places.join(wanted, "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "stop")).alias("places")))
+    held = sieved(docs.select("doc_id", F.col(text).alias("whole")), "doc_id", per_doc.select("doc_id"))
+    return held.join(per_doc, "doc_id").select("whole", "places").mapInArrow(_line_sets, "id bigint, shingles binary")
+
+
+def similar_lines(met: DataFrame, places: DataFrame, signed: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Confirmed links (a, b) between the first line of a band and the others; ``signed`` is (id, signature)."""
+    pairs = met.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    both = pairs.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("s")), "a").join(signed.select(F.col("id").alias("b"), F.col("signature").alias("t")), "b")
+    pairs = cut(both.select("a", "b", "s", "t").mapInArrow(_plausible_pairs, "a bigint, b bigint"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut(line_sets(places, used, docs, text))
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
+    links = cut(both.mapInArrow(_confirmed, "a bigint, b bigint"))
+    discard(pairs, sets)
+    return links
+
+
 def line_components(lines: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(id, component) of the ``lines`` (doc_id, start, stop, x, signature) that are linked to another wording x."""
     met = met_lines(lines)
-    used = met.select("id").distinct()
-    wordings = lines.groupBy(F.col("x").alias("id")).agg(F.min_by("start", "doc_id").alias("start"), F.min_by("stop", "doc_id").alias("stop"), F.min("doc_id").alias("doc_id"))
-    places = cut(wordings.join(used, "id"))
-    first = cut(connected_components(similar_lines(met, places, docs, text)))
+    used = cut(met.select("id").distinct())
+    kept = sieved(lines, "x", used)
+    wordings = kept.groupBy(F.col("x").alias("id")).agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"))
+    places = cut(wordings.join(used, "id").select("id", "first.doc_id", "first.start", "first.stop"))
+    # A wording's signature is the same in all its places, so that of its first place will do.
+    at = places.withColumnRenamed("id", "x")
+    signed = cut(kept.join(at, ["x", "doc_id", "start", "stop"], "left_semi").select(F.col("x").alias("id"), "signature").dropDuplicates(["id"]))
+    first = cut(connected_components(similar_lines(met, places, signed, docs, text)))
     keyed = met.select("id", "tree", F.col("band").alias("region")).join(places.select("id", (F.col("stop") - F.col("start")).cast("long").alias("n")), "id").join(first, "id", "left")
-    keyed = keyed.select("id", F.coalesce("component", "id").alias("component"), "n", "tree", "region")
-
-    def sets(wanted: DataFrame) -> DataFrame:
-        per_doc = places.join(wanted, "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "stop")).alias("places"))
-        held = docs.select("doc_id", F.col(text).alias("whole")).join(per_doc, "doc_id").select("whole", "places")
-        return held.mapInArrow(_line_sets, "id bigint, shingles binary").dropDuplicates(["id"])
-
-    def signed(wanted: DataFrame) -> DataFrame:
-        return lines.select(F.col("x").alias("id"), "signature").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-
-    missed = missed_links(keyed, signed, sets, Shape(BANDS, DEPTH, 1, PLAUSIBLE, False))
-    later = cut(connected_components(cut(missed)).select("id", F.col("component").alias("whole")))
+    keyed = cut(keyed.select("id", F.coalesce("component", "id").alias("component"), "n", "tree", "region"))
+    discard(met)
+    missed = missed_links(keyed, lambda wanted: signed.join(wanted, "id"), lambda wanted: line_sets(places, wanted, docs, text), Shape(BANDS, DEPTH, 1, PLAUSIBLE, False))
+    missed = cut(missed)
+    discard(keyed, signed, places)
+    later = cut(connected_components(missed).select("id", F.col("component").alias("whole")))
     moved = first.join(later.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     return moved.union(later.join(first.select("id"), "id", "left_anti").select("id", "whole"))
 
@@ -242,7 +259,8 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def shared(rows: DataFrame) -> DataFrame:
         ends = cut(rows.groupBy("component_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
-        return rows.join(ends, "component_id").select("doc_id", "start", "stop", "component_id", (F.col("doc_id") == F.col("first")).alias("kept"))
+        met = sieved(rows, "component_id", ends.select("component_id"))
+        return met.join(ends, "component_id").select("doc_id", "start", "stop", "component_id", (F.col("doc_id") == F.col("first")).alias("kept"))
 
     return shared(cut(placed)).unionByName(shared(pieces.withColumnRenamed("x", "component_id")))
 
