@@ -52,6 +52,24 @@ def test_crowded_pairs_are_reported(spark, monkeypatch):
     assert [tuple(r) for r in O.offset_observations(spark.createDataFrame(rows, FRAME)).collect()] == [(1, None, None, None, None)]
 
 
+def test_pairs_searched_in_pieces_give_the_same(spark, monkeypatch):
+    from tidemark.plans import signals
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for pair, (n, m) in enumerate([(400, 430), (700, 90), (10, 300), (300, 12), (24, 200), (40, 60), (300, 0), (0, 300)]):
+        rows += [(pair, side, 500 * i + (side == "target") * 20, rng.integers(0, 2, 2).astype(float).tolist()) for side, size in (("source", n), ("target", m)) for i in range(size)]
+    frames = spark.createDataFrame(rows, FRAME).repartition(3)
+    whole = sorted(map(tuple, O.offset_observations(frames).collect()))
+    monkeypatch.setattr(O, "MOST_FRAMES", 80)
+    for size in (7, 50, 1000):
+        monkeypatch.setattr(O, "PIECE_FRAMES", size)
+        assert sorted(map(tuple, O.offset_observations(frames, pieces=True).collect())) == whole
+    assert len({r[0] for r in whole}) == 5 and len(whole) > 150
+    monkeypatch.setattr(signals, "_shifted", lambda spark, d: frames)
+    assert {r["pair_id"] for r in signals.QUERIES["block_offsets"](spark, "").collect()} == {r[0] for r in whole}
+
+
 BLOCK = "pair_id int, source_ms bigint, target_ms bigint, score double, margin double, held_out boolean, target_start bigint, target_end bigint"
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.groups import Group, solve_groups
+from tidemark.operators.ordering import numbered
 
-#: Frames of a pair's longer side beyond which it is reported, not searched.
+#: Frames of a pair's longer side that a task searches at once; a longer pair is searched in pieces or reported.
 MOST_FRAMES = 200_000
+#: Source frames at which the blocks of a piece begin.
+PIECE_FRAMES = 20_000
 #: Farthest offset and what is added to the difference in length on both sides, in ms (fixed values).
 FARTHEST_MS, MARGIN_MS = 240_000, 60_000
 #: Decimals to which distances are compared; ones that agree in these are equal.
@@ -52,36 +55,73 @@ def best_offsets(a: np.ndarray, b: np.ndarray, centres: np.ndarray, block: int,
     return at, least
 
 
-def offset_observations(frames: DataFrame, pair: str = "pair_id", block: int = 24, stride: int = 6, step_ms: int = 500) -> DataFrame:
+def offset_observations(frames: DataFrame, pair: str = "pair_id", block: int = 24, stride: int = 6, step_ms: int = 500, pieces: bool = False) -> DataFrame:
     """(pair, source_index, source_ms, offset_ms, distance): where blocks of the source lie best in the target.
 
     ``frames`` is (pair, side 'source' or 'target', at_ms, values), a frame every ``step_ms``; blocks begin every
     ``stride`` frames, and a source shorter than a block is one.  Of equal distances the smallest offset wins.  Pairs
-    beyond MOST_FRAMES have one row without an offset.
+    beyond MOST_FRAMES are searched in ``pieces``, with the same rows; without these they have one row without an
+    offset.
     """
     kind = frames.schema[pair].dataType.simpleString()
-    sizes = frames.groupBy(pair, "side").agg(F.count(F.lit(1)).alias("n")).groupBy(pair).agg(F.max("n").alias("n"))
-    crowded = sizes.filter(F.col("n") > MOST_FRAMES).select(pair)
-
-    def solve(rows: Group) -> list[tuple]:
+    source = F.col("side") == "source"
+    sizes = frames.groupBy(pair).agg(
+        F.count_if(source).alias("_n"), F.greatest(F.count_if(source), F.count_if(~source)).alias("_most"),
+        F.max(F.when(source, F.col("at_ms"))).alias("_source_end"), F.max(F.when(~source, F.col("at_ms"))).alias("_target_end"),
+    )
+    crowded = sizes.filter(F.col("_most") > MOST_FRAMES)
+    schema = f"`{pair}` {kind}, source_index bigint, source_ms bigint, offset_ms bigint, distance double"
+
+    def found_in(rows: Group, first: int, n: int, ends: tuple[int, int], last: int, apart: int) -> list[tuple]:
+        """The blocks that begin at ``first`` to ``last`` of a source of ``n`` frames, from rows that hold those; the
+        source's rows begin at ``first``, the target's ``apart`` frames behind."""
         source = rows["side"] == "source"
         at, bt = rows["at_ms"][source].astype(np.int64), rows["at_ms"][~source].astype(np.int64)
         a, b = (np.array(rows["values"][s].tolist(), float) for s in (source, ~source))
         if not len(a) or not len(b):
             return []
         size, half = block, block // 2
-        centres = np.arange(half, len(a) - half, stride)
-        steps = searched_steps(int(at[-1]), int(bt[-1]), step_ms)
+        centres = np.arange(half, n - half, stride)
+        centres = centres[(centres - half >= first) & (centres - half < last)] - first
+        steps = searched_steps(*ends, step_ms)
+        steps = range(steps.start - apart, steps.stop - apart)
         found, distance = best_offsets(a, b, centres, size, steps) if len(centres) else (np.zeros(0, int), np.zeros(0))
-        if not (found > -1 << 40).any():
-            size, centres = min(block, len(a)), np.array([len(a) // 2])
+        if first == 0 and len(a) == n and not (found > -1 << 40).any():
+            size, centres = min(block, n), np.array([n // 2])
             found, distance = best_offsets(a, b, centres, size, steps)
         key = rows[pair][0]
-        return [(key, int(i), int(at[i]), int(bt[i + k] - at[i]), float(d)) for i, k, d in zip(centres, found, distance, strict=True) if k > -1 << 40]
+        return [(key, int(first + i), int(at[i]), int(bt[i + k] - at[i]), float(d)) for i, k, d in zip(centres, found, distance, strict=True) if k > -1 << 40]
+
+    def solve(rows: Group) -> list[tuple]:
+        source = rows["side"] == "source"
+        n = int(source.sum())
+        if not n or n == len(source):
+            return []
+        return found_in(rows, 0, n, (int(rows["at_ms"][source][-1]), int(rows["at_ms"][~source][-1])), n, 0)
+
+    def solve_piece(rows: Group) -> list[tuple]:
+        source = rows["side"] == "source"
+        if source.all() or not source.any():
+            return []
+        first, apart = int(rows["_pos"][source][0]), int(rows["_pos"][~source][0]) - int(rows["_pos"][source][0])
+        return found_in(rows, first, int(rows["_n"][0]), (int(rows["_source_end"][0]), int(rows["_target_end"][0])), first + PIECE_FRAMES, apart)
 
     wanted = frames.select(pair, "side", "at_ms", "values").join(crowded, pair, "left_anti")
-    out = solve_groups(wanted, [pair], ["at_ms"], solve, f"`{pair}` {kind}, source_index bigint, source_ms bigint, offset_ms bigint, distance double")
-    return out.unionByName(crowded, allowMissingColumns=True)
+    out = solve_groups(wanted, [pair], ["at_ms"], solve, schema)
+    if not pieces:
+        return out.unionByName(crowded.select(pair), allowMissingColumns=True)
+    if crowded.isEmpty():
+        return out
+    # A block is compared with the target from the least to the farthest offset only, so a piece needs no more of it.
+    placed = numbered(frames.select(pair, "side", "at_ms", "values").join(crowded, pair), [pair, "side"], "at_ms", pos="_pos")
+    apart = F.col("_target_end") - F.col("_source_end")
+    low = F.floor(F.greatest(F.lit(-FARTHEST_MS), F.least(F.lit(0), apart) - MARGIN_MS) / step_ms)
+    high = F.ceil(F.least(F.lit(FARTHEST_MS), F.greatest(F.lit(0), apart) + MARGIN_MS) / step_ms)
+    begin, end = F.when(source, F.lit(0)).otherwise(low), F.when(source, F.lit(0)).otherwise(high)
+    from_ = F.greatest(F.lit(0), F.floor((F.col("_pos") - block - end) / PIECE_FRAMES))
+    to = F.least(F.floor((F.col("_n") - 1) / PIECE_FRAMES), F.floor((F.col("_pos") - begin) / PIECE_FRAMES))
+    dealt = placed.withColumn("_piece", F.explode(F.when(from_ <= to, F.sequence(from_, to))))
+    return out.unionByName(solve_groups(dealt, [pair, "_piece"], ["_pos"], solve_piece, schema))
 
 
 @dataclass(frozen=True)
