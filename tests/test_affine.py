@@ -65,6 +65,70 @@ def test_nothing_set_aside_is_fitted(spark):
     assert (again["scale"], again["fitted_offset_ms"]) == (best["scale"], best["fitted_offset_ms"])
 
 
+def plain_lines(rows, seeds, rules):
+    """Lines that seeds come to, one seed after the other; ``rows`` as in plain_explained, without used targets."""
+
+    def explained(scale, offset):
+        best = {}
+        for _, s, _, x, y in sorted(rows, key=lambda r: (r[3], r[4], r[1])):
+            r = int(np.floor(abs(y - (scale * x + offset)) + 0.5))
+            if r <= rules.tolerance_ms and (s not in best or (r, y) < best[s][:2]):
+                best[s] = (r, y, x)
+        out, last = [], None
+        for _, (_, y, x) in sorted(best.items(), key=lambda b: (b[1][2], b[0])):
+            if last is None or y > last:
+                last = y
+                out.append((x, y))
+        return out
+
+    found = {}
+    for line in seeds:
+        near = explained(*line)
+        for _ in range(2):
+            if len(near) < max(2, rules.least):
+                break
+            x, y = np.array(near, float).T
+            spread = ((x - x.mean()) ** 2).sum()
+            if spread <= np.finfo(float).eps:
+                break
+            scale = float(((x - x.mean()) * (y - y.mean())).sum() / spread)
+            line = (scale, float(y.mean() - scale * x.mean()))
+            if not rules.least_scale <= scale <= rules.most_scale:
+                break
+            near = explained(*line)
+        else:
+            found.setdefault(line, near)
+    return found
+
+
+def test_lines_refined_together_are_those_of_single_seeds(monkeypatch):
+    rng = random.Random(9)
+    rules = affine.LineRules(least=3)
+    for case in range(6):
+        # Items come again, at their own time or, in half the cases, at others.
+        rows = [(1, k, k, 700 * k, round(1.01 * 700 * k + 300 + rng.uniform(-40, 40))) for k in range(60)]
+        rows += [(1, s := rng.randrange(60), 60 + k, 700 * (s if case % 2 else rng.randrange(60)), round(1.01 * 700 * s + 300 + rng.uniform(-200, 200))) for k in range(40)]
+        rows += [(1, 100 + k, 100 + k, 700 * rng.randrange(60), rng.randrange(42_000)) for k in range(10)]
+        obs = affine._Observations(*np.array([(x, y, s, t) for _, s, t, x, y in rows]).T)
+        seeds = obs.seeds(rules)
+        want = plain_lines(rows, seeds, rules)
+        monkeypatch.setattr(affine, "CELLS_EACH", 1 << 15 if case % 3 else 250)
+        placed = affine._Placed(obs)
+        got = {(scale, offset): [(int(placed.s[k]), int(placed.t[k])) for k in near] for scale, offset, near in affine.refined(placed, seeds, rules)}
+        assert got == want and list(got) == list(want) and len(got) > 5
+
+
+def test_pairs_of_many_observations_take_few_passes(monkeypatch):
+    """Before, each of up to 768 seeds was explained three times by itself; seeds are looked at together."""
+    calls = []
+    explained = affine._Placed.explained
+    monkeypatch.setattr(affine._Placed, "explained", lambda self, lines, tolerance: calls.append(len(lines)) or explained(self, lines, tolerance))
+    rows = np.array([(x, y, s, t) for _, s, t, x, y in placed(made(1, 1.02, 5000, n=400, wrong=100))])
+    found, _, seeds = affine.lines_of(affine._Observations(*rows.T), 400, 500, affine.LineRules())
+    assert abs(found[0]["scale"] - 1.02) < 0.001 and seeds > 400
+    assert len(calls) == 3 and calls[1] < seeds / 2 and calls[2] < seeds / 2
+
+
 def test_far_witnesses_need_company(spark):
     """Off the line, three items at different seconds that agree count; two, or three of one second, do not."""
     line = spark.createDataFrame([(1, 1, 1.0, 0, 0.0, list(range(60)), None)], "pair_id int, rank int, scale double, offset_ms bigint, fitted_offset_ms double, held_out_blocks array<bigint>, fault string")

@@ -11,11 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.groups import Group, solve_groups
+
 #: Observations of a pair, seeds, and seeds with scale 1 among them (fixed values).
 MOST_OBSERVATIONS, MOST_SEEDS, PLAIN_SEEDS = 40_000, 768, 256
 #: Observations that plain and paired seeds are taken from, and the least source distance of a pair in ms (fixed values).
@@ -27,6 +28,8 @@ BLOCK_MS, MOST_BLOCKS, BLOCKS_EACH = 1_000, 1_024, 5
 #: Cells of the held-out test: width in time and offset, cells to each side in time, and least different witnesses
 #: (fixed values).
 CELL_MS, CELL_OFFSET_MS, CELL_REACH, LEAST_WITNESSES = 5_000, 250, 2, 3
+#: Cells of lines and observations that are looked at together.
+CELLS_EACH = 1 << 16
 #: Share of the first line's inliers from which another explains as good as as much (fixed value).
 AS_MANY = 0.98
 
@@ -66,11 +69,12 @@ def held_out_blocks(items: np.ndarray, at: np.ndarray, least: int) -> list[int]:
         start, stop = slot * n // count, max((slot + 1) * n // count, slot * n // count + 1)
         picked.add(start + _mixed(((slot + 1) * 0x9E3779B97F4A7C15 & mask) ^ turned) % (stop - start))
     out = []
+    order = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[order], np.arange(n + 1))
     for k in sorted(picked):
-        own = set(items[place == k].tolist())
-        kept = left - own
-        if len(kept) >= least:
-            left = kept
+        own = set(items[order[ends[k] : ends[k + 1]]].tolist())
+        if len(left) - len(left & own) >= least:
+            left -= own
             out.append(int(blocks[k]))
         else:
             left |= own
@@ -87,18 +91,6 @@ class _Observations:
     def subset(self, keep: np.ndarray) -> _Observations:
         return _Observations(self.s[keep], self.t[keep], self.item[keep], self.target[keep])
 
-    def explained(self, scale: float, offset: float, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and residuals of the best observation of each item as far as target times rise."""
-        away = np.floor(np.abs(self.t - (scale * self.s + offset)) + 0.5).astype(np.int64)
-        near = np.flatnonzero(away <= tolerance)
-        near = near[np.lexsort((self.t[near], away[near], self.item[near]))]
-        near = near[np.append(True, np.diff(self.item[near]) != 0)] if len(near) else near
-        near = near[np.lexsort((self.item[near], self.s[near]))]
-        if len(near):
-            highest = np.maximum.accumulate(self.t[near])
-            near = near[np.append(True, self.t[near][1:] > highest[:-1])]
-        return near, away[near]
-
     def seeds(self, rules: LineRules) -> list[tuple[float, float]]:
         n = len(self.s)
         out = [(1.0, float(self.t[k] - self.s[k])) for k in range(0, n, max(1, n // PLAIN_FROM))][:PLAIN_SEEDS]
@@ -115,6 +107,70 @@ class _Observations:
         return out
 
 
+class _Placed:
+    """Observations in order of source time and source item, for many lines at once."""
+
+    def __init__(self, obs: _Observations):
+        n = len(obs.s)
+        order = np.lexsort((obs.item, obs.s))
+        self.s, self.t = obs.s[order].astype(float), obs.t[order].astype(float)
+        _, self.code, counts = np.unique(obs.item[order], return_inverse=True, return_counts=True)
+        self.rank = np.empty(n, np.int64)
+        self.rank[np.lexsort((order, self.t))] = np.arange(n)
+        self.by_item = np.argsort(self.code, kind="stable") if (counts > 1).any() else None
+        self.starts = np.cumsum(counts) - counts
+
+    def explained(self, lines: list[tuple[float, float]], tolerance: int) -> list[np.ndarray]:
+        """For each line the places of the best observation of each item as far as target times rise."""
+        n, found = len(self.s), []
+        each = max(1, CELLS_EACH // max(n, 1))
+        s, t = self.s[:, None], self.t[:, None]
+        for k in range(0, len(lines), each):
+            scales, offsets = np.array(lines[k : k + each]).T
+            away = s * scales
+            away += offsets
+            np.subtract(t, away, out=away)
+            np.abs(away, out=away)
+            away += 0.5
+            near = away < tolerance + 1
+            if self.by_item is not None:  # the least residual of an item counts, then the least target time
+                key = np.where(near, np.floor(np.minimum(away, tolerance + 1)).astype(np.int64) * n + self.rank[:, None], np.iinfo(np.int64).max)
+                near &= key == np.minimum.reduceat(key[self.by_item], self.starts, axis=0)[self.code]
+            highest = np.where(near, t, -np.inf)
+            np.maximum.accumulate(highest, axis=0, out=highest)
+            near[1:] &= t[1:] > highest[:-1]
+            found.extend(np.ascontiguousarray(near.T))
+        return found
+
+
+def _refitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
+    """(scale, offset) of the least squares line through points, if they do not share one time."""
+    n = len(x)
+    middle, height = np.add.reduce(x) / n, np.add.reduce(y) / n
+    across = x - middle
+    spread = np.add.reduce(across * across)
+    if spread <= np.finfo(float).eps:
+        return None
+    scale = float(np.add.reduce(across * (y - height)) / spread)
+    return scale, float(height - scale * middle)
+
+
+def refined(placed: _Placed, seeds: list[tuple[float, float]], rules: LineRules) -> list[tuple[float, float, np.ndarray]]:
+    """(scale, offset, places explained) of the different lines that seeds come to when each is refitted twice, in the
+    order of their first seeds.  Seeds that explain the same are one from then on."""
+    lines = list(dict.fromkeys(seeds))
+    for _ in range(2):
+        kept = {near.tobytes(): near for near in placed.explained(lines, rules.tolerance_ms)}
+        again: dict[tuple[float, float], None] = {}
+        for near in kept.values():
+            at = np.flatnonzero(near)
+            line = _refitted(placed.s[at], placed.t[at]) if len(at) >= max(2, rules.least) else None
+            if line and rules.least_scale <= line[0] <= rules.most_scale:
+                again[line] = None
+        lines = list(again)
+    return [(*line, np.flatnonzero(near)) for line, near in zip(lines, placed.explained(lines, rules.tolerance_ms), strict=True)]
+
+
 def lines_of(obs: _Observations, sources: int, targets: int, rules: LineRules) -> tuple[list[dict], list[int], int]:
     """Ranked lines, the blocks set aside, and the number of seeds."""
     blocks = held_out_blocks(obs.item, obs.s, rules.least)
@@ -123,27 +179,16 @@ def lines_of(obs: _Observations, sources: int, targets: int, rules: LineRules) -
         fit, blocks = obs, []
     found: list[dict] = []
     seeds = fit.seeds(rules)
-    for scale, offset in seeds:
-        near, away = fit.explained(scale, offset, rules.tolerance_ms)
-        for _ in range(2):
-            x, y = fit.s[near].astype(float), fit.t[near].astype(float)
-            spread = ((x - x.mean()) ** 2).sum() if len(near) >= max(2, rules.least) else 0.0
-            if spread <= np.finfo(float).eps:
-                near = near[:0]
-                break
-            scale = float(((x - x.mean()) * (y - y.mean())).sum() / spread)
-            offset = float(y.mean() - scale * x.mean())
-            if not rules.least_scale <= scale <= rules.most_scale:
-                near = near[:0]
-                break
-            near, away = fit.explained(scale, offset, rules.tolerance_ms)
+    placed = _Placed(fit)
+    for scale, offset, near in refined(placed, seeds, rules):
         n = len(near)
         whole = int(np.floor(abs(offset) + 0.5)) * (1 if offset >= 0 else -1)
         if n < rules.least or n == 0 or any(abs(f["scale"] - scale) < SAME_SCALE and abs(f["offset_ms"] - whole) < SAME_OFFSET for f in found):
             continue
+        away = np.floor(np.abs(placed.t[near] - (scale * placed.s[near] + offset)) + 0.5).astype(np.int64)
         ordered = np.sort(away)
         at = lambda q: int(ordered[int(np.ceil((n - 1) * q))])  # noqa: B023, E731
-        found.append({"scale": scale, "offset_ms": whole, "fitted_offset_ms": offset, "inliers": n, "source_share": n / max(sources, 1), "target_share": n / max(targets, 1), "source_start_ms": int(fit.s[near].min()), "source_end_ms": int(fit.s[near].max()), "p50_ms": at(0.5), "p95_ms": at(0.95), "max_ms": int(ordered[-1])})
+        found.append({"scale": scale, "offset_ms": whole, "fitted_offset_ms": offset, "inliers": n, "source_share": n / max(sources, 1), "target_share": n / max(targets, 1), "source_start_ms": int(placed.s[near].min()), "source_end_ms": int(placed.s[near].max()), "p50_ms": at(0.5), "p95_ms": at(0.95), "max_ms": int(ordered[-1])})
     found.sort(key=lambda f: (-f["inliers"], f["p95_ms"], -f["source_share"], -f["target_share"], abs(f["offset_ms"]), f["scale"]))
     return found, blocks, len(seeds)
 
@@ -160,25 +205,17 @@ def affine_lines(observations: DataFrame, pair: str = "pair_id", rules: LineRule
     kind = observations.schema[pair].dataType.simpleString()
     names = [x.split()[0] for x in LINE_SCHEMA.split(", ")]
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        obs = _Observations(*(rows[c].to_numpy(np.int64) for c in ("source_ms", "target_ms", "source_index", "target_index")))
-        found, blocks, seeds = lines_of(obs, rows["source_index"].nunique(), rows["target_index"].nunique(), rules)
+    def solve(rows: Group) -> list[tuple]:
+        columns = [rows[c].astype(np.int64) for c in ("source_ms", "target_ms", "source_index", "target_index")]
+        found, blocks, seeds = lines_of(_Observations(*columns), len(np.unique(columns[2])), len(np.unique(columns[3])), rules)
         worth = [f["inliers"] - f["p95_ms"] / (rules.tolerance_ms * 2) for f in found[:2]]
         margin = min(1.0, max(0.0, (max(worth[0], 0.001) - (worth[1] if len(worth) > 1 else 0.0)) / max(worth[0], 0.001))) if found else 0.0
         out = [{**f, "rank": k + 1, "margin": margin, "seeds": seeds, "held_out_blocks": blocks} for k, f in enumerate(found[: rules.top])]
         out = out or [{"margin": 0.0, "seeds": seeds, "held_out_blocks": blocks, "fault": "none"}]
-        frame = pd.DataFrame([{name: x.get(name) for name in names} for x in out], columns=names)
-        for name in names:
-            if frame[name].dtype == object or str(frame[name].dtype).startswith("float"):
-                if name in ("rank", "inliers", "offset_ms", "source_start_ms", "source_end_ms", "p50_ms", "p95_ms", "max_ms", "seeds"):
-                    frame[name] = frame[name].astype("Int64")
-                elif name in ("scale", "fitted_offset_ms", "source_share", "target_share", "margin"):
-                    frame[name] = frame[name].astype(float)
-        frame.insert(0, pair, rows[pair].iloc[0])
-        return frame
+        return [(rows[pair][0], *(x.get(name) for name in names)) for x in out]
 
     wanted = observations.select(pair, "source_index", "target_index", "source_ms", "target_ms").dropna()
-    found = wanted.join(crowded, pair, "left_anti").groupBy(pair).applyInPandas(solve, f"{pair} {kind}, {LINE_SCHEMA}")
+    found = solve_groups(wanted.join(crowded, pair, "left_anti"), [pair], [], solve, f"`{pair}` {kind}, {LINE_SCHEMA}")
     return found.unionByName(crowded.withColumn("fault", F.lit("crowded")), allowMissingColumns=True)
 
 
@@ -226,12 +263,16 @@ def held_out_anchors(observations: DataFrame, lines: DataFrame, pair: str = "pai
     signed = (F.signum(off) * F.floor(F.abs(off) + 0.5)).cast("long")
     rows = _against(observations, lines, pair).filter("aside").withColumn("off_ms", signed)
     rows = rows.withColumns({"residual_ms": F.abs("off_ms"), "cell_t": F.floor(F.col("source_ms") / CELL_MS), "cell_o": F.floor(F.col("off_ms") / CELL_OFFSET_MS)})
-    reach = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-CELL_REACH, CELL_REACH + 1) for b in (-1, 0, 1)]
-    told = rows.withColumn("_r", F.explode(F.array(*reach))).groupBy(pair, "rank", (F.col("cell_t") + F.col("_r.a")).alias("cell_t"), (F.col("cell_o") + F.col("_r.b")).alias("cell_o"))
+    within = F.col("residual_ms") <= rules.tolerance_ms
+    # Rows near the line count anyhow, so only cells that hold one further off ask the cells around them.
+    cells = [pair, "rank", "cell_t", "cell_o"]
+    reach = [F.struct((F.col("cell_t") + a).alias("near_t"), (F.col("cell_o") + b).alias("near_o")) for a in range(-CELL_REACH, CELL_REACH + 1) for b in (-1, 0, 1)]
+    asking = rows.filter(~within).select(*cells).distinct().withColumn("_r", F.explode(F.array(*reach))).select(*cells, "_r.*")
+    around = rows.select(pair, "rank", F.col("cell_t").alias("near_t"), F.col("cell_o").alias("near_o"), "source_index", "target_index", "source_ms", "target_ms")
     seconds = [F.floor(F.col(c) / BLOCK_MS) for c in ("source_ms", "target_ms")]
     witnesses = [F.size(F.collect_set(x)) for x in (F.col("source_index"), F.col("target_index"), *seconds)]
+    told = asking.join(around, [pair, "rank", "near_t", "near_o"]).groupBy(*cells)
     enough = told.agg(F.least(*witnesses).alias("_w")).filter(F.col("_w") >= LEAST_WITNESSES)
-    within = F.col("residual_ms") <= rules.tolerance_ms
-    kept = rows.join(enough, [pair, "rank", "cell_t", "cell_o"], "left").filter(within | F.col("_w").isNotNull())
+    kept = rows.join(enough, cells, "left").filter(within | F.col("_w").isNotNull())
     best = kept.groupBy(pair, "rank", "source_index").agg(F.min(F.struct("residual_ms", "target_ms", "source_ms")).alias("b")).select(pair, "rank", "b.*")
     return best.select(pair, "rank", "source_ms", "target_ms", "residual_ms", within.alias("within"))
