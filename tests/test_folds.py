@@ -136,6 +136,63 @@ def test_frame_matches(spark):
     assert sum(x[2] for x in got.values()) >= 6 and sum(not x[2] for x in got.values()) >= 30
 
 
+def plain_matches(source, target, most_in_bucket, most_candidates):
+    """Rows of frame_matches by asking every bucket for every frame."""
+    masks = [0, *(1 << a for a in range(16)), *(1 << a | 1 << b for a in range(16) for b in range(a))]
+    held, found = {}, {}
+    for k, t, h in target:
+        for q in range(4):
+            held.setdefault((k, q, h >> 16 * q & 65535), []).append((t, h))
+    for k, s, h in source:
+        full, met = found.setdefault((k, s), [False, set()])
+        for q in range(4):
+            for m in masks:
+                bucket = held.get((k, q, h >> 16 * q & 65535 ^ m), [])
+                found[k, s][0] |= len(bucket) > most_in_bucket
+                met |= {(h, *x) for x in bucket}
+    out = set()
+    for (k, s), (full, met) in found.items():
+        near = sorted((bin(h ^ y).count("1"), t) for h, t, y in met if bin(h ^ y).count("1") <= 10)
+        if full or len(met) > most_candidates or (near and any(d <= near[0][0] + 2 and abs(t - near[0][1]) > 1000 for d, t in near)):
+            out.add((k, s, None, None, True))
+        elif near:
+            out.add((k, s, near[0][1], near[0][0], False))
+    return out
+
+
+def test_frame_matches_in_cells(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(64), n))
+    target = [(k, 250 * rng.randrange(300), flip(rng.choice(base), rng.choice([0, 0, 1, 4]))) for k in (1, 2) for _ in range(150)]
+    target += target[:9] + [(1, 250 * k, 77) for k in range(12)]
+    source = [(k, 250 * j, flip(rng.choice(base), rng.choice([0, 2, 7, 10]))) for k in (1, 2, 3) for j in range(80)]
+    source += source[:5] + [(1, 0, base[0]), (1, 90_000, 78)]
+    frames = [spark.createDataFrame([(k, t, signed(h)) for k, t, h in side], FRAME).repartition(3) for side in (source, target)]
+    for cell, pairs, most, candidates in ((1 << 16, 1 << 18, 10, 9), (40, 5, 10, 9), (3, 50, 100, 6), (1 << 16, 1, 100, 100)):
+        monkeypatch.setattr(visual, "CELL_FRAMES", cell)
+        monkeypatch.setattr(visual, "PAIRS_EACH", pairs)
+        got = [tuple(r) for r in visual.frame_matches(*frames, ["k"], most_in_bucket=most, most_candidates=candidates).collect()]
+        assert set(got) == plain_matches(source, target, most, candidates) and len(got) == len(set(got))
+        assert any(r[4] for r in got) and sum(not r[4] for r in got) > 20
+
+
+def test_questions_of_frames_are_not_shuffled(spark):
+    """Before, 548 questions of each frame and every candidate were written."""
+    rng = random.Random(7)
+    frames = [(1, 250 * k, signed(rng.getrandbits(64))) for k in range(500)]
+    source = spark.createDataFrame(frames, FRAME)
+    jvm, sc = spark.sparkContext._gateway.jvm, spark.sparkContext._jsc.sc()
+
+    def written():
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    before = written()
+    assert visual.frame_matches(source, source, ["k"]).filter("NOT ambiguous AND source_ms = target_ms").count() == 500
+    assert sum(n for k, n in written().items() if k not in before) < 500 * 20
+
+
 def test_steady_runs(spark):
     rng = random.Random(5)
     rows = []
