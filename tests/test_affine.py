@@ -161,3 +161,13 @@ def test_planted_clock_behind_a_slanting_line(spark):
     lines = [(1, 1, 0.97992, 331, 67), (1, 2, 0.98, 330, 16), (1, 3, 0.98002, 330, 16), (1, 4, 0.95, 40, 2), (2, 1, 1.0, 50, 9), (2, 2, 1.01, 50, 9)]
     frame = spark.createDataFrame([(*x, None) for x in lines] + [(3, None, None, None, None, "none")], "pair_id int, rank int, scale double, inliers int, p95_ms bigint, fault string")
     assert sorted((r["pair_id"], r["rank"]) for r in affine.tightest_lines(frame).collect()) == [(1, 2), (2, 1)]
+
+
+def test_the_tightest_line_comes_whatever_its_rank(spark):
+    # Before, it was looked for among the best ``top`` only; the three strays make a line aslant the first.
+    rng = random.Random(39)
+    rows = [(1, k, k, 400 * k, round(0.98 * 400 * k + (rng.uniform(-8, 8) if k < 200 else rng.uniform(92, 140)))) for k in range(203)]
+    lines = affine.affine_lines(spark.createDataFrame(rows, SCHEMA), rules=affine.LineRules(top=1), tightest=True)
+    got = affine.tightest_lines(lines).collect()
+    assert [(r["rank"], round(r["scale"], 4)) for r in got] == [(2, 0.98)] and got[0]["p95_ms"] < 20
+    assert sorted(r["rank"] for r in lines.collect()) == [1, 2]

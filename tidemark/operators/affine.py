@@ -193,8 +193,9 @@ def lines_of(obs: _Observations, sources: int, targets: int, rules: LineRules) -
     return found, blocks, len(seeds)
 
 
-def affine_lines(observations: DataFrame, pair: str = "pair_id", rules: LineRules = LineRules()) -> DataFrame:
-    """The best ``top`` lines of every pair, ranked from 1.
+def affine_lines(observations: DataFrame, pair: str = "pair_id", rules: LineRules = LineRules(), tightest: bool = False) -> DataFrame:
+    """The best ``top`` lines of every pair, ranked from 1, and if ``tightest`` the one that `tightest_lines` takes,
+    whatever its rank.
 
     ``observations`` is (pair, source_index, target_index, source_ms, target_ms).  More inliers come first, then the
     smaller 95th percentile of residuals.  ``margin`` is the first line's lead over the second.  Shares are of the
@@ -210,7 +211,10 @@ def affine_lines(observations: DataFrame, pair: str = "pair_id", rules: LineRule
         found, blocks, seeds = lines_of(_Observations(*columns), len(np.unique(columns[2])), len(np.unique(columns[3])), rules)
         worth = [f["inliers"] - f["p95_ms"] / (rules.tolerance_ms * 2) for f in found[:2]]
         margin = min(1.0, max(0.0, (max(worth[0], 0.001) - (worth[1] if len(worth) > 1 else 0.0)) / max(worth[0], 0.001))) if found else 0.0
-        out = [{**f, "rank": k + 1, "margin": margin, "seeds": seeds, "held_out_blocks": blocks} for k, f in enumerate(found[: rules.top])]
+        shown = set(range(min(rules.top, len(found))))
+        if tightest and found:
+            shown.add(min((k for k, f in enumerate(found) if f["inliers"] >= found[0]["inliers"] * AS_MANY), key=lambda k: (found[k]["p95_ms"], k)))
+        out = [{**found[k], "rank": k + 1, "margin": margin, "seeds": seeds, "held_out_blocks": blocks} for k in sorted(shown)]
         out = out or [{"margin": 0.0, "seeds": seeds, "held_out_blocks": blocks, "fault": "none"}]
         return [(rows[pair][0], *(x.get(name) for name in names)) for x in out]
 
